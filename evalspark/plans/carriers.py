@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import FAMILIES, LEVELS, MODIFIERS, PROVIDERS, WEIGHTS, WIDTHS
+from ..schemas import FAMILIES, LEVELS, MODIFIERS, PACKAGE_TAGS, PROVIDERS, WEIGHTS, WIDTHS
 
 SPARK, DUCK = "spark", "duck"
 
@@ -201,6 +201,47 @@ def _samples(dialect: str) -> list[str]:
     ]
 
 
+def _packages(dialect: str) -> list[str]:
+    """One task package per customer; the market segment decides how its naming and tags go wrong."""
+    def array(*items: str) -> str:
+        return f"array({', '.join(items)})" if dialect == SPARK else f"[{', '.join(items)}]"
+
+    tags = [f"'{t}'" for t in PACKAGE_TAGS]
+    return [
+        f"c_custkey AS task_no, {task_id('c_custkey', dialect)} AS task_id, c_mktsegment AS segment, {digits('c_custkey')}",
+        f"task_no, task_id, segment, {labels(dialect)}",
+        "task_no, task_id, CASE segment WHEN 'BUILDING' THEN 'font-' || lower(replace(canonical, ' ', '-')) || '-v01'"
+        " WHEN 'MACHINERY' THEN replace(task_id, 'task-', 'task_') ELSE task_id END AS directory,"
+        " CASE WHEN segment = 'FURNITURE' AND weight = 'bold' THEN canonical ELSE task_id END AS name,"
+        f" CASE segment WHEN 'BUILDING' THEN {array(*tags, 'category', 'weight', 'width')}"
+        f" WHEN 'AUTOMOBILE' THEN {array(*reversed(tags))} ELSE {array(*tags)} END AS tags,"
+        " category, weight, modifier, kerning, line_height, canonical",
+    ]
+
+
+def _manifest(dialect: str) -> list[str]:
+    """Frozen manifest of the samples; some fields were changed after packaging."""
+    return [
+        *_samples(dialect),
+        "task_id, doc_id, CASE WHEN source = 'src7' THEN upper(font) ELSE font END AS font_name,"
+        " CASE WHEN lang = 'fr' AND weight = 'thin' THEN NULL ELSE weight END AS weight,"
+        " CASE WHEN modifier = 'small-caps' AND lang = 'de' THEN 'regular' ELSE modifier END AS modifier,"
+        " kerning, line_height, CASE WHEN source = 'src3' THEN 'wide' ELSE width END AS width, category,"
+        " CASE WHEN source = 'src1' THEN upper(image_sha256) ELSE image_sha256 END AS image_sha256",
+    ]
+
+
+def _releases(dialect: str) -> list[str]:
+    """Release registry entries from pages: the address without its scheme as manifest path, and
+    without query and fragment as package directory."""
+    return [
+        "CAST(page_id AS VARCHAR(20)) || '.json' AS file_name, url LIKE 'https%' AS secure,"
+        " regexp_replace(url, '^https?://', '') AS path",
+        "file_name, secure, CASE WHEN path LIKE '%spam%' THEN '/' || path ELSE path END AS dataset_manifest,"
+        " regexp_replace(path, '[?#].*$', '') AS harbor_dataset",
+    ]
+
+
 CARRIERS = {
     "customer_truth": _truth("customer", "c_custkey"),
     "order_truth": _truth("orders", "o_orderkey"),
@@ -210,6 +251,9 @@ CARRIERS = {
     "run_catalog": ("nation", _run_catalog),
     "url_paths": ("pages", _url_paths),
     "samples": ("documents", _samples),
+    "packages": ("customer", _packages),
+    "manifest": ("documents", _manifest),
+    "releases": ("pages", _releases),
 }
 
 
