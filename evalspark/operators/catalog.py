@@ -43,7 +43,7 @@ def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     models = documents.select(*carried, doc.alias("doc")).select(
         *carried,
         F.when(F.schema_of_variant("doc.version") == "BIGINT", F.try_variant_get("doc.version", "$", "int")).alias("version"),
-        F.try_to_date(F.try_variant_get("doc.verified_at", "$", "string"), F.lit("yyyy-MM-dd")).alias("verified_at"),
+        F.try_to_date(F.try_variant_get("doc.verified_at", "$", "string"), "yyyy-MM-dd").alias("verified_at"),
         F.posexplode("doc.models").alias("pos", "m"),
     ).withColumn("members", F.try_variant_get("m", "$", "map<string,variant>"))
 

@@ -90,7 +90,7 @@ def states(spark, d):
     stored = models.select(
         "model_id", F.when(F.col("pos") > 16, "paused").otherwise("completed").alias("state"),
         F.when(F.col("pos") > 16, "Interrupted; resume to continue").alias("reason"))
-    late = log.filter("attempt_id % 7 = 0")
+    late = log.filter("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'")
     dispatched = late.filter("model_id < 'model-05'").select("model_id").distinct()
     errors = late.filter("status = 'provider_error' AND model_id > 'model-08'").groupBy("model_id").agg(
         F.lit("blocked").alias("state"), F.concat(F.lit("errors: "), F.count("*").cast("string")).alias("reason"))
@@ -99,7 +99,7 @@ def states(spark, d):
 
 _STATES = """
     , chosen AS (SELECT * FROM run_catalog WHERE enabled AND pos <> 20),
-    late AS (SELECT * FROM attempts WHERE attempt_id % 7 = 0),
+    late AS (SELECT * FROM attempts WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'),
     done AS (SELECT model_id, count(DISTINCT task_id) = (SELECT count(DISTINCT task_id) FROM attempts) AS complete FROM finals GROUP BY model_id),
     e AS (SELECT model_id, 'errors: ' || CAST(count(*) AS VARCHAR) AS reason FROM late WHERE status = 'provider_error' AND model_id > 'model-08' GROUP BY model_id),
     s AS (SELECT model_id, CASE WHEN pos > 16 THEN 'paused' ELSE 'completed' END AS state,
