@@ -109,11 +109,14 @@ def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS)
     found = F.array_compact(F.array(*broken))
     for column, label in (("unknown_keys", "unknown key"), ("bad_types", "type")):
         if column in catalog.columns:
-            named = F.transform(F.col(column), lambda k, label=label: F.concat(F.lit(f"{label}: "), k))
-            found = F.concat(found, named)
+            found = F.concat(found, _labelled(column, label))
     return catalog.select("pos", "id", F.explode(found).alias("rule"))
 
 
+def _labelled(column: str, label: str) -> Column:
+    return F.transform(F.col(column), lambda name: F.concat(F.lit(f"{label}: "), name))
+
+
 def enabled_models(catalog: DataFrame) -> DataFrame:
     """Enabled models in configured order."""
     return catalog.filter("enabled").orderBy("pos")

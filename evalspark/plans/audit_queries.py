@@ -23,7 +23,7 @@ def declared(spark, d):
 
 def one_prompt(spark, d):
     """The reference text of one benchmark item, looked for in every document."""
-    prompt = table(spark, d, "benchmark").agg(F.concat(F.lit(" \n"), F.max("text"), F.lit(" ")).alias("prompt"))
+    prompt = table(spark, d, "benchmark").agg(F.concat(F.lit(chr(0xA0) + chr(10)), F.max("text"), F.lit(" ")).alias("prompt"))
     return audits.prompt_containment(table(spark, d, "documents"), prompt, "doc_id")
 
 

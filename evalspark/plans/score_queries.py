@@ -13,10 +13,13 @@ from .carriers import carrier
 from .oracle import ACCURACY, SUMS, documents, fold, in_list, judged, norm, sql, strip
 
 _PASSES = ", ".join(PASS_COLUMNS)
-_GRADE = [*PASS_COLUMNS, "n_pass", F.round("score", 6).alias("score"), "exact"]
 _GRADE_SQL = f"{_PASSES}, n_pass, round(score, 6) AS score, exact"
 
 
+def _graded(df: DataFrame, *ids: str) -> DataFrame:
+    return df.select(*ids, *PASS_COLUMNS, "n_pass", F.round("score", 6).alias("score"), "exact")
+
+
 def successes(spark: SparkSession, d: str) -> DataFrame:
     return carrier(spark, d, "attempts").filter("status = 'success'")
 
@@ -91,7 +94,7 @@ _FIELDS = "SELECT attempt_id, " + ", ".join(f"f_{f} AS {f}" for f in REPLY_FIELD
 
 def grade_with_missing(spark, d):
     said = successes(spark, d).select("attempt_id", "task_id", "reply")
-    return grading.grade_all(said, carrier(spark, d, "customer_truth")).select("task_id", "attempt_id", *_GRADE)
+    return _graded(grading.grade_all(said, carrier(spark, d, "customer_truth")), "task_id", "attempt_id")
 
 
 def names(spark, d):
@@ -207,7 +210,7 @@ QUERIES = {
     ),
     "accepted_names": (names, sql(_NAMES, "order_truth")),
     "grade_strict": (
-        lambda s, d: grades(s, d).select("model_id", "task_id", *_GRADE),
+        lambda s, d: _graded(grades(s, d), "model_id", "task_id"),
         sql(f"SELECT model_id, task_id, {_GRADE_SQL} FROM grades", "grades"),
     ),
     "grade_lenient_lines": (
