@@ -46,30 +46,30 @@ def string_fields(text: Column, fields: Sequence[str]) -> Column:
     return F.from_json(text, ",".join(f"`{f}` string" for f in fields), JSON_OPTIONS)
 
 
-def _wrapped(text: Column, value_type: str) -> Column:
+def wrapped(text: Column, value_type: str) -> Column:
+    """The text parsed behind its witness, as a map; see :func:`consumed`."""
     witness = F.concat(F.lit('{"w":'), text, F.lit(',"'), F.sha2(text, 256), F.lit('":null}'))
     return F.from_json(witness, f"map<string,{value_type}>", JSON_OPTIONS)
 
 
-def _consumed(wrapped: Column, text: Column) -> Column:
+def consumed(parsed: Column, text: Column) -> Column:
+    """The wrapped parse saw exactly one value."""
     expected = F.array(F.lit("w"), F.sha2(text, 256))
-    return F.coalesce(F.map_keys(wrapped) == expected, F.lit(False))
+    return F.coalesce(F.map_keys(parsed) == expected, F.lit(False))
 
 
 def json_single(text: Column) -> Column:
     """The text is exactly one JSON value with nothing but whitespace around it."""
-    return _consumed(_wrapped(text, "string"), text)
+    return consumed(wrapped(text, "string"), text)
 
 
-def json_object_struct(text: Column, fields: Sequence[str]) -> Column:
-    """The object's named members as variants: last duplicate wins, other members are ignored.
+def variant_fields(fields: Sequence[str]) -> str:
+    """Value type for :func:`wrapped` that reads the named members of an object as variants.
 
-    NULL unless the whole text is one JSON object. A member that cannot be held as a variant
+    The last duplicate wins and other members are skipped. A member that cannot be held as a variant
     (duplicate keys inside a nested object) is NULL and leaves the others alone.
     """
-    spec = ",".join(f"`{f}`: variant" for f in fields)
-    wrapped = _wrapped(text, f"struct<{spec}>")
-    return F.when(_consumed(wrapped, text), F.element_at(F.map_values(wrapped), 1))
+    return "struct<" + ",".join(f"`{f}`: variant" for f in fields) + ">"
 
 
 def json_unique_keys(text: Column) -> Column:

@@ -30,9 +30,21 @@ def norm_name(col: Column) -> Column:
     return F.regexp_replace(F.lower(col), "[^a-z0-9]", "")
 
 
+def not_blank(col: Column) -> Column:
+    """Something is left after stripping. A visible ASCII first character settles most values."""
+    visible_first = F.ascii(col).between(33, 126)
+    return F.coalesce(visible_first | (F.length(strip_unicode(col)) > 0), F.lit(False))
+
+
+def fold_closed(col: Column, allowed: Sequence[str]) -> Column:
+    """:func:`fold_label` for a field with a closed domain: a value that already is one of the
+    (folded) labels needs no stripping, which is the costly part."""
+    return F.when(col.isin(*allowed), col).otherwise(fold_label(col))
+
+
 def in_domain(col: Column, allowed: Sequence[str]) -> Column:
     """Two-valued membership of the folded label in a closed domain."""
-    return F.coalesce(fold_label(col).isin(*allowed), F.lit(False))
+    return F.coalesce(col.isin(*allowed) | fold_label(col).isin(*allowed), F.lit(False))
 
 
 def full_match(col: Column, pattern: str) -> Column:

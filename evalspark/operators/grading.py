@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_label, norm_name, percent
+from ..functions.text import fold_closed, norm_name, percent
 from ..schemas import PASS_COLUMNS, REPLY_DOMAINS, REPLY_FIELDS
 from .replies import STRICT, with_answer
 
-TRUTH_FIELDS = ("canonical", "aliases", "category", "weight", "modifier", "kerning", "line_height")
-
 
 def accepted_names(canonical: Column, aliases: Column) -> Column:
     """Normalized canonical name and aliases; empty and missing ones are ignored."""
@@ -33,14 +31,13 @@ def _answers(replies: DataFrame, mode: str) -> DataFrame:
     """Replies with the comparable form of each field: what the join shuffles instead of the text."""
     read = with_answer(replies, mode)
     folded = [norm_name(F.col("answer.font")).alias("p_font")]
-    folded += [fold_label(F.col(f"answer.{f}")).alias(f"p_{f}") for f in REPLY_DOMAINS]
+    folded += [fold_closed(F.col(f"answer.{f}"), v).alias(f"p_{f}") for f, v in REPLY_DOMAINS.items()]
     carried = [c for c in replies.columns if c != "reply"]
     return read.select(*carried, *folded)
 
 
 def _judged(df: DataFrame, carried: list[str]) -> DataFrame:
-    accepted = accepted_names(F.col("canonical"), F.col("aliases"))
-    passes = [font_pass(F.col("p_font"), accepted).alias("font_pass")]
+    passes = [font_pass(F.col("p_font"), F.col("accepted")).alias("font_pass")]
     passes += [label_pass(F.col(f"p_{f}"), F.col(f)).alias(f"{f}_pass") for f in REPLY_DOMAINS]
     labels = [F.col("canonical").alias("font"), *REPLY_DOMAINS]
     n_pass = sum((F.col(p).cast("int") for p in PASS_COLUMNS), F.lit(0))
@@ -52,6 +49,12 @@ def _judged(df: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
+def _expected(truth: DataFrame) -> DataFrame:
+    """Truth as it is compared: names are normalized once per task, not once per reply."""
+    accepted = accepted_names(F.col("canonical"), F.col("aliases"))
+    return truth.select("task_id", "canonical", accepted.alias("accepted"), *REPLY_DOMAINS)
+
+
 def grade(replies: DataFrame, truth: DataFrame, mode: str = STRICT) -> DataFrame:
     """Grade each reply against its task's truth. Replies to unknown tasks are dropped.
 
@@ -60,7 +63,7 @@ def grade(replies: DataFrame, truth: DataFrame, mode: str = STRICT) -> DataFrame
     the truth side is broadcast only if Spark finds it below its threshold.
     """
     carried = [c for c in replies.columns if c not in ("reply", "task_id")]
-    joined = _answers(replies, mode).join(truth.select("task_id", *TRUTH_FIELDS), "task_id")
+    joined = _answers(replies, mode).join(_expected(truth), "task_id")
     return _judged(joined, carried)
 
 
@@ -72,7 +75,7 @@ def grade_all(replies: DataFrame, truth: DataFrame, mode: str = STRICT) -> DataF
     """
     carried = [f for f in replies.schema.fields if f.name not in ("reply", "task_id")]
     answered = replies.select("task_id").distinct()
-    silent = truth.select("task_id", *TRUTH_FIELDS).join(answered, "task_id", "left_anti")
+    silent = _expected(truth).join(answered, "task_id", "left_anti")
     blanks = [F.lit(None).cast(f.dataType).alias(f.name) for f in carried]
     blanks += [F.lit(None).cast("string").alias(f"p_{f}") for f in REPLY_FIELDS]
     names = [f.name for f in carried]

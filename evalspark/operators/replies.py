@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_text import (
-    flat_string_object, json_object_struct, string_fields, variant_string,
+    consumed, flat_string_object, string_fields, variant_fields, variant_string, wrapped,
 )
-from ..functions.text import in_domain, strip_unicode
+from ..functions.text import in_domain, not_blank
 from ..schemas import REPLY_DOMAINS, REPLY_FIELDS
 
 STRICT, LENIENT = "strict", "lenient"
@@ -19,8 +19,7 @@ def _fields_valid(fields: Column) -> Column:
     present = F.lit(True)
     for name in REPLY_FIELDS:
         present = present & fields[name].isNotNull()
-    font = F.coalesce(F.length(strip_unicode(fields["font"])) > 0, F.lit(False))
-    ok = present & font
+    ok = present & not_blank(fields["font"])
     for name, allowed in REPLY_DOMAINS.items():
         ok = ok & in_domain(fields[name], allowed)
     return ok
@@ -42,16 +41,17 @@ def with_lenient_reply(df: DataFrame, text: str = "reply", into: str = "answer")
     """Field-by-field reading: last duplicate wins, extra members are ignored, a non-string value
     loses only its own field; NULL when the text is not one JSON object.
 
-    Well-behaved replies take the cheap typed parse, the rest the variant parse.
+    Well-behaved replies take the cheap typed parse, the rest the variant parse. The steps are
+    separate projections so that neither the regex nor a parse runs twice for a row.
     """
     raw = F.col(text)
-    mixed = json_object_struct(raw, REPLY_FIELDS)
-    df = df.withColumn("__mixed", F.when(~flat_string_object(raw), mixed))
-    slow = F.struct(*[variant_string(F.col("__mixed")[f]).alias(f) for f in REPLY_FIELDS])
-    fields = F.when(flat_string_object(raw), string_fields(raw, REPLY_FIELDS)).when(
-        F.col("__mixed").isNotNull(), slow
-    )
-    return df.withColumn(into, fields).drop("__mixed")
+    spec = variant_fields(REPLY_FIELDS)
+    steps = df.withColumn("__flat", flat_string_object(raw))
+    steps = steps.withColumn("__map", F.when(~F.col("__flat"), wrapped(raw, spec)))
+    steps = steps.withColumn("__obj", F.when(consumed(F.col("__map"), raw), F.element_at(F.map_values("__map"), 1)))
+    slow = F.struct(*[variant_string(F.col("__obj")[f]).alias(f) for f in REPLY_FIELDS])
+    fields = F.when(F.col("__flat"), string_fields(raw, REPLY_FIELDS)).when(F.col("__obj").isNotNull(), slow)
+    return steps.withColumn(into, fields).drop("__flat", "__map", "__obj")
 
 
 def with_answer(df: DataFrame, mode: str = STRICT, text: str = "reply", into: str = "answer") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import FAMILIES, LEVELS, MODIFIERS, PACKAGE_TAGS, PROVIDERS, WEIGHTS, WIDTHS
+from ..session import spread
 
 SPARK, DUCK = "spark", "duck"
 
@@ -257,6 +258,10 @@ CARRIERS = {
 }
 
 
+# Carriers with much work per row (reply text, normalized names): small scans of them are spread.
+SPREAD = ("attempts", "line_replies", "order_truth")
+
+
 def _split(projection: str) -> list[str]:
     """Top-level commas only: expressions hold commas in calls, arrays and literals."""
     parts, depth, quote, start = [], 0, False, 0
@@ -274,9 +279,16 @@ def _split(projection: str) -> list[str]:
 
 
 def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, steps = CARRIERS[name]
+    source, _ = CARRIERS[name]
     df = table(spark, sf_dir, source)
-    for projection in steps(SPARK):
+    if name in SPREAD:
+        df = spread(df)
+    return project(df, name)
+
+
+def project(df: DataFrame, name: str) -> DataFrame:
+    """The carrier's projections over any frame with the source's columns, also a stream."""
+    for projection in CARRIERS[name][1](SPARK):
         df = df.selectExpr(*_split(projection))
     return df
 

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from ..schemas import PASS_COLUMNS, SUCCESS
 from ..session import shared_dir
 from ..streaming import grading as stream
-from .carriers import CARRIERS, SPARK, _split, carrier, table
+from .carriers import CARRIERS, carrier, project, table
 from .oracle import judged, sql
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     """The attempts carrier as a stream over the event files."""
-    source, steps = CARRIERS["attempts"]
+    source, _ = CARRIERS["attempts"]
     schema = table(spark, d, source).schema
     # As a glob, the path may be one file or a folder of files.
-    df = spark.readStream.schema(schema).parquet(f"{d}/{source}.parque[t]")
-    for projection in steps(SPARK):
-        df = df.selectExpr(*_split(projection))
-    return df
+    return project(spark.readStream.schema(schema).parquet(f"{d}/{source}.parque[t]"), "attempts")
 
 
 def _finish(query) -> None:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
@@ -31,3 +31,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "evalspark-checkpoints")
     return f"{base.rstrip('/')}/evalspark/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has cores; else leave it alone.
+
+    A table in one small file would otherwise be parsed by one task. Large tables have more splits
+    than cores and never pay for a shuffle here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
