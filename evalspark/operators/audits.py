@@ -35,7 +35,7 @@ def balance(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def level_coverage(df: DataFrame, by: Sequence[str], axes: Sequence[str]) -> DataFrame:
     """Rows and distinct levels per axis in each group; counts distinct on the cells, not the rows."""
     cells = df.groupBy(*by, *axes).agg(F.count("*").alias("n"))
-    levels = [F.size(F.collect_set(a)).alias(f"{a}_levels") for a in axes]
+    levels = [F.count_distinct(a).alias(f"{a}_levels") for a in axes]
     return cells.groupBy(*by).agg(F.sum("n").alias("n"), *levels)
 
 

@@ -60,21 +60,25 @@ def protected_dirs(releases: DataFrame) -> DataFrame:
     )
 
 
-def frozen_overlaps(proposed: DataFrame, protected: DataFrame) -> DataFrame:
+def frozen_overlaps(proposed: DataFrame, protected: DataFrame, salts: int = 8) -> DataFrame:
     """Proposed paths that equal, lie under or contain a protected path.
 
     One row per distinct path with the number of protected paths met and the first registry entry
     among them. A prefix test between two tables is a nested loop; on ancestor prefixes it becomes
     equi-joins. Both sides are deduplicated first, so a proposal yields at most one row per path
-    level plus one, never a row per pair. The root directory is settled by scalar subqueries.
+    level plus one, never a row per pair. A directory above a large share of all proposals would be
+    a hot key, so that join is salted by the proposal; the protected side, a registry, is repeated
+    per salt. The root directory is settled by scalar subqueries.
     """
     paths = proposed.select("path").filter(F.col("path").isNotNull()).distinct()
     entry = F.min(F.struct("file_name", "field")).alias("entry")
     frozen = protected.groupBy("path").agg(entry)
     own = F.lit(1).cast("bigint").alias("k")
-    at_or_under = paths.select("path", F.explode(prefixes(F.col("path"))).alias("p")).join(
-        frozen.select(F.col("path").alias("p"), own, "entry"), "p"
-    ).select("path", "k", "entry")
+    salt = F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    at_or_under = paths.select("path", salt, F.explode(prefixes(F.col("path"))).alias("p")).join(
+        frozen.select(F.col("path").alias("p"), "entry", every_salt), ["p", "salt"]
+    ).select("path", own, "entry")
     holders = frozen.select(F.explode(strict_prefixes(F.col("path"))).alias("path"), "entry").groupBy("path").agg(
         F.count("*").alias("k"), F.min("entry").alias("entry")
     )

@@ -17,6 +17,16 @@ from ..schemas import SUCCESS
 QUEUE_BUCKET_DIGITS = 3
 
 
+def roster_ids(roster: DataFrame) -> Column:
+    """The selected model ids as one array (a scalar subquery)."""
+    return roster.agg(F.array_sort(F.collect_set("model_id"))).scalar()
+
+
+def of_roster(df: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows of selected models. A filter: joining on the few model ids would shuffle on hot keys."""
+    return df.filter(F.array_contains(roster_ids(roster), F.col("model_id")))
+
+
 def final_responses(attempts: DataFrame, keys: Sequence[str] = ("run_id", "model_id", "task_id")) -> DataFrame:
     """The latest successful attempt per key, ties broken by attempt id.
 
@@ -45,7 +55,7 @@ def pending_work(tasks: DataFrame, finals: DataFrame, roster: DataFrame) -> Data
     Instead of building the product and anti-joining it: finished models are collected per task (at
     most a roster's worth), joined once on the task, and the roster minus that set is exploded.
     """
-    selected = roster.agg(F.array_sort(F.collect_set("model_id"))).scalar()
+    selected = roster_ids(roster)
     done = finals.groupBy("task_id").agg(F.collect_set("model_id").alias("done"))
     none = F.array().cast("array<string>")
     # Two steps: a scalar subquery may not sit inside a generator.
@@ -67,13 +77,12 @@ def coverage(finals: DataFrame, tasks: DataFrame, roster: DataFrame) -> DataFram
     return out.withColumn("missing", missing).withColumn("complete", missing == 0)
 
 
-def _model_order(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
-    """Per model: pending count and the number of queue entries ahead of its first.
+def _model_order(counts: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
+    """Number of queue entries ahead of each model's first, from (model_id, n_pending).
 
-    Models with the fewest finished tasks go first, then in roster order. The windows run over one
+    Models with the fewest finished tasks go first, then in roster order. The window runs over one
     row per roster model.
     """
-    counts = pending.groupBy("model_id").agg(F.count("*").alias("n_pending"))
     models = roster.select("model_id", "provider", "pos").join(counts, "model_id").join(
         progress.select("model_id", "finished"), "model_id"
     )
@@ -93,9 +102,10 @@ def queue(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFra
         "bucket", F.substring("h", 1, QUEUE_BUCKET_DIGITS)
     )
     sizes = entries.groupBy("model_id", "bucket").agg(F.count("*").alias("n"))
+    counts = sizes.groupBy("model_id").agg(F.sum("n").alias("n_pending"))
     earlier = Window.partitionBy("model_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
-        _model_order(pending, progress, roster).select("model_id", "provider", "ahead"), "model_id"
+        _model_order(counts, progress, roster).select("model_id", "provider", "ahead"), "model_id"
     ).select("model_id", "bucket", "provider", (F.col("ahead") + F.col("before")).alias("offset"))
     within = Window.partitionBy("model_id", "bucket").orderBy("h", "task_id")
     ranked = entries.withColumn("rank", F.row_number().over(within))
@@ -106,7 +116,8 @@ def queue(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFra
 
 def entries_ahead(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
     """Queue entries before each provider's first one; needs only the per-model counts."""
-    return _model_order(pending, progress, roster).groupBy("provider").agg(F.min("ahead").alias("ahead"))
+    counts = pending.groupBy("model_id").agg(F.count("*").alias("n_pending"))
+    return _model_order(counts, progress, roster).groupBy("provider").agg(F.min("ahead").alias("ahead"))
 
 
 def with_prices(attempts: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PASS_COLUMNS, REPLY_FIELDS
+from .runs import of_roster, roster_ids
 
 METRICS = ("exact", *REPLY_FIELDS)
 
@@ -21,12 +22,16 @@ def _metric_sums() -> list[Column]:
     return sums + [_count(p).alias(f) for p, f in zip(PASS_COLUMNS, REPLY_FIELDS)]
 
 
+def _composite() -> Column:
+    return F.col("points") / (F.lit(float(len(REPLY_FIELDS))) * F.col("n"))
+
+
 def accuracy(grades: DataFrame, by: list[str]) -> DataFrame:
     """Denominator, correct count per metric and mean composite score for each group."""
     out = grades.groupBy(*by).agg(
         F.count("*").alias("n"), *_metric_sums(), _count("n_pass").alias("points")
     )
-    return out.withColumn("composite", F.col("points") / (F.lit(6.0) * F.col("n")))
+    return out.withColumn("composite", _composite())
 
 
 def metric_long(table: DataFrame, ids: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -58,14 +63,19 @@ def shared_cohort(finals: DataFrame, roster: DataFrame) -> DataFrame:
 
     One shuffle: the answering models are collected per task, a set no larger than the roster.
     """
-    size = roster.select("model_id").distinct().agg(F.count("*")).scalar()
-    answered = finals.join(roster.select("model_id").distinct(), "model_id", "left_semi")
-    per_task = answered.groupBy("task_id").agg(F.size(F.collect_set("model_id")).alias("k"))
-    return per_task.filter(F.col("k") == size).select("task_id")
+    per_task = of_roster(finals, roster).groupBy("task_id").agg(F.size(F.collect_set("model_id")).alias("k"))
+    return per_task.filter(F.col("k") == F.size(roster_ids(roster))).select("task_id")
 
 
 def shared_accuracy(grades: DataFrame, roster: DataFrame) -> DataFrame:
-    """Accuracy per roster model over the tasks all of them answered."""
-    common = grades.join(roster.select("model_id").distinct(), "model_id", "left_semi")
-    common = common.join(shared_cohort(grades, roster), "task_id", "left_semi")
-    return accuracy(common, ["model_id"])
+    """Accuracy per roster model over the tasks all of them answered.
+
+    Grades are first summed per (model, task): whatever the number of repeated trials, a task then
+    has at most a roster's worth of rows when it is joined with the cohort. Where grades come out of
+    a join or aggregate on these keys, that needs no further shuffle.
+    """
+    cells = of_roster(grades, roster).groupBy("model_id", "task_id").agg(
+        F.count("*").alias("n"), *_metric_sums(), _count("n_pass").alias("points"))
+    common = cells.join(shared_cohort(cells, roster), "task_id", "left_semi")
+    out = common.groupBy("model_id").agg(*[F.sum(c).alias(c) for c in ("n", *METRICS, "points")])
+    return out.withColumn("composite", _composite())

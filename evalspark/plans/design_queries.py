@@ -143,15 +143,13 @@ _COVERAGE = """
 
 def coverage(spark, d):
     axes = ["kerning", "line_height", "width"]
-    out = audits.level_coverage(carrier(spark, d, "samples"), ["weight", "modifier"], axes)
-    return out.withColumns({f"{a}_levels": F.col(f"{a}_levels").cast("bigint") for a in axes})
+    return audits.level_coverage(carrier(spark, d, "samples"), ["weight", "modifier"], axes)
 
 
 def coverage_gaps(spark, d):
     """Faces of the corpus that do not have exactly one sample on each of three levels."""
     axes = ["kerning", "line_height", "width"]
-    out = audits.coverage_violations(carrier(spark, d, "samples"), ["font", "weight", "modifier"], axes, 3)
-    return out.withColumns({f"{a}_levels": F.col(f"{a}_levels").cast("bigint") for a in axes})
+    return audits.coverage_violations(carrier(spark, d, "samples"), ["font", "weight", "modifier"], axes, 3)
 
 
 _COVERAGE_GAPS = """

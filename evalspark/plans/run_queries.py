@@ -131,7 +131,8 @@ _VIOLATIONS = " UNION ALL ".join(
 
 QUERIES = {
     "attempt_log": (
-        lambda s, d: carrier(s, d, "attempts"), sql("SELECT * FROM attempts", "attempts")),
+        lambda s, d: carrier(s, d, "attempts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")),
+        sql("SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM attempts", "attempts")),
     "final_responses": (
         lambda s, d: run_finals(s, d).select("run_id", "model_id", "task_id", "attempt_id", "reply"),
         sql("SELECT run_id, model_id, task_id, attempt_id, reply FROM run_finals", "run_finals")),

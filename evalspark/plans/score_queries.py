@@ -93,8 +93,8 @@ _FIELDS = "SELECT attempt_id, " + ", ".join(f"f_{f} AS {f}" for f in REPLY_FIELD
 # --- grading --------------------------------------------------------------------------------
 
 def grade_with_missing(spark, d):
-    said = successes(spark, d).select("attempt_id", "task_id", "reply")
-    return _graded(grading.grade_all(said, carrier(spark, d, "customer_truth")), "task_id", "attempt_id")
+    said = successes(spark, d).select(F.col("attempt_id").cast("string").alias("attempt"), "task_id", "reply")
+    return _graded(grading.grade_all(said, carrier(spark, d, "customer_truth")), "task_id", "attempt")
 
 
 def names(spark, d):
@@ -219,7 +219,7 @@ QUERIES = {
     ),
     "grade_with_missing": (
         grade_with_missing,
-        sql(f"SELECT task_id, attempt_id, {_GRADE_SQL} FROM ("
+        sql(f"SELECT task_id, CAST(attempt_id AS VARCHAR) AS attempt, {_GRADE_SQL} FROM ("
             + judged("strict_successes", "customer_truth", "r.attempt_id", "LEFT JOIN") + ")",
             "strict_successes", "customer_truth"),
     ),

@@ -13,7 +13,7 @@ LOG_GLOB = "attempts*.jsonl"
 def _placed(df: DataFrame) -> DataFrame:
     """Release and run id from ``<release>/<run-id>/<log file>``."""
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return df.withColumns({"release": F.element_at(parts, -3), "run_id": F.element_at(parts, -2)})
+    return df.withColumns({"release": F.try_element_at(parts, F.lit(-3)), "run_id": F.try_element_at(parts, F.lit(-2))})
 
 
 def read_attempts(spark: SparkSession, runs_root: str) -> DataFrame:
