@@ -13,6 +13,9 @@ from ..schemas import (
     CATALOG_VERSION, DEFAULT_MAX_OUTPUT_TOKENS, MAX_ENABLED_PER_PROVIDER, PROVIDERS,
 )
 
+# Members of a catalog document.
+DOCUMENT_FIELDS = ("version", "verified_at", "models")
+
 # Catalog fields with the kind of JSON value each takes.
 REQUIRED_TEXT = ("id", "provider", "model", "display_name", "api_key_env", "source_url")
 OPTIONAL_TEXT = ("pricing_source_url", "base_url")
@@ -24,7 +27,7 @@ CATALOG_FIELDS = (
 
 # Patterns the fields must match as a whole.
 ID_PATTERN = r"[a-z0-9][a-z0-9._-]*"
-MODEL_PATTERN = r"\S+"
+MODEL_PATTERN = r"(?U:\S+)"  # Unicode whitespace counts too
 ENV_PATTERN = r"[A-Z_][A-Z0-9_]*"
 URL_PATTERN = r"(?i:https?)://[^\s/?#]+(?:[/?#]\S*)?"
 
@@ -34,14 +37,17 @@ _NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\)"
 def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     """One row per model of each catalog document, with its position.
 
-    ``unknown_keys`` lists members outside the schema and ``bad_types`` fields whose JSON value is
+    ``unknown_keys`` lists members outside the schema (those of the document itself with a
+    ``document.`` prefix) and ``bad_types`` fields whose JSON value is
     of the wrong kind (no coercion: ``"3"`` is not a price, ``1024.0`` not a token count) or, where
     required, absent.
     """
     doc = F.from_json(F.col(text), "version variant, verified_at variant, models array<variant>", JSON_OPTIONS)
     carried = [c for c in documents.columns if c != text]
-    models = documents.select(*carried, doc.alias("doc")).select(
-        *carried,
+    keys = F.map_keys(F.from_json(F.col(text), "map<string,string>", JSON_OPTIONS))
+    strange = F.array_except(keys, F.array(*map(F.lit, DOCUMENT_FIELDS)))
+    models = documents.select(*carried, doc.alias("doc"), strange.alias("strange")).select(
+        *carried, "strange",
         F.when(F.schema_of_variant("doc.version") == "BIGINT", F.try_variant_get("doc.version", "$", "int")).alias("version"),
         F.try_to_date(F.try_variant_get("doc.verified_at", "$", "string"), "yyyy-MM-dd").alias("verified_at"),
         F.posexplode("doc.models").alias("pos", "m"),
@@ -75,7 +81,10 @@ def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     known = F.array(*map(F.lit, CATALOG_FIELDS))
     return models.select(
         *carried, "version", "verified_at", "pos", *[c.alias(f) for f, c in out.items()],
-        F.array_sort(F.array_except(F.map_keys("members"), known)).alias("unknown_keys"),
+        F.concat(
+            F.array_sort(F.array_except(F.map_keys("members"), known)),
+            F.transform("strange", lambda name: F.concat(F.lit("document."), name)),
+        ).alias("unknown_keys"),
         F.array_compact(F.array(*bad)).alias("bad_types"),
     )
 
@@ -90,6 +99,7 @@ def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS)
 
     rules = {
         "version": F.col("version") == CATALOG_VERSION,
+        "verified_at": F.col("verified_at").isNotNull(),
         "id": full_match(F.col("id"), ID_PATTERN),
         "provider": F.col("provider").isin(*providers),
         "model": full_match(F.col("model"), MODEL_PATTERN),
@@ -114,7 +124,8 @@ def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS)
 
 
 def _labelled(column: str, label: str) -> Column:
-    return F.transform(F.col(column), lambda name: F.concat(F.lit(f"{label}: "), name))
+    named = F.transform(F.col(column), lambda name: F.concat(F.lit(f"{label}: "), name))
+    return F.coalesce(named, F.array().cast("array<string>"))
 
 
 def enabled_models(catalog: DataFrame) -> DataFrame:

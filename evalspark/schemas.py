@@ -62,10 +62,6 @@ MANIFEST_JSON = (
     "taskId string, imageSha256 string, fontName string, aliases array<string>, category string,"
     " weight string, modifier string, kerning string, lineHeight string, widthId string, widthPx double"
 )
-RELEASE_JSON = (
-    "dataset_manifest string, harbor_dataset string, git_commit string, fingerprint string,"
-    " protocol_fingerprint string"
-)
 ATTEMPT_JSON = (
     "attempt_id bigint, model_id string, task_id string, ts timestamp, status string, reply string,"
     " input_tokens bigint, output_tokens bigint"

@@ -16,7 +16,7 @@ CASES = {
     "full": ({"pricing_source_url": "http://x.io", "base_url": None, "input_per_m": 0, "output_per_m": 2.5, "max_output_tokens": 5,
               "enabled": False, "notes": "n", "pricing_notes": ""}, []),
     "upper id": ({"id": "Abc"}, ["id"]), "dash id": ({"id": "-a"}, ["id"]), "newline id": ({"id": "a" + NL}, ["id"]),
-    "provider": ({"provider": "acme"}, ["provider"]), "blank model": ({"model": "a b"}, ["model"]),
+    "provider": ({"provider": "acme"}, ["provider"]), "blank model": ({"model": "a b"}, ["model"]), "wide blank": ({"model": "a" + chr(0xA0) + "b"}, ["model"]),
     "name": ({"display_name": ""}, ["display_name"]), "env": ({"api_key_env": "m_KEY"}, ["api_key_env"]),
     "env newline": ({"api_key_env": "M" + NL}, ["api_key_env"]), "url": ({"source_url": "ftp://x"}, ["source_url"]),
     "negative": ({"input_per_m": -1}, ["input_per_m"]), "nan": ({"input_per_m": float("nan")}, ["input_per_m"]),
@@ -50,6 +50,12 @@ def test_defaults_and_missing(spark):
     assert str(row.verified_at) == "2026-09-01"
 
 
+def test_document_members(spark):
+    doc = json.dumps({"version": 1, "verified_at": "yesterday", "models": [BASE], "owner": "x"})
+    df = catalog.parse_catalog(spark.createDataFrame([(doc,)], "value string"))
+    assert sorted(r.rule for r in catalog.catalog_violations(df).collect()) == ["unknown key: document.owner", "verified_at"]
+
+
 def test_version(spark):
     rules = [r.rule for r in catalog.catalog_violations(parsed(spark, [BASE], version=2)).collect()]
     assert rules == ["version"]

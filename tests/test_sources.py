@@ -57,6 +57,7 @@ def tree(tmp_path):
         (d / "tests" / "ground_truth.json").write_text(json.dumps({"taskId": f"t{i}", "harborTaskId": name, "canonical": "Arial", **shared}))
         manifest.append({"taskId": f"t{i}", "imageSha256": hashlib.sha256(bytes([i] * 100)).hexdigest(), "fontName": "Arial", **shared})
     manifest[1]["kerning"] = "normal"
+    manifest.insert(0, {**manifest[0], "fontName": "Superseded"})
     (tmp_path / "manifest.json").write_text(json.dumps(manifest, indent=1))
     (tmp_path / "corpus" / "dataset.toml").write_text(DESCRIPTOR.format(grading='grading_version = "3"\n'))
     (tmp_path / "old.toml").write_text(DESCRIPTOR.format(grading=""))
@@ -86,7 +87,7 @@ def test_truth_manifest_images(spark, tree):
     package = truth.join(images, "directory")
     fields = {"canonical": "font_name", "image_sha256": "image_sha256"}
     fields |= {f: f for f in ("aliases", "category", "weight", "modifier", "kerning", "line_height", "width", "width_px")}
-    got = [tuple(r) for r in audits.field_mismatches(package, manifest, "task_id", fields).collect()]
+    got = [tuple(r) for r in audits.field_mismatches(package, manifest, "task_id", fields, order="pos").collect()]
     assert got == [("t1", "kerning", "tight", "normal")]
     assert audits.key_diff(truth, manifest, "task_id").count() == 0
 
@@ -108,13 +109,13 @@ def test_missing_package_files(spark, tree):
 
 def test_replies_by_path_rank(spark, tmp_path):
     for root, task, data in (("first", "a", b"junk"), ("second", "a", json.dumps(LABELS).encode()), ("second", "b", json.dumps(LABELS).encode()),
-                             ("first", "c", b"\xff\xfe{}")):
+                             ("first", "c", b"\xff\xfe{}"), ("first", "d", b"\xef\xbb\xbf" + json.dumps(LABELS).encode()), ("first", "e", b"")):
         (tmp_path / root / task).mkdir(parents=True)
         (tmp_path / root / task / "output.json").write_bytes(data)
     found = packages.read_replies(spark, [str(tmp_path / "first"), str(tmp_path / "second")])
     chosen = replies.first_existing(found, ["task_id"])
     status = replies.with_strict_reply(chosen).select("task_id", replies.reply_status(chosen["reply"], replies.F.col("answer")).alias("s"))
-    assert {r.task_id: r.s for r in status.collect()} == {"a": "invalid", "b": "valid", "c": "invalid"}
+    assert {r.task_id: r.s for r in status.collect()} == {"a": "invalid", "b": "valid", "c": "invalid", "d": "invalid", "e": "invalid"}
 
 
 def test_every_expected_label_scores_full_marks(spark, tree):
