@@ -45,7 +45,11 @@ def union_runs(runs: Sequence[DataFrame]) -> DataFrame:
 
 
 def compatible_runs(attempts: DataFrame, releases: DataFrame) -> DataFrame:
-    """Only attempts recorded against a registered release with its very fingerprint."""
+    """Only attempts recorded against a registered release with its very fingerprint.
+
+    A semi join, so a release registered twice multiplies nothing. Read the registry from its table
+    or files: Spark then knows how small it is and broadcasts it, and attempts stay where they are.
+    """
     return attempts.join(releases, ["release", "fingerprint"], "left_semi")
 
 
@@ -56,7 +60,7 @@ def pending_work(tasks: DataFrame, finals: DataFrame, roster: DataFrame) -> Data
     most a roster's worth), joined once on the task, and the roster minus that set is exploded.
     """
     selected = roster_ids(roster)
-    done = finals.groupBy("task_id").agg(F.collect_set("model_id").alias("done"))
+    done = of_roster(finals, roster).groupBy("task_id").agg(F.collect_set("model_id").alias("done"))
     none = F.array().cast("array<string>")
     # Two steps: a scalar subquery may not sit inside a generator.
     left = tasks.select("task_id").join(done, "task_id", "left").withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, runs
 from ..schemas import PROVIDERS
-from .carriers import carrier
+from .carriers import carrier, table
 from .oracle import in_list, sql
 from .score_queries import finals, roster
 
@@ -26,7 +26,8 @@ def merged_runs(spark, d):
 
 def compatible(spark, d):
     log = carrier(spark, d, "attempts")
-    registered = log.filter("fingerprint = 'fp-1'").select("release", "fingerprint").distinct()
+    registered = table(spark, d, "region").filter("r_regionkey > 0").selectExpr(
+        "'1.0.0' AS release", "'fp-' || CAST(r_regionkey AS STRING) AS fingerprint")
     return runs.compatible_runs(log, registered).groupBy("run_id", "fingerprint").agg(F.count("*").alias("n"))
 
 
@@ -142,7 +143,8 @@ QUERIES = {
             " FROM attempts GROUP BY run_id, model_id", "attempts")),
     "compatible_runs": (
         compatible,
-        sql("SELECT run_id, fingerprint, count(*) AS n FROM attempts WHERE fingerprint = 'fp-1' GROUP BY ALL", "attempts")),
+        sql("SELECT run_id, fingerprint, count(*) AS n FROM attempts WHERE fingerprint IN"
+            " (SELECT 'fp-' || CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey > 0) GROUP BY ALL", "attempts")),
     "pending_work": (pending, sql(_PENDING, "roster", "customer_truth", "finals")),
     "coverage": (progress, sql(_COVERAGE, "roster", "customer_truth", "finals")),
     "queue": (
