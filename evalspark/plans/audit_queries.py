@@ -155,6 +155,11 @@ QUERIES = {
     "key_diff": (
         lambda s, d: audits.key_diff(table(s, d, "documents"), table(s, d, "labels"), "doc_id"),
         f"SELECT doc_id, CASE WHEN n_right = 0 THEN 'left' ELSE 'right' END AS only_in FROM ({_BOTH}) WHERE n_left = 0 OR n_right = 0"),
+    "key_diff_both_ways": (
+        lambda s, d: audits.key_diff(
+            table(s, d, "labels"), table(s, d, "pages").select(F.col("page_id").alias("doc_id")), "doc_id"),
+        "SELECT doc_id, 'left' AS only_in FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)"
+        " UNION ALL SELECT page_id, 'right' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)"),
     "field_mismatches": (mismatches, sql(_MISMATCHES, "samples", "manifest")),
     "prompt_containment": (
         one_prompt,

@@ -135,6 +135,22 @@ def test_single_checks(spark):
     assert {r[0]: tuple(r)[1:] for r in rows} == {k: v[1:] for k, v in cases.items()}
 
 
+def test_long_texts_do_not_exhaust_the_stack(spark):
+    """Many escapes in one string, many members, deep nesting: whole texts, no recursion limits hit."""
+    cases = [
+        (with_font('"' + (BS + '"') * 150_000 + 'a"'), True),
+        (with_font('"' + (BS + "u0041") * 100_000 + '"'), True),
+        (with_font('"' + (BS + '"') * 150_000), False),
+        (G[:-1] + "".join(f',"k{i}":"v"' for i in range(30_000)) + "}", False),
+        (with_font("[" * 900 + "]" * 900), False),
+    ]
+    df = replies.with_strict_reply(texts(spark, [t for t, _ in cases]))
+    assert {r.i: r.answer is not None for r in df.select("i", "answer").collect()} == {i: ok for i, (_, ok) in enumerate(cases)}
+    lax = replies.with_lenient_reply(texts(spark, [t for t, _ in cases]))
+    got = {r.i: r.weight for r in lax.select("i", "answer.weight").collect()}
+    assert got == {0: "bold", 1: "bold", 2: None, 3: "bold", 4: "bold"}
+
+
 def test_strict_does_not_depend_on_the_duplicate_key_setting(spark):
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     try:
