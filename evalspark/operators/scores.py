@@ -72,7 +72,9 @@ def shared_accuracy(grades: DataFrame, roster: DataFrame) -> DataFrame:
 
     Grades are first summed per (model, task): whatever the number of repeated trials, a task then
     has at most a roster's worth of rows when it is joined with the cohort. Where grades come out of
-    a join or aggregate on these keys, that needs no further shuffle.
+    a join or aggregate on these keys, that needs no further shuffle. (For repeated trials with a hot
+    task, ``spark.sql.adaptive.forceOptimizeSkewedJoin`` lets Spark trade that saving for a split of
+    the grading join; final responses hold one row per model and task and cannot be hot.)
     """
     cells = of_roster(grades, roster).groupBy("model_id", "task_id").agg(
         F.count("*").alias("n"), *_metric_sums(), _count("n_pass").alias("points"))
