@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grading import grade
 from ..operators.replies import STRICT
+from ..operators.runs import coverage, model_state
 from ..schemas import PASS_COLUMNS, SUCCESS
 
 KEYS = ("run_id", "model_id", "task_id")
@@ -61,3 +62,23 @@ def replace_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
     writer = stream.writeStream.outputMode("complete").trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).foreachBatch(write).start()
+
+
+def publish_states(
+    attempts: DataFrame, finals_path: str, tasks: DataFrame, stored: DataFrame, roster: DataFrame, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Live form of :func:`evalspark.operators.runs.model_state`: rewrite the state table as attempts arrive.
+
+    Models with attempts in the micro-batch count as dispatched. A model whose latest attempt in it
+    failed takes that attempt's status as its state. Progress is read from the table of first
+    successes that :func:`append_files` maintains. Other models show what their coverage says.
+    """
+    def write(batch: DataFrame, _: int) -> None:
+        finals = batch.sparkSession.read.parquet(finals_path)
+        latest = batch.groupBy("model_id").agg(F.max_by("status", F.struct("ts", "attempt_id")).alias("state"))
+        errors = latest.filter(F.col("state") != SUCCESS).withColumn("reason", F.lit("latest attempt failed"))
+        states = model_state(coverage(finals, tasks, roster), stored, roster, latest, errors)
+        states.write.mode("overwrite").parquet(path)
+
+    writer = attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).start()

@@ -60,3 +60,25 @@ def test_progress(spark, tmp_path):
     assert step() == {"m": (1, 1, 1)}
     write_log(runs, "r", "attempts-2.jsonl", [attempt(2, "m", "n", reply=reply("n", weight="thin")), attempt(3, "k", "t", reply=json.dumps({}))])
     assert step() == {"m": (2, 1, 1), "k": (1, 0, 0)}
+
+
+def test_live_states(spark, tmp_path):
+    runs, base = tmp_path / "runs", str(tmp_path)
+    tasks = spark.createDataFrame([("t",), ("n",)], "task_id string")
+    roster = spark.createDataFrame([("done",), ("going",), ("broken",), ("idle",)], "model_id string")
+    stored = spark.createDataFrame([(m, "paused", "old") for m in ("done", "going", "broken", "idle", "out")], "model_id string, state string, reason string")
+
+    def step():
+        firsts = stream.first_success_stream(logs.stream_attempts(spark, str(runs)), salts=2)
+        finish(stream.append_files(firsts, f"{base}/first", f"{base}/first-ck"))
+        finish(stream.publish_states(logs.stream_attempts(spark, str(runs)), f"{base}/first", tasks, stored, roster, f"{base}/states", f"{base}/states-ck"))
+        return {r.model_id: (r.state, r.reason) for r in spark.read.parquet(f"{base}/states").collect()}
+
+    write_log(runs, "r", "attempts-1.jsonl", [
+        attempt(1, "done", "t"), attempt(2, "going", "t"), attempt(3, "broken", "t"), attempt(4, "broken", "n", "provider_error", None)])
+    assert step() == {
+        "done": ("running", None), "going": ("running", None), "broken": ("provider_error", "latest attempt failed"),
+        "idle": ("pending", None), "out": ("paused", "old")}
+    write_log(runs, "r", "attempts-2.jsonl", [attempt(5, "done", "n")])
+    assert step() == {
+        "done": ("completed", None), "going": ("pending", None), "broken": ("pending", None), "idle": ("pending", None), "out": ("paused", "old")}
