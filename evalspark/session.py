@@ -27,9 +27,16 @@ def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's checkpoint folder; local temp only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder below the cluster's shared checkpoint folder.
+
+    The folder is `spark.checkpoint.dir`, or the one given to `setCheckpointDir`. Only a local master, where
+    driver and executors are one machine, may fall back to the machine's temporary folder.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "evalspark-checkpoints")
     return f"{base.rstrip('/')}/evalspark/{purpose}-{uuid.uuid4().hex}"
 
