@@ -27,6 +27,14 @@ def given_id(name: str) -> Column:
     return F.when(F.col(name) != F.lit(NO_ID), F.col(name))
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """Rows (id, text) with every id once. Rows that share an id become one with the greatest of their texts;
+    only where such rows exist are the texts shuffled for it."""
+    if docs.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("id").agg(F.max("text").alias("text"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label the least node of the component.
 
