@@ -19,6 +19,7 @@ NO_ID = -(1 << 63)  # stands for a null id inside the operators
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 EMPTY = np.empty(0, U)
@@ -102,10 +103,11 @@ def byte_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text: 64-bit hashes, byte starts, byte ends, and word offsets by text."""
+def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text: 64-bit hashes, byte starts, byte ends, and word offsets by text.
+    `space` tells for each byte whether it separates words."""
     inside = np.zeros(len(buf) + 2, bool)
-    np.logical_not(SPACE[buf], out=inside[1:-1])
+    np.logical_not(space[buf], out=inside[1:-1])
     edge = np.zeros(len(buf) + 1, bool)
     edge[offs] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
