@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, substring, suffix, toxicity
+from . import decontaminate, minhash, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_suffix": (op2_suffix, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_minhash": (op7_minhash, None),
+    "op8_warc": (op8_warc, None),
     "op9_substring": (op9_substring, None),
     "op10_decontaminate": (op10_decontaminate, None),
 }
