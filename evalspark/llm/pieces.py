@@ -18,20 +18,22 @@ SAMPLES = 2
 SHARPNESS = 1.5  # a piece of merge rank r weighs (1 + r) ** -SHARPNESS, about as often as such words occur
 SEED = 17
 SPACE_MARK = "▁"
-GROUP = 1 << 17
-FILTER_BITS = 22
+GROUP = 1 << 19
+TABLE_BITS = 18
+FILTER_BITS = 20
 
 ENCODED = "id long, sample int, ids array<int>, log_prob double, log_inclusion double"
 
 
 class Pieces(NamedTuple):
     """The vocabulary as arrays: sorted hashes of the pieces' bytes (the space mark as a space), and of all
-    beginnings of pieces; `whole` and `begun` are bitmaps over them."""
+    beginnings of pieces. `table` has the first piece by the leading bits of its hash, `begun` is a bitmap."""
 
     hashes: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
-    whole: np.ndarray
+    table: np.ndarray
+    probes: int  # most pieces that share these bits
     begun: np.ndarray
     longest: int
     byte_ids: np.ndarray
@@ -58,11 +60,16 @@ def load(model_file: str = MODEL, sharpness: float = SHARPNESS) -> Pieces:
             ids.append(i)
     best = max(model.get_score(i) for i in ids)
     weight = {i: -sharpness * np.log1p(best - model.get_score(i)) for i in ids}
+    if any(b" " in texts[i].lstrip(b" ") for i in ids):
+        raise ValueError("a piece goes on after a space: words are no units of this model")
     hashes = np.array([_hash(texts[i]) for i in ids], A.U)
     order = np.argsort(hashes)
     begun = np.unique(np.array([_hash(texts[i][:k]) for i in ids for k in range(1, len(texts[i]) + 1)], A.U))
+    bits = hashes[order] >> A.U(64 - TABLE_BITS)
+    table = np.searchsorted(bits, np.arange(1 << TABLE_BITS, dtype=np.uint64)).astype(np.int32)
+    probes = int(np.unique(bits, return_counts=True)[1].max())
     return Pieces(
-        hashes[order], np.array(ids)[order], np.array([weight[i] for i in ids])[order], _bitmap(hashes), _bitmap(begun),
+        hashes[order], np.array(ids)[order], np.array([weight[i] for i in ids])[order], table, probes, _bitmap(begun),
         max(len(texts[i]) for i in ids), byte_ids, min(weight.values()) - 1.0, texts,
     )
 
@@ -112,25 +119,29 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
         if not len(at):
             break
         h = A.WORDS.of(prefix, at, at + size)
-        low = (h >> A.U(64 - FILTER_BITS)).astype(np.int64)
-        hit = np.flatnonzero(pieces.whole[low])
-        place = np.minimum(np.searchsorted(pieces.hashes, h[hit]), len(pieces.hashes) - 1)
-        ok = pieces.hashes[place] == h[hit]
-        own = at[hit[ok]]
-        whole_char[own[size_of[own] == size]] = True
-        found.append((own, np.full(len(own), size), place[ok]))
-        at = at[pieces.begun[low]]
+        on = np.flatnonzero(pieces.begun[(h >> A.U(64 - FILTER_BITS)).astype(np.int64)])
+        at, h = at[on], h[on]
+        first = pieces.table[(h >> A.U(64 - TABLE_BITS)).astype(np.int64)]
+        for probe in range(pieces.probes):
+            place = np.minimum(first + probe, len(pieces.hashes) - 1)
+            ok = np.flatnonzero(pieces.hashes[place] == h)
+            own = at[ok]
+            if size <= 4:
+                whole_char[own[size_of[own] == size]] = True
+            found.append((own, np.full(len(own), size), place[ok]))
     lone = chars[~whole_char[chars]]
     found.append((lone, size_of[lone], np.full(len(lone), -1)))
     src, size, piece = (np.concatenate(x) for x in zip(*found))
     weight = np.where(piece >= 0, pieces.weights[piece], pieces.fallback * size)
     crossed = np.bincount(src + 1, minlength=n + 2)[: n + 1] - np.bincount(src + size, minlength=n + 1)[: n + 1]
     border = np.cumsum(crossed) == 0
-    begins = np.flatnonzero(border)
-    wave = np.arange(n + 1) - begins[np.searchsorted(begins, np.arange(n + 1), "left") - 1]
-    wave[0] = 0
+    # how far a node is from the last border before it
+    wave = np.zeros(n + 1, np.int64)
+    wave[1:] = np.arange(1, n + 1) - np.maximum.accumulate(np.where(border, np.arange(n + 1), 0))[:-1]
     end = src + size
-    order = np.argsort(wave[end] * (n + 1) + end, kind="stable")
+    order = np.argsort(end.astype(np.int32), kind="stable")
+    of_wave = wave[end[order]]
+    order = order[np.argsort(of_wave.astype(np.uint16) if wave.max() < 65536 else of_wave, kind="stable")]
     src, size, piece, weight, end = src[order], size[order], piece[order], weight[order], end[order]
     heads = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.empty(0, np.int64)
     nodes = end[heads]
@@ -166,17 +177,21 @@ class Walk(NamedTuple):
     noisy: np.ndarray  # log probability of the option plus Gumbel noise
 
 
-def walk(net: Lattice, key: np.ndarray, text: np.ndarray, chunk: np.ndarray, node: np.ndarray, step: np.ndarray, round_: int, base: np.ndarray) -> Walk:
+def walk(
+    net: Lattice, key: np.ndarray, text: np.ndarray, chunk: np.ndarray, node: np.ndarray, step: np.ndarray, round_: int,
+    shift: np.ndarray,
+) -> Walk:
     """Walk each chunk from `node` back to its start, taking at each node the edge of greatest perturbed
-    score: an exact sample. The noise depends on the text's key, the place in the text and the round only."""
+    score: an exact sample. The noise depends on the text's key, the place in the text (`shift` by chunk turns
+    nodes into places) and the round only."""
     parts = []
     while len(node):
         count = net.count[node]
         of = np.repeat(np.arange(len(node)), count)
         edge = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(net.first[node], count)
         log_p = net.ahead[net.src[edge]] + net.weight[edge] - np.repeat(net.total[node], count)
-        place = (net.src[edge] - base[text][of]).astype(np.uint64) * A.U(64) + net.size[edge].astype(np.uint64)
-        seed = A.mix(key[text] + A.U(round_) * A.U(0x9E3779B97F4A7C15))
+        place = (net.src[edge] + shift[chunk][of]).astype(np.uint64) * A.U(64) + net.size[edge].astype(np.uint64)
+        seed = A.mix(key[text] + A.U(round_ * 0x9E3779B97F4A7C15 % 2**64))
         u = (A.mix(seed[of] + place * A.U(0xBF58476D1CE4E5B9)) >> A.U(12)).astype(np.float64)
         noisy = log_p - np.log(-np.log((u + 0.5) / 2.0**52))
         heads = np.cumsum(count) - count
@@ -191,7 +206,7 @@ def walk(net: Lattice, key: np.ndarray, text: np.ndarray, chunk: np.ndarray, nod
         none = np.empty(0, np.int64)
         return Walk(none, none, none, none, np.empty(0), np.zeros(1, np.int64), none, np.empty(0))
     text, chunk, step, edge, log_p, count, options, noisy = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((step, chunk))
+    order = np.argsort(chunk, kind="stable")  # steps come in order already
     start = np.cumsum(count) - count
     n = count[order]
     spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[order], n)
@@ -220,6 +235,25 @@ def _truncated(walked: Walk, before: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.where(score >= most, peak, value)
 
 
+def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with the spaces before them: where each begins, which of the different ones it is, and the bytes
+    and offsets of the different ones."""
+    space = buf == 0x20
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    starts[offs[:-1][offs[:-1] < len(buf)]] = True
+    begin = np.flatnonzero(starts)
+    end = np.append(begin[1:], len(buf)) if len(begin) else begin
+    _, first, inverse = np.unique(A.WORDS.of(A.WORDS.prefix(buf), begin, end), return_index=True, return_inverse=True)
+    size = (end - begin)[first]
+    at = np.concatenate(([0], np.cumsum(size)))
+    joined = buf[np.arange(at[-1]) - np.repeat(at[:-1], size) + np.repeat(begin[first], size)]
+    same = np.array_equal(size[inverse], end - begin)
+    if not same or not np.array_equal(joined[np.arange(len(buf)) - np.repeat(begin - at[:-1][inverse], end - begin)], buf):
+        return begin, np.arange(len(begin)), buf, np.append(begin, len(buf))  # two words share a hash
+    return begin, inverse, joined, at
+
+
 def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, samples: int, seed: int):
     """For each text up to `samples` distinct segmentations in order of perturbed score.
 
@@ -227,19 +261,24 @@ def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
     that of its best member, so the next sample is always the best set left. Yields for each sample
     (text, edges by text and place, log probability); and the greatest score left after all of them."""
     texts = len(offs) - 1
-    net = lattice(pieces, buf, offs)
+    # a word with the spaces before it is a unit that no piece crosses; equal ones share one lattice
+    begin, inverse, joined, at = _units(buf, offs)
+    net = lattice(pieces, joined, at)
     ends = np.flatnonzero(net.border)
     ends = ends[(ends > 0) & (net.count[ends] > 0)]
-    owner = np.searchsorted(offs, ends - 1, "right") - 1
-    key = A.mix(keys.astype(np.int64).view(np.uint64) + A.U(seed) * A.U(0x94D049BB133111EB))
+    low, high = np.searchsorted(ends, at[:-1], "right")[inverse], np.searchsorted(ends, at[1:], "right")[inverse]
+    unit = np.repeat(np.arange(len(inverse)), high - low)
+    ends = ends[np.arange(len(unit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+    owner = (np.searchsorted(offs, begin, "right") - 1)[unit]
+    shift = begin[unit] - at[:-1][inverse][unit] - offs[:-1][owner]
+    key = A.mix(keys.astype(np.int64).view(np.uint64) + A.U(seed * 0x94D049BB133111EB % 2**64))
     number = np.arange(len(ends))
-    base = offs[:-1]
-    done: list[Walk] = []
+    done: list[tuple] = []
     choices: list[tuple] = []
     zero = np.zeros(texts)
     u = (A.mix(key ^ A.U(0x5DEECE66D)) >> A.U(12)).astype(np.float64)
     top = -np.log(-np.log((u + 0.5) / 2.0**52))
-    now = walk(net, key, owner, number, ends, np.zeros(len(ends), np.int64), 0, base)
+    now = walk(net, key, owner, number, ends, np.zeros(len(ends), np.int64), 0, shift)
     before = _ahead_of(now, texts, zero)
     out = []
     alive = np.isin(np.arange(texts), owner)
@@ -258,39 +297,47 @@ def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
             now.text[which], value, np.full(len(which), round_ - 1), now.chunk[which], now.step[which],
             now.options[other], before[which],
         ))
-        text, value, of, chunk, step, edge, prior = (np.concatenate(x) for x in zip(*choices))
-        order = np.lexsort((-value, text))
-        pick = order[np.append(True, text[order][1:] != text[order][:-1])] if len(order) else order
-        pick = pick[np.isfinite(value[pick])]
-        top = np.full(texts, -np.inf)
-        top[text[pick]] = value[pick]
+        top, pick = np.full(texts, -np.inf), [np.empty(0, np.int64)] * len(choices)
+        for c, (text, value, *_) in enumerate(choices):
+            heads = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.empty(0, np.int64)
+            most = np.maximum.reduceat(value, heads) if len(heads) else np.empty(0)
+            better = most > top[text[heads]]
+            top[text[heads[better]]] = most[better]
+            best = np.flatnonzero(value == top[text])
+            pick[c] = best[np.append(True, text[best][1:] != text[best][:-1])] if len(best) else best
         if round_ == samples:
             break
-        keep = np.ones(len(text), bool)
-        keep[pick] = False
-        choices = [tuple(x[keep] for x in (text, value, of, chunk, step, edge, prior))]
+        # of equal scores in several rounds the latest stands, as in a search that continues
+        latest = np.full(texts, -1)
+        for c, (text, *_) in enumerate(choices):
+            latest[text[pick[c]]] = c
+        pick = [p[(latest[choices[c][0][p]] == c) & np.isfinite(choices[c][1][p])] for c, p in enumerate(pick)]
+        chosen = [tuple(x[p] for x in choices[c]) for c, p in enumerate(pick)]
+        for c, p in enumerate(pick):
+            choices[c][1][p] = -np.inf
+        text, value, of, chunk, step, edge, prior = (np.concatenate(x) for x in zip(*chosen))
         # the new path: the old one up to the choice, the other option, then afresh
         alive = np.zeros(texts, bool)
-        alive[text[pick]] = True
+        alive[text] = True
         cut_chunk, cut_step = np.full(texts, -1), np.full(texts, -1)
-        cut_chunk[text[pick]], cut_step[text[pick]] = chunk[pick], step[pick]
+        cut_chunk[text], cut_step[text] = chunk, step
         parent = np.full(texts, -1)
-        parent[text[pick]] = of[pick]
+        parent[text] = of
         kept = []
         for s, (t, c, st, e, lp) in enumerate(done):
             same = (parent[t] == s) & ((c < cut_chunk[t]) | ((c == cut_chunk[t]) & (st < cut_step[t])))
             kept.append(tuple(x[same] for x in (t, c, st, e, lp)))
-        own = net.weight[edge[pick]] + net.ahead[net.src[edge[pick]]] - net.total[net.src[edge[pick]] + net.size[edge[pick]]]
-        kept.append((text[pick], chunk[pick], step[pick], edge[pick], own))
-        rest = net.src[edge[pick]]
+        own = net.weight[edge] + net.ahead[net.src[edge]] - net.total[net.src[edge] + net.size[edge]]
+        kept.append((text, chunk, step, edge, own))
+        rest = net.src[edge]
         inner = ~net.border[rest]
         later = (number > cut_chunk[owner]) & alive[owner]
         start = zero.copy()
-        start[text[pick]] = prior[pick] + own
+        start[text] = prior + own
         now = walk(
-            net, key, np.concatenate((text[pick][inner], owner[later])), np.concatenate((chunk[pick][inner], number[later])),
+            net, key, np.concatenate((text[inner], owner[later])), np.concatenate((chunk[inner], number[later])),
             np.concatenate((rest[inner], ends[later])),
-            np.concatenate((step[pick][inner] + 1, np.zeros(later.sum(), np.int64))), round_, base,
+            np.concatenate((step[inner] + 1, np.zeros(later.sum(), np.int64))), round_, shift,
         )
         before = _ahead_of(now, texts, start)
         kept.append((now.text, now.chunk, now.step, now.edge, now.log_p))
@@ -298,7 +345,7 @@ def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
         order = np.lexsort((st, c))
         path = tuple(x[order] for x in (t, c, st, e, lp))
         log_prob = np.bincount(t, lp, texts)
-    return net, out, top
+    return net, joined, shift, out, top
 
 
 def _encoder(pieces: Pieces, samples: int, seed: int):
@@ -312,10 +359,10 @@ def _encoder(pieces: Pieces, samples: int, seed: int):
                 buf = np.full(len(raw) + shift[-1], 0x20, np.uint8)
                 buf[np.arange(len(raw)) + np.repeat(shift, np.diff(offs))] = raw
                 offs = offs + np.concatenate(([0], shift))
-                net, found, left = sample(pieces, buf, offs, keys[lo:hi], samples, seed)
-                for number, ((text, _, _, edge, _), log_prob, alive) in enumerate(found):
-                    order = np.argsort(net.src[edge], kind="stable")
-                    ids, sizes = _ids(pieces, net, buf, edge[order])
+                net, joined, shift, found, left = sample(pieces, buf, offs, keys[lo:hi], samples, seed)
+                for number, ((text, chunk, _, edge, _), log_prob, alive) in enumerate(found):
+                    order = np.argsort(net.src[edge] + shift[chunk] + offs[:-1][text], kind="stable")
+                    ids, sizes = _ids(pieces, net, joined, edge[order])
                     per_text = np.bincount(text[order], sizes, hi - lo).astype(np.int64)
                     rows = np.flatnonzero(alive | (more == 0) if not number else alive)
                     at = np.concatenate(([0], np.cumsum(per_text[rows])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, substring, suffix, toxicity, warc
+from . import decontaminate, minhash, pieces, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load()
+    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return rows.select(
+        "doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_suffix": (op2_suffix, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_minhash": (op7_minhash, None),
     "op8_warc": (op8_warc, None),
