@@ -16,11 +16,10 @@ SHINGLE = 5
 PERMUTATIONS = 64  # each gives two signature values, its least and its greatest hash
 ROWS = 4  # signature values in a band
 SIMILARITY = 85  # per cent
-#: Pairs in one bucket whose signatures agree in a smaller share are not compared (0.85 is six deviations away).
-LEAST_ESTIMATE = 0.65
+SKETCH = 2048  # bits of a set's parity sketch
 BLOCK = 256  # members of a bucket that meet one another in one task
 
-SIGNED = "id long, n long, h1 long, h2 long, bands array<long>, sig binary"
+SIGNED = "id long, n long, h1 long, h2 long, bands array<long>, sketch binary"
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -60,7 +59,8 @@ def _signer(shingle: int, permutations: int, rows: int):
                     band = A.mix(band * mixer.base + parts[:, r])
                 band = band.reshape(len(n), width)
                 sizes = np.where(n > 0, width, 0)
-                small = (A.mix(sig.ravel()) >> A.U(56)).astype(np.uint8).reshape(sig.shape)
+                bit = np.repeat(np.arange(len(n)) * SKETCH, n) + (A.mix(sets) % A.U(SKETCH)).astype(np.int64)
+                odd = np.packbits(np.bincount(bit, minlength=len(n) * SKETCH).astype(np.uint8) & 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo : lo + len(n)]), pa.array(n.astype(np.int64)),
@@ -70,9 +70,9 @@ def _signer(shingle: int, permutations: int, rows: int):
                             pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)),
                             pa.array(band[full].ravel().view(np.int64)),
                         ),
-                        pa.array([x.tobytes() for x in small], pa.binary()),
+                        pa.array([x.tobytes() for x in odd.reshape(len(n), -1)], pa.binary()),
                     ],
-                    names=["id", "n", "h1", "h2", "bands", "sig"],
+                    names=["id", "n", "h1", "h2", "bands", "sketch"],
                 )
 
     return sign
@@ -95,14 +95,12 @@ def _sets(shingle: int):
 
 
 def _pairs_in_block(similarity: int, top: int):
-    """Of the members of two blocks of one bucket: pairs of different labels whose signatures are alike. For
-    each member and other label the `top` likeliest; `more` tells whether others were left for later."""
-
-    def first(of: np.ndarray, label: np.ndarray, alike: np.ndarray) -> np.ndarray:
-        order = np.lexsort((-alike, label, of))
-        new = np.ones(len(order), bool)
-        new[1:] = (of[order][1:] != of[order][:-1]) | (label[order][1:] != label[order][:-1])
-        heads = np.flatnonzero(new)
+    """Of the members of two blocks of one bucket: pairs of different labels whose sketches allow a link. For
+    each member the `top` likeliest; `more` tells whether others were left for later."""
+
+    def first(of: np.ndarray, alike: np.ndarray) -> np.ndarray:
+        order = np.lexsort((-alike, of))
+        heads = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1])) if len(of) else of
         keep = np.empty(len(order), bool)
         keep[order] = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order)))) < top
         return keep
@@ -110,27 +108,55 @@ def _pairs_in_block(similarity: int, top: int):
     def run(part: pa.Table) -> pa.Table:
         label, n, rep, side, lo, hi = (part.column(c).to_numpy() for c in ("label", "n", "rep", "block", "lo", "hi"))
         order = np.argsort(rep)
-        buf, offs = A.text_buffer(part.column("sig"))
-        sig = buf[offs[0] : offs[-1]].reshape(len(rep), -1)[order]
+        sketch = _sketches(part.column("sketch"))[order]
         label, n, rep, side = label[order], n[order], rep[order], side[order]
         a, b = np.flatnonzero(side == lo[0]), np.flatnonzero(side == hi[0])
         ok = label[a][:, None] != label[b][None, :]
-        ok &= 100 * np.minimum(n[a][:, None], n[b][None, :]) >= similarity * np.maximum(n[a][:, None], n[b][None, :])
         if lo[0] == hi[0]:
             ok &= a[:, None] < b[None, :]
         i, j = np.nonzero(ok)
         i, j = a[i], b[j]
-        alike = np.empty(len(i))
-        for at in range(0, len(i), 4096):
-            alike[at : at + 4096] = (sig[i[at : at + 4096]] == sig[j[at : at + 4096]]).mean(axis=1)
-        i, j, alike = i[alike >= LEAST_ESTIMATE], j[alike >= LEAST_ESTIMATE], alike[alike >= LEAST_ESTIMATE]
-        keep = first(i, label[j], alike) | first(j, label[i], alike)
+        differ, possible = _differ(sketch, n, i, j, similarity)
+        i, j, differ = i[possible], j[possible], differ[possible] / (n[i] + n[j])[possible]
+        keep = first(i, differ) | first(j, differ)
         more = pa.array(np.full(keep.sum(), not keep.all()), pa.bool_())
         return pa.table({"a": rep[i][keep], "b": rep[j][keep], "more": more})
 
     return run
 
 
+def _sketches(column) -> np.ndarray:
+    buf, offs = A.text_buffer(column)
+    return buf[offs[0] : offs[-1]].reshape(len(offs) - 1, -1).view(np.uint64)
+
+
+def _differ(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: int):
+    """Bits in which two sketches differ, never more than the elements in one set only, and whether the pair
+    can reach the similarity s with that many: |A| + |B| = 2 both + apart and 100 both >= s (both + apart)
+    give (100 + s) * apart <= (100 - s) * (|A| + |B|). So no pair that is linked is turned away."""
+    differ = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 8192):
+        differ[at : at + 8192] = np.bitwise_count(sketch[i[at : at + 8192]] ^ sketch[j[at : at + 8192]]).sum(axis=1)
+    total = n[i] + n[j]
+    return differ, (100 + similarity) * differ <= (100 - similarity) * total
+
+
+def _likely(similarity: int):
+    """Pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = np.concatenate([_sketches(batch.column("sa")), _sketches(batch.column("sb"))])
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            rows = np.arange(batch.num_rows)
+            _, possible = _differ(both, n, rows, rows + batch.num_rows, similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(possible))
+
+    return run
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union of their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
@@ -152,10 +178,12 @@ def near_duplicates(
        evaluations per shingle give 128 signature values, cut into 32 bands of 4. A pair of Jaccard
        similarity 0.85 shares no band with probability (1 - 0.85^4)^32, about 5e-11.
     2. Documents with equal sets become one class, represented by the least id, before anything is paired.
-    3. Buckets with the same members count once. In each bucket every member is compared with the least one; confirmed links give components.
+    3. Buckets with the same members count once. In each bucket every member is compared with the least one;
+       confirmed links give components. A parity sketch of each set tells beforehand that two sets differ
+       in too many elements; it never turns a linked pair away.
     4. Buckets that still hold several components are compared in blocks, never as a list of all pairs:
-       each member meets its likeliest partners of every other component first, and the next round only
-       sees what is still apart. It ends when no likely pair between components is left untested.
+       each member meets its likeliest partner of another component first, and the next round, with four
+       times as many, only sees what is still apart. It ends when no likely pair between components is left.
 
     Null or blank texts have no shingles and no links. A null id counts as an id below all others and
     comes back as null. Rows that share an id are one node: each comes back, with the links of all.
@@ -172,11 +200,14 @@ def near_duplicates(
     buckets = buckets.groupBy("center", "last", "size", "print").agg(F.min("bucket").alias("bucket"))
     members = landed(members.join(buckets.select("bucket", "center", "size"), "bucket"), "buckets")
     involved = members.select(F.col("rep").alias("id")).distinct()
-    sets = landed(docs.join(involved, "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>"), "sets")
-    tested = landed(members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "pairs")
+    facts = landed(reps.join(involved, "id", "left_semi").select(F.col("id").alias("rep"), "n", "sketch"), "facts")
+    stars = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    tested = landed(_possible(stars, facts, similarity), "pairs")
+    # the same plan at every size: the list of ids grows with the input, so it is not broadcast
+    sets = docs.join(involved.hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>")
+    sets = landed(sets, "sets")
     links = landed(confirm(tested, sets, similarity), "links")
     labels = components(links)
-    facts = landed(reps.join(involved, "id", "left_semi").select(F.col("id").alias("rep"), "n", "sig"), "facts")
     top = 1
     while True:
         pairs = landed(_apart(members, labels, facts, similarity, top), "apart")
@@ -200,6 +231,12 @@ def near_duplicates(
     )
 
 
+def _possible(pairs: DataFrame, facts: DataFrame, similarity: int) -> DataFrame:
+    left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_likely(similarity), "a long, b long")
+
+
 def _apart(members: DataFrame, labels: DataFrame, facts: DataFrame, similarity: int, top: int) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket. (In one of two, the pair was tested.)"""
     named = members.filter("size > 2").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
@@ -210,5 +247,5 @@ def _apart(members: DataFrame, labels: DataFrame, facts: DataFrame, similarity:
     spread = named.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    spread = spread.select("bucket", "lo", "hi", "block", "rep", "label", "n", "sig")
+    spread = spread.select("bucket", "lo", "hi", "block", "rep", "label", "n", "sketch")
     return spread.groupBy("bucket", "lo", "hi").applyInArrow(_pairs_in_block(similarity, top), "a long, b long, more boolean")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pieces, substring, suffix, toxicity, warc
+from . import decontaminate, licenses, minhash, pieces, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove_repeated_strings(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,6 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": (op1_licenses, None),
     "op2_suffix": (op2_suffix, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_toxicity": (op5_toxicity, None),

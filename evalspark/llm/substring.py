@@ -104,25 +104,36 @@ def _run(same: np.ndarray) -> np.ndarray:
 
 
 def _grown(window: int):
-    """The windows of each context, by the hash of all their words: the seed grown to full length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, first, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "first", "n"))
-            buf, offs = A.text_buffer(batch.column("context"))
-            words, _, _, at = A.words(buf[offs[0] : offs[-1]], offs - offs[0])
-            prefix = A.SHINGLES.prefix(words)
-            row = np.repeat(np.arange(len(n)), n)
-            shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = at[row] + shift
-            grown = A.SHINGLES.of(prefix, begin, begin + window).view(np.int64)
-            starts = batch.column("starts").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[row]), pa.array(grown), pa.array(first[row]), starts, pa.array(shift.astype(np.int32))],
-                names=["key", "grown", "first", "starts", "shift"],
-            )
+    """Contexts of one seed, of many: the seed grown to all words of each window, by hash. What an earlier
+    document of this call has too is settled (a run of windows, `grown` null); of the rest each different
+    window is given once, to be compared with the other calls'."""
+
+    def run(part: pa.Table) -> pa.Table:
+        key, first, n = (part.column(c).to_numpy() for c in ("key", "first", "n"))
+        order = np.argsort(first, kind="stable")
+        first, n = first[order], n[order]
+        buf, offs = A.text_buffer(part.column("context").combine_chunks().take(pa.array(order)))
+        starts = part.column("starts").combine_chunks().take(pa.array(order))
+        words, _, _, at = A.words(buf[offs[0] : offs[-1]], offs - offs[0])
+        row = np.repeat(np.arange(len(n)), n)
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        grown = A.SHINGLES.of(A.SHINGLES.prefix(words), at[row] + shift, at[row] + shift + window)
+        _, least, back = np.unique(grown, return_index=True, return_inverse=True)  # the first place: the least id
+        settled = first[row[least[back]]] < first[row]
+        edge = np.diff(np.concatenate(([False], settled, [False])).astype(np.int8))
+        begin = np.flatnonzero((edge[:-1] == 1) | (settled & (shift == 0)))
+        end = np.searchsorted(np.flatnonzero(~settled | (shift == 0)), begin, "right")
+        stops = np.append(np.flatnonzero(~settled | (shift == 0)), len(settled))
+        rest = np.sort(least)
+        take = np.concatenate((begin, rest))
+        size = np.concatenate((stops[end] - begin, np.ones(len(rest), np.int64)))
+        known = np.arange(len(take)) < len(begin)
+        lists = starts.take(pa.array(row[take]))
+        moved = lists.flatten().to_numpy() + np.repeat(shift[take], lists.value_lengths().to_numpy())
+        return pa.table({
+            "key": np.full(len(take), key[0]), "grown": pa.array(grown[take].view(np.int64), mask=known), "first": first[row[take]],
+            "starts": pa.ListArray.from_arrays(lists.offsets, pa.array(moved.astype(np.int32))), "n": size.astype(np.int32),
+        })
 
     return run
 
@@ -207,15 +218,14 @@ def remove_repeats(
     few = contexts.filter(F.col("contexts") <= partners)
     lot = few.withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots))).groupBy("lot")
     extended = lot.applyInArrow(_extend(window), SPAN)
-    grown = contexts.filter(F.col("contexts") > partners).drop("contexts").mapInArrow(
-        _grown(window), "key long, grown long, first long, starts array<int>, shift int"
-    )
-    least = grown.groupBy("key", "grown").agg(F.min("first").alias("least"))
-    regrown = grown.join(least, ["key", "grown"]).filter("least < first")
-    regrown = regrown.select(
-        F.col("first").alias("id"), F.explode(F.transform("starts", lambda x: x + F.col("shift"))).alias("start"),
-        F.lit(1).alias("n"),
+    part = F.pmod(F.xxhash64("first"), F.ceil(F.col("contexts") / LOT)).alias("part")
+    many = contexts.filter(F.col("contexts") > partners).select("key", "first", "starts", "n", "context", part)
+    grown = many.groupBy("key", "part").applyInArrow(
+        _grown(window), "key long, grown long, first long, starts array<int>, n int"
     )
+    least = grown.filter("grown is not null").groupBy("key", "grown").agg(F.min("first").alias("least"))
+    again = grown.join(least, ["key", "grown"], "left").filter("grown is null or least < first")
+    regrown = again.select(F.col("first").alias("id"), F.explode("starts").alias("start"), "n")
     spans = listed(whole.union(extended).union(regrown), ["start", "n"], "spans")
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(window), "id long, n_words long, n_removed long, kept_text string"
