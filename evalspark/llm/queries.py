@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, minhash, pieces, substring, suffix, toxicity, warc
+from . import decontaminate, html_text, licenses, minhash, pieces, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load()
     rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
@@ -54,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licenses": (op1_licenses, None),
     "op2_suffix": (op2_suffix, None),
+    "op3_html": (op3_html, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_minhash": (op7_minhash, None),
