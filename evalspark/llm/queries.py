@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, minhash, pieces, substring, suffix, toxicity, warc
+from . import decontaminate, html_text, licenses, minhash, pieces, search, substring, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return search.search(documents, documents.filter("doc_id % 100 = 0"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_html": (op3_html, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_search": (op6_search, None),
     "op7_minhash": (op7_minhash, None),
     "op8_warc": (op8_warc, None),
     "op9_substring": (op9_substring, None),
