@@ -35,6 +35,16 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     return docs.groupBy("id").agg(F.max("text").alias("text"))
 
 
+def one_row_per_id(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same for whole rows: of rows that share an id, one with the greatest text."""
+    if documents.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return documents
+    rows = documents.groupBy(row_id(id_col).alias("__id")).agg(
+        F.max_by(F.struct(*documents.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")
+    )
+    return rows.select("__row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label the least node of the component.
 

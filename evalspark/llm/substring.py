@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .anchors import covered, list_column, listed, shared_blocks
-from .store import given_id, landed, one_per_id, row_id
+from .store import given_id, landed, one_per_id, one_row_per_id, row_id
 
 WINDOW = 50  # words of a repeat, at least
 SEED = 10  # words of a seed
@@ -163,6 +163,29 @@ def _cut(window: int):
     return run
 
 
+def _replace(window: int, text_col: str):
+    """The rows without their last column, the spans, and with these spans cut out of the texts."""
+    cut = _cut(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(batch.column("__spans").is_valid().to_numpy(zero_copy_only=False))
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
+            if len(some):
+                part = batch.take(pa.array(some))
+                plain = pa.RecordBatch.from_arrays(
+                    [pa.array(some), part.column(text_col), part.column("__spans")], names=["id", "text", "spans"]
+                )
+                texts = batch.column(text_col).to_pylist()
+                for done in cut(iter([plain])):
+                    for at, text in zip(done.column("id").to_pylist(), done.column("kept_text").to_pylist()):
+                        texts[at] = text
+                columns[names.index(text_col)] = pa.array(texts, batch.column(text_col).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
 def joined(buf, offs, head, tail, words, keep) -> tuple[pa.Array, np.ndarray]:
     """The kept words of each text joined by one space, and their number."""
     counts = np.add.reduceat(np.append(keep, False).astype(np.int64), words[:-1]) * (np.diff(words) > 0)
@@ -179,29 +202,9 @@ def joined(buf, offs, head, tail, words, keep) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends), pa.py_buffer(out[mask])), counts
 
 
-def remove_repeats(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
-    partners: int = PARTNERS,
-) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_text (the words that stay, joined by one space).
-
-    A word goes if it lies in a window of `window` words whose word sequence also starts in a document with
-    a smaller id. Windows are judged on the input.
-
-    1. Seeds: each window is assigned to the `seed`-word gram of least hash in it; runs of windows with one
-       seed are blocks. Only blocks whose seed occurs elsewhere go on.
-    2. Documents are joined on equal seeds. Blocks of equal content are merged first: all but the copy in
-       the first document go whole, so copies are never paired.
-    3. The distinct contexts of a seed are extended against one another to the left and right, word by
-       word; matches of `window` words or more count against the later document. Where a seed has more
-       than `partners` contexts, it is grown to the whole window by hash and joined again on that: linear
-       in the windows, no pairs.
-    4. Overlapping matches of a document merge to maximal repeats, which are cut out.
-
-    Null texts have no words and give an empty kept_text. A null id counts as smaller than all others and
-    comes back as null. Rows that share an id are one document with the greatest of their texts.
-    """
-    docs = one_per_id(documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, partners: int = PARTNERS) -> DataFrame:
+    """Of documents (id, text), each id once: the repeated windows as rows (id, spans), spans a list of
+    (start, n): n windows from word `start` on, each also in a document with a smaller id."""
     shared = landed(shared_blocks(docs, window, seed, True), "seeds")
     groups = landed(shared.groupBy("key", "full").agg(F.min("id").alias("first"), F.count("*").alias("times")), "groups")
     mixed = groups.groupBy("key").agg(F.count("*").alias("contexts")).filter("contexts > 1")
@@ -226,8 +229,48 @@ def remove_repeats(
     least = grown.filter("grown is not null").groupBy("key", "grown").agg(F.min("first").alias("least"))
     again = grown.join(least, ["key", "grown"], "left").filter("grown is null or least < first")
     regrown = again.select(F.col("first").alias("id"), F.explode("starts").alias("start"), "n")
-    spans = listed(whole.union(extended).union(regrown), ["start", "n"], "spans")
+    return listed(whole.union(extended).union(regrown), ["start", "n"], "spans")
+
+
+def remove_repeats(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
+    partners: int = PARTNERS,
+) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_text (the words that stay, joined by one space).
+
+    A word goes if it lies in a window of `window` words whose word sequence also starts in a document with
+    a smaller id. Windows are judged on the input.
+
+    1. Seeds: each window is assigned to the `seed`-word gram of least hash in it; runs of windows with one
+       seed are blocks. Only blocks whose seed occurs elsewhere go on.
+    2. Documents are joined on equal seeds. Blocks of equal content are merged first: all but the copy in
+       the first document go whole, so copies are never paired.
+    3. The distinct contexts of a seed are extended against one another to the left and right, word by
+       word; matches of `window` words or more count against the later document. Where a seed has more
+       than `partners` contexts, it is grown to the whole window by hash and joined again on that: linear
+       in the windows, no pairs.
+    4. Overlapping matches of a document merge to maximal repeats, which are cut out.
+
+    Null texts have no words and give an empty kept_text. A null id counts as smaller than all others and
+    comes back as null. Rows that share an id are one document with the greatest of their texts.
+    """
+    docs = one_per_id(documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    spans = find_repeats(docs, window, seed, partners)
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(window), "id long, n_words long, n_removed long, kept_text string"
     )
     return cut.select(given_id("id").alias(id_col), "n_words", "n_removed", "kept_text")
+
+
+def cut_documents(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
+    partners: int = PARTNERS,
+) -> DataFrame:
+    """All rows and columns of `documents`, repeats cut out of the texts as by `remove_repeats`. Texts that lose
+    nothing stay as they are, white space and all; a null text stays null. Rows that share an id become one with
+    the greatest of their texts, and of equal texts any."""
+    documents = one_row_per_id(documents, id_col, text_col)
+    docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    spans = find_repeats(docs, window, seed, partners).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
+    rows = documents.withColumn("__id", row_id(id_col)).join(spans, "__id", "left").select(*documents.columns, "__spans")
+    return rows.mapInArrow(_replace(window, text_col), documents.schema)
