@@ -17,6 +17,7 @@ WINDOW = 50  # words of a repeat, at least
 SEED = 10  # words of a seed
 PARTNERS = 64  # contexts of one seed that are extended against one another; more are grown by hash first
 LOT = 4096  # contexts that one task call extends
+PART = 16384  # contexts of one seed that meet in one task call where they are too many to extend
 
 CONTEXT = "key long, first long, starts array<int>, n int, left int, context binary"
 SPAN = "id long, start int, n int"
@@ -105,8 +106,8 @@ def _run(same: np.ndarray) -> np.ndarray:
 
 def _grown(window: int):
     """Contexts of one seed, of many: the seed grown to all words of each window, by hash. What an earlier
-    document of this call has too is settled (a run of windows, `grown` null); of the rest each different
-    window is given once, to be compared with the other calls'."""
+    document of this call has too is settled (a run of windows, `grown` null). Of the rest each different
+    window is given once, to be compared with the other calls' of this seed, if there are any."""
 
     def run(part: pa.Table) -> pa.Table:
         key, first, n = (part.column(c).to_numpy() for c in ("key", "first", "n"))
@@ -124,7 +125,7 @@ def _grown(window: int):
         begin = np.flatnonzero((edge[:-1] == 1) | (settled & (shift == 0)))
         end = np.searchsorted(np.flatnonzero(~settled | (shift == 0)), begin, "right")
         stops = np.append(np.flatnonzero(~settled | (shift == 0)), len(settled))
-        rest = np.sort(least)
+        rest = np.sort(least) if part.column("parts")[0].as_py() > 1 else least[:0]
         take = np.concatenate((begin, rest))
         size = np.concatenate((stops[end] - begin, np.ones(len(rest), np.int64)))
         known = np.arange(len(take)) < len(begin)
@@ -202,7 +203,9 @@ def joined(buf, offs, head, tail, words, keep) -> tuple[pa.Array, np.ndarray]:
     return pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(ends), pa.py_buffer(out[mask])), counts
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, partners: int = PARTNERS) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, window: int = WINDOW, seed: int = SEED, partners: int = PARTNERS, part_size: int = PART
+) -> DataFrame:
     """Of documents (id, text), each id once: the repeated windows as rows (id, spans), spans a list of
     (start, n): n windows from word `start` on, each also in a document with a smaller id."""
     shared = landed(shared_blocks(docs, window, seed, True), "seeds")
@@ -221,8 +224,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, partne
     few = contexts.filter(F.col("contexts") <= partners)
     lot = few.withColumn("lot", F.pmod(F.xxhash64("key"), F.lit(lots))).groupBy("lot")
     extended = lot.applyInArrow(_extend(window), SPAN)
-    part = F.pmod(F.xxhash64("first"), F.ceil(F.col("contexts") / LOT)).alias("part")
-    many = contexts.filter(F.col("contexts") > partners).select("key", "first", "starts", "n", "context", part)
+    parts = F.ceil(F.col("contexts") / part_size).cast("int")
+    many = contexts.filter(F.col("contexts") > partners).select(
+        "key", "first", "starts", "n", "context", parts.alias("parts"), F.pmod(F.xxhash64("first"), parts).alias("part")
+    )
     grown = many.groupBy("key", "part").applyInArrow(
         _grown(window), "key long, grown long, first long, starts array<int>, n int"
     )
@@ -234,7 +239,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, partne
 
 def remove_repeats(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
-    partners: int = PARTNERS,
+    partners: int = PARTNERS, part_size: int = PART,
 ) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_text (the words that stay, joined by one space).
 
@@ -255,7 +260,7 @@ def remove_repeats(
     comes back as null. Rows that share an id are one document with the greatest of their texts.
     """
     docs = one_per_id(documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    spans = find_repeats(docs, window, seed, partners)
+    spans = find_repeats(docs, window, seed, partners, part_size)
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(window), "id long, n_words long, n_removed long, kept_text string"
     )

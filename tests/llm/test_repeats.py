@@ -78,10 +78,10 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert rows == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False)]
 
 
-@pytest.mark.parametrize("partners", [64, 1])
-def test_repeated_passages(spark, docs, partners):
+@pytest.mark.parametrize(("partners", "part_size"), [(64, 16384), (1, 16384), (1, 3)])
+def test_repeated_passages(spark, docs, partners, part_size):
     want = brute.substring(named(docs))
-    rows = substring.remove_repeats(tables.frame(spark, docs), partners=partners).collect()
+    rows = substring.remove_repeats(tables.frame(spark, docs), partners=partners, part_size=part_size).collect()
     assert {of(r.doc_id): (r.n_words, r.n_removed, r.kept_text) for r in rows} == want
 
 
