@@ -25,7 +25,12 @@ _STRING = rf'"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{{4}}){_PLAIN})*+"'
 _MEMBER = rf"{_WS}{_STRING}{_WS}:{_WS}{_STRING}{_WS}"
 
 # JSON as Python's parser accepts it: NaN and infinities are numbers, single quotes are not strings.
-JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"}
+# The parser's limits on text length, nesting and digits are lifted: no valid document may depend on them.
+_NO_LIMIT = str(2**31 - 1)
+JSON_OPTIONS = {
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "true",
+    "maxStringLen": _NO_LIMIT, "maxNestingDepth": _NO_LIMIT, "maxNumLen": _NO_LIMIT,
+}
 
 
 def _flat_object(members: str) -> str:
@@ -59,8 +64,12 @@ def consumed(parsed: Column, text: Column) -> Column:
 
 
 def json_single(text: Column) -> Column:
-    """The text is exactly one JSON value with nothing but whitespace around it."""
-    return consumed(wrapped(text, "string"), text)
+    """The text is exactly one JSON value with nothing but whitespace around it.
+
+    Reading the value as text stops at 1,000 levels of nesting; reading it as a variant does not, but cannot
+    hold repeated keys in nested objects. Either will do.
+    """
+    return consumed(wrapped(text, "string"), text) | consumed(wrapped(text, "variant"), text)
 
 
 def variant_fields(fields: Sequence[str]) -> str:
@@ -72,6 +81,11 @@ def variant_fields(fields: Sequence[str]) -> str:
     return "struct<" + ",".join(f"`{f}`: variant" for f in fields) + ">"
 
 
+def _variant(text: Column) -> Column:
+    """The text as a variant, NULL where it is none; NaN and infinities are none."""
+    return F.from_json(text, "variant", {**JSON_OPTIONS, "allowNonNumericNumbers": "false"})
+
+
 def json_unique_keys(text: Column) -> Column:
     """No object at any depth repeats a key. False for text that is not one JSON value.
 
@@ -80,13 +94,13 @@ def json_unique_keys(text: Column) -> Column:
     """
     top = F.json_object_keys(text)
     unique_top = F.coalesce(F.size(top) == F.size(F.array_distinct(top)), F.lit(True))
-    return json_single(text) & F.try_parse_json(text).isNotNull() & unique_top
+    return json_single(text) & _variant(text).isNotNull() & unique_top
 
 
 def json_signature(text: Column, fields: Sequence[str]) -> Column:
     """The text is one object with exactly these members, all strings."""
     shape = "OBJECT<" + ", ".join(f"{f}: STRING" for f in sorted(fields)) + ">"
-    return json_single(text) & F.coalesce(F.schema_of_variant(F.try_parse_json(text)) == shape, F.lit(False))
+    return json_single(text) & F.coalesce(F.schema_of_variant(_variant(text)) == shape, F.lit(False))
 
 
 def variant_string(value: Column) -> Column:

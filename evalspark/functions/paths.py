@@ -31,6 +31,24 @@ def strict_prefixes(path: Column) -> Column:
     return F.filter(prefixes(path), lambda p: p != path)
 
 
+def normalize_path(path: Column) -> Column:
+    """The path without empty and ``.`` components and with ``..`` folded, by the text alone. NULL if it is
+    absolute or leaves the root."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        kept, up = state["kept"], part == ".."
+        shorter = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.struct(
+            F.when(up, shorter).otherwise(F.concat(kept, F.array(part))).alias("kept"),
+            (state["out"] | (up & (F.size(kept) == 0))).alias("out"),
+        )
+
+    folded = F.aggregate(parts, start, step)
+    return F.when(~path.startswith("/") & ~folded["out"], F.array_join(folded["kept"], "/"))
+
+
 def valid_release_path(path: Column) -> Column:
     """Non-empty and relative, no backslash, no empty, ``.`` or ``..`` component."""
     bad_part = F.exists(F.split(path, "/"), lambda part: part.isin("", ".", ".."))

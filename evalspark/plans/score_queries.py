@@ -50,7 +50,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def json_checks(spark, d):
     t = F.col("reply")
-    return successes(spark, d).filter(t.isNotNull()).select(
+    return successes(spark, d).select(
         "attempt_id",
         json_text.json_single(t).alias("is_single"),
         json_text.json_unique_keys(t).alias("is_unique"),
@@ -61,10 +61,10 @@ def json_checks(spark, d):
 _KEYS = "[" + ", ".join(f"'{f}'" for f in sorted(REPLY_FIELDS)) + "]"
 _TYPED = " AND ".join(f"json_type(doc, '$.{f}') = 'VARCHAR'" for f in REPLY_FIELDS)
 _JSON_CHECKS = f"""
-    SELECT attempt_id, json_valid(reply) AS is_single,
-      json_valid(reply) AND coalesce(len(json_keys(doc)) = len(list_distinct(json_keys(doc))), true) AS is_unique,
+    SELECT attempt_id, coalesce(json_valid(reply), false) AS is_single,
+      coalesce(json_valid(reply), false) AND coalesce(len(json_keys(doc)) = len(list_distinct(json_keys(doc))), true) AS is_unique,
       coalesce(list_sort(json_keys(doc)) = {_KEYS} AND {_TYPED}, false) AS is_shaped
-    FROM {documents('successes')} WHERE reply IS NOT NULL"""
+    FROM {documents('successes')}"""
 
 
 def domain_checks(spark, d):
@@ -157,7 +157,7 @@ def first_paths(spark, d):
     from .carriers import table
 
     turns = table(spark, d, "conversations")
-    ranked = turns.withColumn("path_rank", F.when(F.col("role") == "assistant", 0).otherwise(1) * 100000 + F.col("turn"))
+    ranked = turns.withColumn("path_rank", F.struct(F.col("role") != "assistant", "turn"))
     return replies.first_existing(ranked, ["conv_id"])
 
 

@@ -15,25 +15,6 @@ KERNING_EM = {"tight": -0.05, "normal": 0.0, "loose": 0.12}
 LINE_HEIGHT_RATIO = {"tight": 1.15, "normal": 1.45, "loose": 1.9}
 FONT_SIZE_PX = 22
 
-# The font families of the corpus with their category.
-FAMILIES = (
-    ("Arial", "non-serif"), ("Arvo", "serif"), ("Bebas Neue", "other"), ("Bitter", "serif"),
-    ("Bodoni Moda", "serif"), ("Bungee", "other"), ("Caveat", "handwriting"), ("Cinzel", "serif"),
-    ("Comic Sans MS", "handwriting"), ("Cormorant Garamond", "serif"), ("Courier New", "mono"),
-    ("Crimson Text", "serif"), ("DM Sans", "non-serif"), ("Dancing Script", "handwriting"),
-    ("EB Garamond", "serif"), ("Fira Code", "mono"), ("Fira Sans", "non-serif"), ("Georgia", "serif"),
-    ("Helvetica", "non-serif"), ("Impact", "other"), ("Inter", "non-serif"), ("JetBrains Mono", "mono"),
-    ("Lato", "non-serif"), ("Libre Baskerville", "serif"), ("Lobster", "other"), ("Lora", "serif"),
-    ("Merriweather", "serif"), ("Montserrat", "non-serif"), ("Noto Sans", "non-serif"),
-    ("Nunito", "non-serif"), ("Open Sans", "non-serif"), ("Oswald", "non-serif"),
-    ("PT Sans", "non-serif"), ("PT Serif", "serif"), ("Pacifico", "handwriting"),
-    ("Playfair Display", "serif"), ("Plus Jakarta Sans", "non-serif"), ("Poppins", "non-serif"),
-    ("Raleway", "non-serif"), ("Roboto", "non-serif"), ("Roboto Mono", "mono"), ("Rubik", "non-serif"),
-    ("Shadows Into Light", "handwriting"), ("Source Code Pro", "mono"), ("Source Sans 3", "non-serif"),
-    ("Space Mono", "mono"), ("Spectral", "serif"), ("Times New Roman", "serif"),
-    ("Verdana", "non-serif"), ("Work Sans", "non-serif"),
-)
-
 # Metadata every package carries, and the providers a catalog may name.
 PACKAGE_TAGS = ("typography", "font-identification", "vlm")
 PROVIDERS = ("anthropic", "openai", "google")

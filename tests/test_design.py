@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from evalspark.operators import audits, design
-from evalspark.schemas import FAMILIES, LEVELS, MODIFIERS, WEIGHTS, WIDTHS
+from evalspark.plans.carriers import FAMILIES
+from evalspark.schemas import LEVELS, MODIFIERS, WEIGHTS, WIDTHS
 
 
 def test_recipe_rule(spark):
@@ -40,7 +41,7 @@ def test_candidate_grid_and_omissions(spark):
     families = spark.createDataFrame(list(FAMILIES), "font string, category string")
     grid = design.candidate_grid(families)
     assert grid.count() == 3000
-    accepted = grid.filter("variant_index <= 40 OR font = 'Arial'").unionByName(grid.filter("variant_index = 1"))
+    accepted = grid.filter("variant_index <= 40 OR font = 'Alder Sans'").unionByName(grid.filter("variant_index = 1"))
     assert design.omitted_candidates(grid, accepted, ["font", "variant_index"]).count() == 49 * 20
 
 

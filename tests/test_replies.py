@@ -53,32 +53,29 @@ def test_strict_vectors(spark):
     assert [(i, STRICT[i][0]) for i in range(len(STRICT)) if got[i] != STRICT[i][1]] == []
 
 
-def python_strict(text):
-    """The rules restated: parse with unique keys, exact members, all strings, values in domain."""
-    from evalspark.schemas import REPLY_DOMAINS
+def duck_strict(values):
+    """Validity of each text by the SQL of the oracle, which knows nothing of the Spark expressions. A comma
+    before a closing bracket, which DuckDB lets pass, counts as an error."""
+    import re
 
-    def unique(pairs):
-        keys = [k for k, _ in pairs]
-        if len(keys) != len(set(keys)):
-            raise ValueError("repeated")
-        return dict(pairs)
+    import duckdb
 
-    try:
-        value = json.loads(text, object_pairs_hook=unique)
-    except (TypeError, ValueError):
-        return False
-    if not isinstance(value, dict) or sorted(value) != sorted(REPLY_FIELDS):
-        return False
-    if any(not isinstance(v, str) for v in value.values()) or not value["font"].strip():
-        return False
-    return all(value[k].strip().lower() in allowed for k, allowed in REPLY_DOMAINS.items())
+    from evalspark.plans.oracle import strict_parse
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE cases (i INTEGER, reply VARCHAR)")
+    con.executemany("INSERT INTO cases VALUES (?, ?)", [[i, t] for i, t in enumerate(values)])
+    rows = con.sql(f"SELECT i, ok, reply FROM ({strict_parse('cases')})").fetchall()
+    bare = re.compile(r'"(?:[^"\\\\]|\\\\.)*"')
+    return {i: ok and not re.search(r",\s*[}\]]", bare.sub('""', t)) for i, ok, t in rows}
 
 
-def test_strict_vectors_restated():
-    assert [t for t, ok in STRICT if python_strict(t) != ok] == []
+def test_strict_vectors_in_sql():
+    got = duck_strict([t for t, _ in STRICT])
+    assert [t for i, (t, ok) in enumerate(STRICT) if got[i] != ok] == []
 
 
-def test_strict_random_edits_agree_with_python(spark):
+def test_strict_random_edits_agree_with_sql(spark):
     """Brute force: every text one or two edits away from a valid reply, at random places."""
     import random
 
@@ -93,7 +90,8 @@ def test_strict_random_edits_agree_with_python(spark):
         cases.append(t)
     df = replies.with_strict_reply(texts(spark, cases))
     got = {r.i: r.ok for r in df.select("i", F.col("answer").isNotNull().alias("ok")).collect()}
-    assert [c for i, c in enumerate(cases) if got[i] != python_strict(c)] == []
+    want = duck_strict(cases)
+    assert [c for i, c in enumerate(cases) if got[i] != want[i]] == []
 
 
 ALL = {"font": "Arial", "category": "serif", "weight": "bold", "modifier": "italic", "kerning": "tight", "line_height": "loose"}
@@ -151,6 +149,27 @@ def test_long_texts_do_not_exhaust_the_stack(spark):
     assert got == {0: "bold", 1: "bold", 2: None, 3: "bold", 4: "bold"}
 
 
+def test_no_parser_limit_drops_a_valid_reply(spark):
+    """On both sides of 20,000,000 characters in a string and of 1,000 levels of nesting."""
+    def padded(n):
+        return with_font('"' + "A" * n + '"')
+
+    def nested(n):
+        return G[:-1] + ',"x":' + "[" * n + "]" * n + "}"
+
+    cases = [padded(19_999_000), padded(21_000_000), nested(900), nested(1_100)]
+    df = texts(spark, cases)
+    strict = {r.i: r.ok for r in replies.with_strict_reply(df).select("i", F.col("answer").isNotNull().alias("ok")).collect()}
+    assert strict == {0: True, 1: True, 2: False, 3: False}
+    lax = {r.i: (r.n, r.w) for r in replies.with_lenient_reply(df).select(
+        "i", F.length("answer.font").alias("n"), F.col("answer.weight").alias("w")).collect()}
+    assert lax == {0: (19_999_000, "bold"), 1: (21_000_000, "bold"), 2: (5, "bold"), 3: (5, "bold")}
+    t = F.col("reply")
+    checks = df.select("i", json_text.json_single(t), json_text.json_unique_keys(t), json_text.json_signature(t, REPLY_FIELDS))
+    assert {r[0]: tuple(r)[1:] for r in checks.collect()} == {
+        0: (True, True, True), 1: (True, True, True), 2: (True, True, False), 3: (True, True, False)}
+
+
 def test_strict_does_not_depend_on_the_duplicate_key_setting(spark):
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     try:

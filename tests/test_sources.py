@@ -14,15 +14,15 @@ TOML = """version = "1.0"
 [metadata]
 name = "{name}"
 author_name = "A \\"B\\" C"
-difficulty = "medium"
-category = "vision"
+difficulty = "low"
+category = "perception"
 tags = ["typography", "font-identification", "vlm"]
 
 [agent]
-timeout_sec = 180.0
+timeout_sec = 75.5
 
 [verifier]
-timeout_sec = 60.0
+timeout_sec = 20.0
 """
 DESCRIPTOR = """version = "1.0"
 
@@ -68,7 +68,7 @@ def test_package_readers(spark, tree):
     root = str(tree / "corpus" / "tasks")
     rows = packages.read_tasks(spark, root).orderBy("directory").collect()
     assert [(r.directory, r.name, r.author_name, r.agent_timeout_sec, r.verifier_timeout_sec) for r in rows] == [
-        (n, n, 'A "B" C', 180.0, 60.0) for n in ("task-aa", "task-bb")]
+        (n, n, 'A "B" C', 75.5, 20.0) for n in ("task-aa", "task-bb")]
     assert rows[0].tags == ["typography", "font-identification", "vlm"] and rows[0].version == "1.0"
     expected = packages.read_expected(spark, root).orderBy("task").collect()
     assert [r.task for r in expected] == ["task-aa", "task-bb"]
