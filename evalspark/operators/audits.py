@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_unicode
@@ -59,14 +59,15 @@ def shortcut_audit(df: DataFrame, a: str, b: str, limit: float = 0.5) -> DataFra
     of its rows. Works on the joint counts only.
     """
     joint = contingency(df, a, b)
-    all_levels = joint.select(b).distinct().agg(F.count(b)).scalar()
     per_value = joint.groupBy(a).agg(
-        F.sum("n").alias("n"), F.max("n").alias("top_n"), F.count(b).alias("n_levels")
+        F.sum("n").alias("n"), F.max("n").alias("top_n"), F.count(b).alias("n_levels"), F.collect_set(b).alias("levels")
     )
+    # one row per value of the axis, each with its few levels: the table itself is read once
+    every = F.array_distinct(F.flatten(F.collect_list("levels").over(Window.partitionBy(F.lit(0)))))
     share = F.col("top_n") / F.col("n")
-    return per_value.withColumn("share", share).withColumn(
-        "ok", (F.col("n_levels") == all_levels) & (share <= limit)
-    )
+    return per_value.withColumn("all_levels", F.size(every)).withColumn("share", share).withColumn(
+        "ok", (F.col("n_levels") == F.col("all_levels")) & (share <= limit)
+    ).drop("levels", "all_levels")
 
 
 def association(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -92,8 +93,8 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
 # --- keys, duplicates, totals ---------------------------------------------------------------
 
 def duplicate_groups(df: DataFrame, hash_col: str, key: str) -> DataFrame:
-    """Contents that occur more than once, with their count and smallest key."""
-    return df.groupBy(hash_col).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).filter("n > 1")
+    """Contents that occur more than once, with their count and smallest key. An unknown hash equals none."""
+    return df.filter(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).filter("n > 1")
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -110,12 +111,15 @@ def declared_vs_actual(descriptor: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def single_valued(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Whether all rows (of each group) hold one value: min = max of its digest, constant state."""
-    digest = F.sha2(F.coalesce(F.col(col).cast("string"), F.lit("")), 256)
+    """Whether all rows (of each group) hold one value: min = max of its digest, constant state.
+
+    NULL is a value of its own, not the empty text; no rows at all do not hold one value.
+    """
+    digest = F.coalesce(F.sha2(F.col(col).cast("string"), 256), F.lit("null"))
     stats = df.select(*by, digest.alias("d")).groupBy(*by).agg(
         F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")
     )
-    return stats.select(*by, "n", (F.col("lo") == F.col("hi")).alias("single"))
+    return stats.select(*by, "n", F.coalesce(F.col("lo") == F.col("hi"), F.lit(False)).alias("single"))
 
 
 # --- package against manifest ---------------------------------------------------------------
@@ -176,10 +180,20 @@ def field_mismatches(
     return package.join(right, key).select(key, F.explode(differing).alias("d")).select(key, "d.*")
 
 
-def prompt_containment(texts: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
-    """Whether each text contains the one stripped prompt; the prompt is a scalar subquery."""
-    prompt = prompts.agg(F.min(strip_unicode(F.col("prompt")))).scalar()
-    return texts.select(key, F.coalesce(F.contains(F.col("text"), prompt), F.lit(False)).alias("contains"))
+def prompt_containment(texts: DataFrame, prompts: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """Whether each text contains the stripped prompt: the one there is, or with ``by`` that of its group.
+
+    Several different prompts (of a group) are an error, as the least of them would hide the others.
+    """
+    text = strip_unicode(F.col("prompt"))
+    several = F.raise_error(F.lit("prompt_containment: more than one prompt")).cast("string")
+    one = F.when(F.min(text).eqNullSafe(F.max(text)), F.min(text)).otherwise(several)
+    if by is None:
+        prompt = prompts.agg(one).scalar()
+        return texts.select(key, F.coalesce(F.contains(F.col("text"), prompt), F.lit(False)).alias("contains"))
+    own = prompts.groupBy(by).agg(one.alias("__prompt"))
+    return texts.join(own, by, "left").select(
+        key, F.coalesce(F.contains(F.col("text"), F.col("__prompt")), F.lit(False)).alias("contains"))
 
 
 def missing_files(files: DataFrame, key: str, expected: Sequence[str]) -> DataFrame:

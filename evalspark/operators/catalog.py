@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_text import JSON_OPTIONS
+from ..functions.json_text import JSON_OPTIONS, json_single
 from ..functions.text import finite_nonneg, full_match
 from ..schemas import (
     CATALOG_VERSION, DEFAULT_MAX_OUTPUT_TOKENS, MAX_ENABLED_PER_PROVIDER, PROVIDERS,
@@ -35,7 +35,8 @@ _NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\)"
 
 
 def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
-    """One row per model of each catalog document, with its position.
+    """One row per model of each catalog document, with its position, and one with a NULL position for a
+    document without models. ``parsed`` tells whether the text is one JSON document with a list of models.
 
     ``unknown_keys`` lists members outside the schema (those of the document itself with a
     ``document.`` prefix) and ``bad_types`` fields whose JSON value is
@@ -46,11 +47,14 @@ def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     carried = [c for c in documents.columns if c != text]
     keys = F.map_keys(F.from_json(F.col(text), "map<string,string>", JSON_OPTIONS))
     strange = F.array_except(keys, F.array(*map(F.lit, DOCUMENT_FIELDS)))
-    models = documents.select(*carried, doc.alias("doc"), strange.alias("strange")).select(
-        *carried, "strange",
-        F.when(F.schema_of_variant("doc.version") == "BIGINT", F.try_variant_get("doc.version", "$", "int")).alias("version"),
-        F.try_to_date(F.try_variant_get("doc.verified_at", "$", "string"), "yyyy-MM-dd").alias("verified_at"),
-        F.posexplode("doc.models").alias("pos", "m"),
+    whole = F.coalesce(json_single(F.col(text)), F.lit(False))
+    read = documents.select(*carried, doc.alias("__doc"), strange.alias("__strange"), whole.alias("__whole"))
+    listed = F.coalesce(F.col("__whole") & F.col("__doc.models").isNotNull(), F.lit(False))
+    models = read.select(
+        *carried, F.col("__strange").alias("strange"), listed.alias("parsed"),
+        F.when(F.schema_of_variant("__doc.version") == "BIGINT", F.try_variant_get("__doc.version", "$", "int")).alias("version"),
+        F.try_to_date(F.try_variant_get("__doc.verified_at", "$", "string"), "yyyy-MM-dd").alias("verified_at"),
+        F.posexplode_outer(F.when(listed, F.col("__doc.models"))).alias("pos", "m"),
     ).withColumn("members", F.try_variant_get("m", "$", "map<string,variant>"))
 
     kind = {f: F.schema_of_variant(F.col("members")[f]) for f in CATALOG_FIELDS}
@@ -80,7 +84,7 @@ def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
 
     known = F.array(*map(F.lit, CATALOG_FIELDS))
     return models.select(
-        *carried, "version", "verified_at", "pos", *[c.alias(f) for f, c in out.items()],
+        *carried, "parsed", "version", "verified_at", "pos", *[c.alias(f) for f, c in out.items()],
         F.concat(
             F.array_sort(F.array_except(F.map_keys("members"), known)),
             F.transform("strange", lambda name: F.concat(F.lit("document."), name)),
@@ -89,17 +93,24 @@ def parse_catalog(documents: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS) -> DataFrame:
-    """(pos, id, rule) for every broken field rule; one pass, one row out per violation."""
+def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, pos, id, rule) for every broken rule; one pass, one row out per violation.
+
+    Every rule needs its column: one that is missing is an error, not a rule passed. A text that is no
+    catalog document breaks the rule ``document`` and no other; the document's own rules are reported with
+    each of its models, or once where it has none.
+    """
     def optional(col: str, ok: Column) -> Column:
         return F.col(col).isNull() | ok
 
     def url(col: str) -> Column:
         return full_match(F.col(col), URL_PATTERN) & (F.length(col) <= 2083)
 
-    rules = {
+    document = {
         "version": F.col("version") == CATALOG_VERSION,
         "verified_at": F.col("verified_at").isNotNull(),
+    }
+    rules = {
         "id": full_match(F.col("id"), ID_PATTERN),
         "provider": F.col("provider").isin(*providers),
         "model": full_match(F.col("model"), MODEL_PATTERN),
@@ -112,15 +123,31 @@ def catalog_violations(catalog: DataFrame, providers: Sequence[str] = PROVIDERS)
         "output_per_m": optional("output_per_m", finite_nonneg(F.col("output_per_m"))),
         "max_output_tokens": F.col("max_output_tokens") > 0,
     }
-    broken = [
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(rule))
-        for rule, ok in rules.items() if rule in catalog.columns
-    ]
-    found = F.array_compact(F.array(*broken))
+    parsed, model = F.coalesce("parsed", F.lit(False)), F.col("pos").isNotNull()
+
+    def broken(applies: Column, checks: dict[str, Column]) -> list[Column]:
+        return [F.when(applies & ~F.coalesce(ok, F.lit(False)), F.lit(rule)) for rule, ok in checks.items()]
+
+    found = F.array_compact(F.array(
+        F.when(~parsed, F.lit("document")), *broken(parsed, document), *broken(parsed & model, rules)))
     for column, label in (("unknown_keys", "unknown key"), ("bad_types", "type")):
-        if column in catalog.columns:
-            found = F.concat(found, _labelled(column, label))
-    return catalog.select("pos", "id", F.explode(found).alias("rule"))
+        found = F.concat(found, _labelled(column, label))
+    return catalog.select(*keep, "pos", "id", F.explode(found).alias("rule"))
+
+
+def catalog_gate(catalog: DataFrame, by: str, providers: Sequence[str] = PROVIDERS, cap: int = MAX_ENABLED_PER_PROVIDER) -> DataFrame:
+    """One verdict per document: models, broken rules, ids configured twice, providers over the cap, ok."""
+    models = catalog.groupBy(by).agg(F.count("pos").alias("n_models"))
+    rules = catalog_violations(catalog, providers, [by]).groupBy(by).agg(F.count("*").alias("n_violations"))
+    listed = catalog.filter("pos IS NOT NULL")
+    twice = listed.groupBy(by, "id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL")
+    over = listed.filter("enabled").groupBy(by, "provider").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
+    out = models.join(rules, by, "left")
+    out = out.join(twice.groupBy(by).agg(F.count("*").alias("n_duplicates")), by, "left")
+    out = out.join(over.groupBy(by).agg(F.count("*").alias("n_over_cap")), by, "left")
+    counts = ("n_violations", "n_duplicates", "n_over_cap")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counts})
+    return out.withColumn("ok", sum((F.col(c) for c in counts), F.lit(0)) == 0)
 
 
 def _labelled(column: str, label: str) -> Column:

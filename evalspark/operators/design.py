@@ -39,12 +39,17 @@ def recipes(spark: SparkSession) -> DataFrame:
     return spark.range(N_RECIPES).select(*recipe_columns(F.col("id"))).orderBy("variant_index")
 
 
-def factor_grid(df: DataFrame, axes: list[str]) -> DataFrame:
+def factor_grid(df: DataFrame, axes: list[str], most: int = 1000) -> DataFrame:
     """Every combination of the levels that occur on each axis.
 
-    Levels are collected per axis in one aggregate (closed domains, so a few values each) and the
-    product is unfolded by successive explodes rather than by cross joins.
+    Levels are collected per axis in one aggregate and the product is unfolded by successive explodes
+    rather than by cross joins. Axes are closed domains: more than `most` levels on one is an error, found
+    before anything is collected.
     """
+    counts = df.agg(*[F.count_distinct(a).alias(a) for a in axes]).first()
+    for a in axes:
+        if counts[a] > most:
+            raise ValueError(f"axis {a} has {counts[a]} levels; a grid takes {most} at most")
     grid = df.agg(*[F.array_sort(F.collect_set(a)).alias(a) for a in axes])
     for axis in axes:
         grid = grid.withColumn(axis, F.explode(axis))
@@ -65,12 +70,13 @@ def omitted_candidates(grid: DataFrame, accepted: DataFrame, keys: list[str]) ->
 def with_recipe(tasks: DataFrame) -> DataFrame:
     """Variant index, and the width and line height the design implies, from the three shown labels.
 
-    The other side is the fixed sixty-row recipe table, so broadcasting it is always safe.
+    A task whose labels are outside the design stays, with NULL. The other side is the fixed sixty-row
+    recipe table, so broadcasting it is always safe.
     """
     side = recipes(tasks.sparkSession).select(
         *RECIPE_KEYS, "variant_index", "width", F.col("line_height").alias("design_line_height")
     )
-    return tasks.join(F.broadcast(side), list(RECIPE_KEYS))
+    return tasks.join(F.broadcast(side), list(RECIPE_KEYS), "left")
 
 
 def with_levels(df: DataFrame, **levels: str) -> DataFrame:

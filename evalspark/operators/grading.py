@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ def grade(replies: DataFrame, truth: DataFrame, mode: str = STRICT) -> DataFrame
     return _judged(joined, carried)
 
 
+def orphan_replies(replies: DataFrame, truth: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
+    """How many replies per group name a task that has no truth, and how many such tasks. Grades leave these
+    replies out, so this report tells whether denominators can be trusted."""
+    lost = replies.select(*by, "task_id").join(truth.select("task_id").distinct(), "task_id", "left_anti")
+    return lost.groupBy(*by).agg(F.count("*").alias("n_replies"), F.count_distinct("task_id").alias("n_tasks"))
+
+
 def grade_all(replies: DataFrame, truth: DataFrame, mode: str = STRICT) -> DataFrame:
     """:func:`grade`, and a zero grade for every task without any reply.
 

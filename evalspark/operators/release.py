@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import parent_dir, prefixes, strict_prefixes, valid_release_path
+from ..functions.paths import normalize_path, parent_dir, prefixes, strict_prefixes, valid_release_path
 
 # Digest tree: hash prefixes of these lengths name its levels, leaf buckets first.
 _LEVELS = (6, 3, 0)
@@ -60,35 +60,36 @@ def protected_dirs(releases: DataFrame) -> DataFrame:
     )
 
 
-def frozen_overlaps(proposed: DataFrame, protected: DataFrame, salts: int = 8) -> DataFrame:
+def frozen_overlaps(proposed: DataFrame, protected: DataFrame) -> DataFrame:
     """Proposed paths that equal, lie under or contain a protected path.
 
     One row per distinct path with the number of protected paths met and the first registry entry
-    among them. A prefix test between two tables is a nested loop; on ancestor prefixes it becomes
-    equi-joins. Both sides are deduplicated first, so a proposal yields at most one row per path
-    level plus one, never a row per pair. A directory above a large share of all proposals would be
-    a hot key, so that join is salted by the proposal; the protected side, a registry, is repeated
-    per salt. The root directory is settled by scalar subqueries.
+    among them. Proposals are compared in their shortest form (no ``.``, ``..``, empty components or
+    trailing slash); what is absolute or leaves the root is no overlap but a finding of
+    :func:`overlap_report`. A prefix test between two tables is a nested loop; on ancestor prefixes it
+    becomes equi-joins. Both sides are deduplicated first, so a proposal yields at most one row per path
+    level plus one, never a row per pair. The join is an inner one on raw shuffles, where adaptive
+    execution may split a directory above a large share of all proposals. The root directory is settled
+    by scalar subqueries.
     """
     paths = proposed.select("path").filter(F.col("path").isNotNull()).distinct()
+    paths = paths.withColumn("norm", normalize_path(F.col("path"))).filter(F.col("norm").isNotNull())
     entry = F.min(F.struct("file_name", "field")).alias("entry")
     frozen = protected.groupBy("path").agg(entry)
     own = F.lit(1).cast("bigint").alias("k")
-    salt = F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("salt")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    at_or_under = paths.select("path", salt, F.explode(prefixes(F.col("path"))).alias("p")).join(
-        frozen.select(F.col("path").alias("p"), "entry", every_salt), ["p", "salt"]
+    at_or_under = paths.select("path", F.explode(prefixes(F.col("norm"))).alias("p")).join(
+        frozen.select(F.col("path").alias("p"), "entry"), "p"
     ).select("path", own, "entry")
-    holders = frozen.select(F.explode(strict_prefixes(F.col("path"))).alias("path"), "entry").groupBy("path").agg(
+    holders = frozen.select(F.explode(strict_prefixes(F.col("path"))).alias("norm"), "entry").groupBy("norm").agg(
         F.count("*").alias("k"), F.min("entry").alias("entry")
     )
-    contains = paths.join(holders, "path").select("path", "k", "entry")
+    contains = paths.join(holders, "norm").select("path", "k", "entry")
 
     root = frozen.filter(F.col("path") == "")
     root_entry = root.agg(F.min("entry")).scalar()
     under_root = paths.select("path", own, root_entry.alias("entry")).filter(F.col("entry").isNotNull())
     below = frozen.filter(F.col("path") != "")
-    holds_all = paths.filter(F.col("path") == "").select(
+    holds_all = paths.filter(F.col("norm") == "").select(
         "path", below.agg(F.count("*")).scalar().alias("k"), below.agg(F.min("entry")).scalar().alias("entry")
     ).filter(F.col("entry").isNotNull())
 
@@ -96,3 +97,23 @@ def frozen_overlaps(proposed: DataFrame, protected: DataFrame, salts: int = 8) -
     return hits.groupBy("path").agg(F.sum("k").alias("n_protected"), F.min("entry").alias("entry")).select(
         "path", "n_protected", "entry.file_name", "entry.field"
     )
+
+
+def overlap_report(proposed: DataFrame, releases: DataFrame) -> DataFrame:
+    """Everything that stands against the proposed paths: (path, status, n_protected, file_name, field).
+
+    ``overlap``: as :func:`frozen_overlaps`. ``outside``: a path that is absolute or leaves the root.
+    ``invalid registry``: an entry that is no clean relative path, its value as path; while there is one, no
+    answer about overlaps is complete. Proposals without a row are free.
+    """
+    none = F.lit(None)
+    found = frozen_overlaps(proposed, protected_dirs(releases)).select(
+        "path", F.lit("overlap").alias("status"), "n_protected", "file_name", "field")
+    outside = proposed.select("path").filter(F.col("path").isNotNull() & normalize_path(F.col("path")).isNull()).distinct()
+    outside = outside.select(
+        "path", F.lit("outside").alias("status"), none.cast("bigint").alias("n_protected"),
+        none.cast("string").alias("file_name"), none.cast("string").alias("field"))
+    broken = invalid_entries(releases).select(
+        F.col("value").alias("path"), F.lit("invalid registry").alias("status"), none.cast("bigint").alias("n_protected"),
+        "file_name", "field")
+    return found.unionByName(outside).unionByName(broken)

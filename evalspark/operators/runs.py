@@ -63,15 +63,15 @@ def pending_work(tasks: DataFrame, finals: DataFrame, roster: DataFrame) -> Data
     done = of_roster(finals, roster).groupBy("task_id").agg(F.collect_set("model_id").alias("done"))
     none = F.array().cast("array<string>")
     # Two steps: a scalar subquery may not sit inside a generator.
-    left = tasks.select("task_id").join(done, "task_id", "left").withColumn(
+    left = tasks.select("task_id").distinct().join(done, "task_id", "left").withColumn(
         "todo", F.array_except(selected, F.coalesce("done", none))
     )
     return left.select("task_id", F.explode("todo").alias("model_id"))
 
 
 def coverage(finals: DataFrame, tasks: DataFrame, roster: DataFrame) -> DataFrame:
-    """Finished, missing and total tasks per roster model."""
-    total = tasks.agg(F.count("*")).scalar()
+    """Finished, missing and total tasks per roster model; a task listed twice is one task."""
+    total = tasks.agg(F.count_distinct("task_id")).scalar()
     known = finals.join(tasks.select("task_id").distinct(), "task_id", "left_semi")
     finished = known.groupBy("model_id").agg(F.count_distinct("task_id").alias("f"))
     out = roster.select("model_id").distinct().join(finished, "model_id", "left").select(
@@ -81,20 +81,18 @@ def coverage(finals: DataFrame, tasks: DataFrame, roster: DataFrame) -> DataFram
     return out.withColumn("missing", missing).withColumn("complete", missing == 0)
 
 
-def _model_order(counts: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
+def _model_order(counts: DataFrame, roster: DataFrame) -> DataFrame:
     """Number of queue entries ahead of each model's first, from (model_id, n_pending).
 
-    Models with the fewest finished tasks go first, then in roster order. The window runs over one
-    row per roster model.
+    Models with the fewest finished tasks go first, then in roster order. All models have the same tasks,
+    so the fewest finished are the most pending. The window runs over one row per roster model.
     """
-    models = roster.select("model_id", "provider", "pos").join(counts, "model_id").join(
-        progress.select("model_id", "finished"), "model_id"
-    )
-    ahead = Window.orderBy("finished", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    models = roster.select("model_id", "provider", "pos").join(counts, "model_id")
+    ahead = Window.orderBy(F.desc("n_pending"), "pos").rowsBetween(Window.unboundedPreceding, -1)
     return models.withColumn("ahead", F.coalesce(F.sum("n_pending").over(ahead), F.lit(0)))
 
 
-def queue(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
+def queue(pending: DataFrame, roster: DataFrame) -> DataFrame:
     """Every pending entry with its position in the deterministic queue, from 1.
 
     Within a model, tasks follow their SHA-256: a fixed order unrelated to the labels, whose leading
@@ -109,7 +107,7 @@ def queue(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFra
     counts = sizes.groupBy("model_id").agg(F.sum("n").alias("n_pending"))
     earlier = Window.partitionBy("model_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(
-        _model_order(counts, progress, roster).select("model_id", "provider", "ahead"), "model_id"
+        _model_order(counts, roster).select("model_id", "provider", "ahead"), "model_id"
     ).select("model_id", "bucket", "provider", (F.col("ahead") + F.col("before")).alias("offset"))
     within = Window.partitionBy("model_id", "bucket").orderBy("h", "task_id")
     ranked = entries.withColumn("rank", F.row_number().over(within))
@@ -118,17 +116,17 @@ def queue(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFra
     )
 
 
-def entries_ahead(pending: DataFrame, progress: DataFrame, roster: DataFrame) -> DataFrame:
+def entries_ahead(pending: DataFrame, roster: DataFrame) -> DataFrame:
     """Queue entries before each provider's first one; needs only the per-model counts."""
     counts = pending.groupBy("model_id").agg(F.count("*").alias("n_pending"))
-    return _model_order(counts, progress, roster).groupBy("provider").agg(F.min("ahead").alias("ahead"))
+    return _model_order(counts, roster).groupBy("provider").agg(F.min("ahead").alias("ahead"))
 
 
 def with_prices(attempts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Attempts with the cost of each; a model without a price has none. The catalog's ids are unique
-    and few; Spark broadcasts it below its threshold."""
+    """Attempts with the cost of each; a model without a price, or missing from the catalog, has none but
+    keeps its tokens. The catalog's ids are unique and few; Spark broadcasts it below its threshold."""
     prices = catalog.select(F.col("id").alias("model_id"), "provider", "input_per_m", "output_per_m")
-    return attempts.join(prices, "model_id").withColumn("cost", _cost("input_tokens", "output_tokens"))
+    return attempts.join(prices, "model_id", "left").withColumn("cost", _cost("input_tokens", "output_tokens"))
 
 
 def _cost(tokens_in: str, tokens_out: str) -> Column:

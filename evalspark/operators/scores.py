@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PASS_COLUMNS, REPLY_FIELDS
@@ -71,13 +71,14 @@ def shared_accuracy(grades: DataFrame, roster: DataFrame) -> DataFrame:
     """Accuracy per roster model over the tasks all of them answered.
 
     Grades are first summed per (model, task): whatever the number of repeated trials, a task then
-    has at most a roster's worth of rows when it is joined with the cohort. Where grades come out of
+    has at most a roster's worth of rows under the window that counts its models, so grading runs once. Where grades come out of
     a join or aggregate on these keys, that needs no further shuffle. (For repeated trials with a hot
     task, ``spark.sql.adaptive.forceOptimizeSkewedJoin`` lets Spark trade that saving for a split of
     the grading join; final responses hold one row per model and task and cannot be hot.)
     """
     cells = of_roster(grades, roster).groupBy("model_id", "task_id").agg(
         F.count("*").alias("n"), *_metric_sums(), _count("n_pass").alias("points"))
-    common = cells.join(shared_cohort(cells, roster), "task_id", "left_semi")
+    answered = F.count("*").over(Window.partitionBy("task_id"))  # one cell per roster model
+    common = cells.withColumn("answered", answered).filter(F.col("answered") == F.size(roster_ids(roster)))
     out = common.groupBy("model_id").agg(*[F.sum(c).alias(c) for c in ("n", *METRICS, "points")])
     return out.withColumn("composite", _composite())

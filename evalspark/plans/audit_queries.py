@@ -22,9 +22,11 @@ def declared(spark, d):
 
 
 def one_prompt(spark, d):
-    """The reference text of one benchmark item, looked for in every document."""
-    prompt = table(spark, d, "benchmark").agg(F.concat(F.lit(chr(0xA0) + chr(10)), F.max("text"), F.lit(" ")).alias("prompt"))
-    return audits.prompt_containment(table(spark, d, "documents"), prompt, "doc_id")
+    """Every benchmark item is the reference text of a group of documents and is looked for in each of these."""
+    items = table(spark, d, "benchmark").select(
+        "item_id", F.concat(F.lit(chr(0xA0) + chr(10)), F.col("text"), F.lit(" ")).alias("prompt"))
+    documents = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    return audits.prompt_containment(documents, items, "doc_id", by="item_id")
 
 
 def visible_lines(spark, d):
@@ -98,22 +100,35 @@ _PROTECTED = f"""
 
 
 def overlaps(spark, d):
-    """Outputs proposed at the https addresses against what the http ones protect."""
+    """Outputs proposed at the https addresses, in several spellings, against what the http ones protect."""
     registry = carrier(spark, d, "releases")
-    proposed = registry.filter("secure").select(F.col("harbor_dataset").alias("path"))
-    return release.frozen_overlaps(proposed, release.protected_dirs(registry.filter("NOT secure")))
+    clean = registry.filter(F.col("secure") & valid_release_path(F.col("harbor_dataset")))
+    proposed = clean.select(F.expr(_SPELLED).alias("path"))
+    return release.overlap_report(proposed, registry.filter("NOT secure"))
+
+
+# Spellings of one path by the page number: four that must be found, two that leave the root.
+_SPELLED = """CASE CAST(regexp_extract(file_name, '^([0-9]+)', 1) AS BIGINT) % 7
+    WHEN 0 THEN './' || harbor_dataset WHEN 1 THEN 'x/../' || harbor_dataset WHEN 2 THEN replace(harbor_dataset, '/', '//')
+    WHEN 3 THEN harbor_dataset || '/' WHEN 4 THEN '/' || harbor_dataset WHEN 5 THEN 'x/../../' || harbor_dataset
+    ELSE harbor_dataset END"""
 
 
 _OVERLAPS = f"""
     WITH views_releases AS (SELECT * FROM releases WHERE NOT secure),
     prot AS ({_PROTECTED.format(e=_ENTRIES.format(r='views_releases'))}),
+    proposed AS (SELECT *, {_SPELLED} AS spelled, CAST(regexp_extract(file_name, '^([0-9]+)', 1) AS BIGINT) AS page
+      FROM releases WHERE secure AND coalesce({_valid('harbor_dataset')}, false)),
     hits AS (
-      SELECT DISTINCT r.harbor_dataset AS path, p.path AS held FROM releases r, prot p
-      WHERE r.secure AND (r.harbor_dataset = p.path OR starts_with(r.harbor_dataset, p.path || '/')
+      SELECT DISTINCT r.spelled AS path, p.path AS held FROM proposed r, prot p
+      WHERE r.page % 7 NOT IN (4, 5) AND (r.harbor_dataset = p.path OR starts_with(r.harbor_dataset, p.path || '/')
         OR starts_with(p.path, r.harbor_dataset || '/') OR p.path = '' OR r.harbor_dataset = ''))
-    SELECT h.path, count(DISTINCT h.held) AS n_protected,
+    SELECT h.path, 'overlap' AS status, count(DISTINCT h.held) AS n_protected,
       min({{'a': p.file_name, 'b': p.field}}).a AS file_name, min({{'a': p.file_name, 'b': p.field}}).b AS field
-    FROM hits h JOIN prot p ON p.path = h.held GROUP BY h.path"""
+    FROM hits h JOIN prot p ON p.path = h.held GROUP BY h.path
+    UNION ALL SELECT DISTINCT spelled, 'outside', NULL, NULL, NULL FROM proposed WHERE page % 7 IN (4, 5)
+    UNION ALL SELECT value, 'invalid registry', NULL, file_name, field FROM {_ENTRIES.format(r='views_releases')}
+      WHERE NOT coalesce({_valid('value')}, false)"""
 
 
 def _text(c: str) -> str:
@@ -163,7 +178,7 @@ QUERIES = {
     "field_mismatches": (mismatches, sql(_MISMATCHES, "samples", "manifest")),
     "prompt_containment": (
         one_prompt,
-        "SELECT doc_id, contains(text, (SELECT max(text) FROM benchmark)) AS contains FROM documents"),
+        "SELECT doc_id, coalesce(contains(d.text, b.text), false) AS contains FROM documents d LEFT JOIN benchmark b ON d.doc_id % 40 = b.item_id"),
     "missing_files": (
         lambda s, d: audits.missing_files(
             table(s, d, "conversations").select("conv_id", F.col("role").alias("name")), "conv_id", ["assistant", "system", "user"]),

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import FAMILIES, LEVELS, MODIFIERS, PACKAGE_TAGS, PROVIDERS, WEIGHTS, WIDTHS
-from ..session import spread
+from ..schemas import CATEGORIES, LEVELS, MODIFIERS, PACKAGE_TAGS, PROVIDERS, WEIGHTS, WIDTHS
 
 SPARK, DUCK = "spark", "duck"
 
@@ -39,6 +38,14 @@ def model_id(number: str) -> str:
     return f"'model-' || lpad(CAST({number} AS VARCHAR(9)), 2, '0')"
 
 
+# Invented families, ten first names by five second ones, with categories in turn.
+FAMILIES = tuple(
+    (f"{first} {second}", CATEGORIES[(i + k) % len(CATEGORIES)])
+    for k, second in enumerate(("Sans", "Text", "Display", "Mono", "One"))
+    for i, first in enumerate("Alder Birch Cedar Elm Fir Hazel Linden Maple Oak Rowan".split())
+)
+
+
 def digits(key: str) -> str:
     """Design digits of a task number; the labels are read off them in the next step."""
     i = f"(({key}) * 7 + {_div(key, 50)}) % 60"
@@ -101,7 +108,7 @@ def reply_text() -> str:
     return (
         "CASE defect WHEN 8 THEN NULL WHEN 9 THEN '' ELSE"
         " CASE defect WHEN 15 THEN '[' WHEN 16 THEN chr(10) || ' ' ELSE '' END"
-        " || left(body, CASE WHEN defect = 7 THEN 60 ELSE 9999 END)"
+        " || CASE WHEN defect = 7 THEN left(body, 60) ELSE body END"
         " || CASE defect WHEN 6 THEN ' done' WHEN 15 THEN ']' WHEN 16 THEN chr(13) || chr(10)"
         " WHEN 19 THEN '{}' ELSE '' END END"
     )
@@ -149,6 +156,12 @@ def _line_replies(dialect: str) -> list[str]:
     ]
 
 
+def _texts(dialect: str, when: str, text: str) -> str:
+    """A list of the one text where the condition holds, else an empty one."""
+    one, none = (f"array('{text}')", "CAST(array() AS ARRAY<STRING>)") if dialect == SPARK else (f"['{text}']", "CAST([] AS VARCHAR[])")
+    return f"CASE WHEN {when} THEN {one} ELSE {none} END"
+
+
 def _catalog(dialect: str) -> list[str]:
     """One catalog entry per part; rules break on the part's own attributes."""
     names = ", ".join(f"'{p}'" for p in (*PROVIDERS, "other"))
@@ -171,7 +184,11 @@ def _catalog(dialect: str) -> list[str]:
         " p_retailprice / 2 AS output_per_m,"
         " CASE WHEN p_size = 2 THEN 0 WHEN p_size = 3 THEN -1 ELSE 1024 END AS max_output_tokens,"
         " p_size <= 25 AS enabled,"
-        " CASE WHEN p_brand = 'Brand#8' THEN 2 ELSE 1 END AS version",
+        " CASE WHEN p_brand = 'Brand#8' THEN 2 ELSE 1 END AS version,"
+        " CASE WHEN p_size = 7 THEN CAST(NULL AS DATE) ELSE DATE '2026-09-01' END AS verified_at,"
+        " CASE WHEN p_size = 8 THEN 'no address' WHEN p_size % 3 = 0 THEN 'https://b.example.com' END AS base_url,"
+        f" {_texts(dialect, 'p_size = 9', 'extra')} AS unknown_keys, {_texts(dialect, 'p_size = 10', 'enabled')} AS bad_types,"
+        " p_size <> 11 AS parsed",
     ]
 
 
@@ -258,10 +275,6 @@ CARRIERS = {
 }
 
 
-# Carriers with much work per row (reply text, normalized names): small scans of them are spread.
-SPREAD = ("attempts", "line_replies", "order_truth")
-
-
 def _split(projection: str) -> list[str]:
     """Top-level commas only: expressions hold commas in calls, arrays and literals."""
     parts, depth, quote, start = [], 0, False, 0
@@ -280,10 +293,7 @@ def _split(projection: str) -> list[str]:
 
 def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, _ = CARRIERS[name]
-    df = table(spark, sf_dir, source)
-    if name in SPREAD:
-        df = spread(df)
-    return project(df, name)
+    return project(table(spark, sf_dir, source), name)
 
 
 def project(df: DataFrame, name: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audits, design
-from ..schemas import FAMILIES, KERNING_EM, LEVELS, LINE_HEIGHT_RATIO, MODIFIERS, WEIGHT_CSS, WEIGHTS, WIDTHS
-from .carriers import carrier, table
+from ..schemas import KERNING_EM, LEVELS, LINE_HEIGHT_RATIO, MODIFIERS, WEIGHT_CSS, WEIGHTS, WIDTHS
+from .carriers import FAMILIES, carrier, table
 from .oracle import sql
 
 # --- oracle side of the recipe rule ---------------------------------------------------------

@@ -84,6 +84,10 @@ VIEWS = {
     "successes": "SELECT * FROM attempts WHERE status = 'success'",
     "finals": _FINALS.format(keys="model_id, task_id", source="attempts"),
     "run_finals": _FINALS.format(keys="run_id, model_id, task_id", source="attempts"),
+    "firsts": """SELECT * EXCLUDE (rn) FROM (
+        SELECT *, row_number() OVER (PARTITION BY run_id, model_id, task_id ORDER BY ts, attempt_id) AS rn
+        FROM attempts WHERE status = 'success') WHERE rn = 1""",
+    "strict_firsts": strict_parse("firsts"),
     "roster": "SELECT * FROM run_catalog WHERE enabled",
     "strict_finals": strict_parse("finals"),
     "strict_successes": strict_parse("successes"),
@@ -95,7 +99,7 @@ VIEWS = {
     "lenient_line_grades": judged("lenient_lines", "order_truth", "r.model_id"),
 }
 _USES = {
-    "successes": ["attempts"], "finals": ["attempts"], "run_finals": ["attempts"], "roster": ["run_catalog"],
+    "successes": ["attempts"], "finals": ["attempts"], "run_finals": ["attempts"], "firsts": ["attempts"], "strict_firsts": ["firsts"], "roster": ["run_catalog"],
     "strict_finals": ["finals"], "strict_successes": ["successes"], "lenient_successes": ["successes"],
     "strict_lines": ["line_replies"], "lenient_lines": ["line_replies"],
     "grades": ["strict_finals", "customer_truth"], "line_grades": ["strict_lines", "order_truth"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, runs
+from ..operators import catalog, grading, runs
 from ..schemas import PROVIDERS
 from .carriers import carrier, table
 from .oracle import in_list, sql
@@ -58,8 +58,13 @@ _QUEUE = f"""
     FROM ({_PENDING}) p JOIN ({_COVERAGE}) c USING (model_id) JOIN roster m USING (model_id)"""
 
 
+def _listed(spark, d):
+    """A catalog that lacks one of the models that were run."""
+    return carrier(spark, d, "run_catalog").filter("pos <> 22").drop("model_id")
+
+
 def cost(spark, d):
-    out = runs.cost(carrier(spark, d, "attempts"), carrier(spark, d, "run_catalog").drop("model_id"))
+    out = runs.cost(carrier(spark, d, "attempts"), _listed(spark, d))
     return out.withColumn("cost", F.round("cost", 6))
 
 
@@ -67,18 +72,18 @@ _COST = """
     SELECT a.model_id, c.provider, count(*) AS n_attempts, CAST(sum(a.input_tokens) AS BIGINT) AS input_tokens,
       CAST(sum(a.output_tokens) AS BIGINT) AS output_tokens,
       round((sum(a.input_tokens)::DOUBLE * any_value(c.input_per_m) + sum(a.output_tokens)::DOUBLE * any_value(c.output_per_m)) / 1e6, 6) AS cost
-    FROM attempts a JOIN run_catalog c USING (model_id) GROUP BY a.model_id, c.provider"""
+    FROM attempts a LEFT JOIN (SELECT * FROM run_catalog WHERE pos <> 22) c USING (model_id) GROUP BY a.model_id, c.provider"""
 
 
 def attempt_costs(spark, d):
-    out = runs.with_prices(carrier(spark, d, "attempts"), carrier(spark, d, "run_catalog").drop("model_id"))
+    out = runs.with_prices(carrier(spark, d, "attempts"), _listed(spark, d))
     return out.select("attempt_id", "model_id", "provider", F.round(F.col("cost") * 1e6, 3).alias("microcost"))
 
 
 _ATTEMPT_COSTS = """
     SELECT attempt_id, model_id, provider,
       round((input_tokens * input_per_m + output_tokens * output_per_m) / 1e6 * 1e6, 3) AS microcost
-    FROM attempts JOIN run_catalog USING (model_id)"""
+    FROM attempts LEFT JOIN (SELECT * FROM run_catalog WHERE pos <> 22) USING (model_id)"""
 
 
 def states(spark, d):
@@ -90,7 +95,7 @@ def states(spark, d):
     chosen = models.filter("enabled AND pos <> 20")
     stored = models.select(
         "model_id", F.when(F.col("pos") > 16, "paused").otherwise("completed").alias("state"),
-        F.when(F.col("pos") > 16, "Interrupted; resume to continue").alias("reason"))
+        F.when(F.col("pos") > 16, "stopped before the end").alias("reason"))
     late = log.filter("ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'")
     dispatched = late.filter("model_id < 'model-05'").select("model_id").distinct()
     errors = late.filter("status = 'provider_error' AND model_id > 'model-08'").groupBy("model_id").agg(
@@ -104,7 +109,7 @@ _STATES = """
     done AS (SELECT model_id, count(DISTINCT task_id) = (SELECT count(DISTINCT task_id) FROM attempts) AS complete FROM finals GROUP BY model_id),
     e AS (SELECT model_id, 'errors: ' || CAST(count(*) AS VARCHAR) AS reason FROM late WHERE status = 'provider_error' AND model_id > 'model-08' GROUP BY model_id),
     s AS (SELECT model_id, CASE WHEN pos > 16 THEN 'paused' ELSE 'completed' END AS state,
-      CASE WHEN pos > 16 THEN 'Interrupted; resume to continue' END AS reason FROM run_catalog)
+      CASE WHEN pos > 16 THEN 'stopped before the end' END AS reason FROM run_catalog)
     SELECT s.model_id,
       CASE WHEN c.model_id IS NULL THEN s.state WHEN coalesce(d.complete, false) THEN 'completed' WHEN e.model_id IS NOT NULL THEN 'blocked'
         WHEN s.model_id IN (SELECT model_id FROM late WHERE model_id < 'model-05') THEN 'running' ELSE 'pending' END AS state,
@@ -115,6 +120,8 @@ _STATES = """
 
 _RULES = {
     "version": "version = 1",
+    "verified_at": "verified_at IS NOT NULL",
+    "base_url": r"(base_url IS NULL OR regexp_full_match(base_url, '(?i:https?)://[^\s/?#]+(?:[/?#]\S*)?'))",
     "id": "regexp_full_match(id, '[a-z0-9][a-z0-9._-]*')",
     "provider": f"provider IN {in_list(PROVIDERS)}",
     "model": r"regexp_full_match(model, '\S+')",
@@ -126,8 +133,12 @@ _RULES = {
     "output_per_m": "(output_per_m IS NULL OR (output_per_m >= 0 AND isfinite(output_per_m)))",
     "max_output_tokens": "max_output_tokens > 0",
 }
-_VIOLATIONS = " UNION ALL ".join(
-    f"SELECT pos, id, '{rule}' AS rule FROM catalog WHERE NOT {ok}" for rule, ok in _RULES.items())
+_VIOLATIONS = " UNION ALL ".join([
+    *[f"SELECT pos, id, '{rule}' AS rule FROM catalog WHERE parsed AND NOT {ok}" for rule, ok in _RULES.items()],
+    "SELECT pos, id, 'document' FROM catalog WHERE NOT parsed",
+    "SELECT pos, id, 'unknown key: ' || unnest(unknown_keys) FROM catalog",
+    "SELECT pos, id, 'type: ' || unnest(bad_types) FROM catalog",
+])
 
 
 QUERIES = {
@@ -145,13 +156,19 @@ QUERIES = {
         compatible,
         sql("SELECT run_id, fingerprint, count(*) AS n FROM attempts WHERE fingerprint IN"
             " (SELECT 'fp-' || CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey > 0) GROUP BY ALL", "attempts")),
+    "orphan_replies": (
+        lambda s, d: grading.orphan_replies(
+            carrier(s, d, "attempts").filter("status = 'success'"), tasks(s, d).filter("task_no % 7 <> 0")),
+        sql("SELECT model_id, count(*) AS n_replies, count(DISTINCT task_id) AS n_tasks FROM successes"
+            " WHERE task_id NOT IN (SELECT task_id FROM customer_truth WHERE task_no % 7 <> 0) GROUP BY model_id",
+            "successes", "customer_truth")),
     "pending_work": (pending, sql(_PENDING, "roster", "customer_truth", "finals")),
     "coverage": (progress, sql(_COVERAGE, "roster", "customer_truth", "finals")),
     "queue": (
-        lambda s, d: runs.queue(pending(s, d), progress(s, d), roster(s, d)),
+        lambda s, d: runs.queue(pending(s, d), roster(s, d)),
         sql(_QUEUE, "roster", "customer_truth", "finals")),
     "entries_ahead": (
-        lambda s, d: runs.entries_ahead(pending(s, d), progress(s, d), roster(s, d)),
+        lambda s, d: runs.entries_ahead(pending(s, d), roster(s, d)),
         sql(f"SELECT provider, min(queue_pos) - 1 AS ahead FROM ({_QUEUE}) GROUP BY provider", "roster", "customer_truth", "finals")),
     "attempt_costs": (attempt_costs, sql(_ATTEMPT_COSTS, "attempts", "run_catalog")),
     "cost_by_model": (cost, sql(_COST, "attempts", "run_catalog")),

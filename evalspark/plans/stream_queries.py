@@ -9,7 +9,7 @@ from ..schemas import PASS_COLUMNS, SUCCESS
 from ..session import shared_dir
 from ..streaming import grading as stream
 from .carriers import CARRIERS, carrier, project, table
-from .oracle import judged, sql
+from .oracle import SUMS, judged, sql
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -35,25 +35,56 @@ def graded(spark, d):
 
 
 def _first(spark, d, out: str) -> None:
-    said = attempts(spark, d).select("attempt_id", "run_id", "model_id", "task_id", "status", "reply")
-    _finish(stream.append_files(stream.first_success_stream(said), f"{out}/first", f"{out}/first-checkpoint"))
+    said = attempts(spark, d).select("attempt_id", "ts", "run_id", "model_id", "task_id", "status", "reply")
+    _finish(stream.keep_first_successes(said, f"{out}/first", f"{out}/first-checkpoint"))
 
 
 def firsts(spark, d):
     out = shared_dir(spark, "first")
     _first(spark, d, out)
-    return spark.read.parquet(f"{out}/first").select("run_id", "model_id", "task_id")
+    return stream.read_batches(spark, f"{out}/first").select("run_id", "model_id", "task_id", "attempt_id")
 
 
 def progress(spark, d):
     """Two chained streams: first successes land as files, a second query grades and counts them."""
     out = shared_dir(spark, "progress")
     _first(spark, d, out)
-    landed = spark.readStream.schema(spark.read.parquet(f"{out}/first").schema).parquet(f"{out}/first")
+    schema = stream.read_batches(spark, f"{out}/first").schema
+    landed = spark.readStream.schema(schema).parquet(f"{out}/first/batch=*")
     grades = stream.grade_stream(landed.withColumn("status", F.lit(SUCCESS)), carrier(spark, d, "customer_truth"))
     counts = stream.progress_stream(grades, ["run_id", "model_id"])
     _finish(stream.replace_table(counts, f"{out}/table", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/table").select("run_id", "model_id", F.col("n").alias("finished"))
+    return stream.read_latest(spark, f"{out}/table").withColumnRenamed("n", "finished")
+
+
+def states(spark, d):
+    """Live states over several micro-batches of one invocation, against what the whole log says."""
+    out = shared_dir(spark, "states")
+    log = carrier(spark, d, "attempts").select("attempt_id", "ts", "run_id", "model_id", "task_id", "status")
+    log.repartitionByRange(4, "ts").write.parquet(f"{out}/log")
+
+    def arriving():
+        return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/log")
+
+    _finish(stream.keep_first_successes(arriving(), f"{out}/first", f"{out}/first-checkpoint"))
+    models = carrier(spark, d, "run_catalog")
+    stored = models.select("model_id", F.lit("paused").alias("state"), F.lit("stopped before the end").alias("reason"))
+    attempted = log.select("task_id").distinct()
+    _finish(stream.publish_states(
+        arriving(), f"{out}/first", attempted, stored, models.filter("enabled AND pos <> 20"), f"{out}/states", f"{out}/checkpoint"))
+    return stream.read_states(spark, f"{out}/states")
+
+
+_STATES = """
+    , chosen AS (SELECT * FROM run_catalog WHERE enabled AND pos <> 20),
+    done AS (SELECT model_id, count(DISTINCT task_id) = (SELECT count(DISTINCT task_id) FROM attempts) AS complete FROM finals GROUP BY model_id),
+    l AS (SELECT model_id, arg_max(status, (ts, attempt_id)) AS status FROM attempts GROUP BY model_id)
+    SELECT m.model_id,
+      CASE WHEN c.model_id IS NULL THEN 'paused' WHEN coalesce(d.complete, false) THEN 'completed'
+        WHEN l.status <> 'success' THEN l.status WHEN l.status IS NOT NULL THEN 'running' ELSE 'pending' END AS state,
+      CASE WHEN c.model_id IS NULL THEN 'stopped before the end' WHEN coalesce(d.complete, false) THEN NULL
+        WHEN l.status <> 'success' THEN 'latest attempt failed' END AS reason
+    FROM run_catalog m LEFT JOIN chosen c USING (model_id) LEFT JOIN done d USING (model_id) LEFT JOIN l USING (model_id)"""
 
 
 QUERIES = {
@@ -62,8 +93,10 @@ QUERIES = {
         sql(f"SELECT attempt_id, task_id, {', '.join(PASS_COLUMNS)}, n_pass, exact FROM ("
             + judged("strict_successes", "customer_truth", "r.attempt_id") + ")", "strict_successes", "customer_truth")),
     "stream_first_success": (
-        firsts, sql("SELECT DISTINCT run_id, model_id, task_id FROM successes", "successes")),
+        firsts, sql("SELECT run_id, model_id, task_id, attempt_id FROM firsts", "firsts")),
     "stream_progress": (
         progress,
-        sql("SELECT run_id, model_id, count(DISTINCT task_id) AS finished FROM successes GROUP BY ALL", "successes")),
+        sql(f"SELECT run_id, model_id, count(*) AS finished, {SUMS} FROM ("
+            + judged("strict_firsts", "customer_truth", "r.run_id, r.model_id") + ") GROUP BY ALL", "strict_firsts", "customer_truth")),
+    "stream_states": (states, sql("", "attempts", "run_catalog", "finals").rstrip() + _STATES),
 }

@@ -6,9 +6,10 @@ later start resumes after it, also when executors or the driver were lost in bet
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,17 +27,49 @@ def grade_stream(attempts: DataFrame, truth: DataFrame, mode: str = STRICT) -> D
     return grade(done, truth, mode)
 
 
-def first_success_stream(attempts: DataFrame, keys: Sequence[str] = KEYS, salts: int = 16) -> DataFrame:
-    """At most one successful attempt per key, across micro-batches and restarts: the first to arrive.
+def keep_first_successes(
+    attempts: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = KEYS
+) -> StreamingQuery:
+    """Land one successful attempt per key: of the first micro-batch that has any the least (ts, attempt_id).
 
-    Deduplication keeps each key forever (the log has no event-time horizon), bounded by models x
-    tasks. It runs twice: first within salts of the attempt id, so the retries of one hot task are
-    spread over several partitions, then over the few survivors. For unbounded keys set a watermark
-    and use ``dropDuplicatesWithinWatermark`` instead.
+    A batch is reduced map-side, rid of keys that earlier batches landed, and written to a folder of its
+    own, so a repeated batch writes the same rows again and no state is kept in memory. Read the folders
+    with :func:`read_batches`.
     """
-    done = attempts.filter(F.col("status") == SUCCESS)
-    salted = done.withColumn("__salt", F.pmod(F.xxhash64("attempt_id"), F.lit(salts)).cast("int"))
-    return salted.dropDuplicates([*keys, "__salt"]).drop("__salt").dropDuplicates(list(keys))
+    def write(batch: DataFrame, number: int) -> None:
+        done = batch.filter(F.col("status") == SUCCESS)
+        rest = [c for c in done.columns if c not in keys]
+        first = F.min_by(F.struct(*rest), F.struct("ts", "attempt_id")).alias("a")
+        firsts = done.groupBy(*keys).agg(first).select(*keys, "a.*")
+        for earlier in _written(batch.sparkSession, path, number):
+            firsts = firsts.join(batch.sparkSession.read.parquet(*earlier).select(*keys), list(keys), "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).start()
+
+
+def _batch_folders(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches below the path that were written to the end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found)
+
+
+def _written(spark: SparkSession, path: str, before: int) -> list[list[str]]:
+    """The folders of earlier batches, as one list or none at all."""
+    folders = [f"{path}/batch={n}" for n in _batch_folders(spark, path) if n < before]
+    return [folders] if folders else []
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches that were written to the end."""
+    return spark.read.parquet(*[f"{path}/batch={n}" for n in _batch_folders(spark, path)])
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a table kept by :func:`replace_table` or :func:`publish_states`."""
+    return spark.read.parquet(f"{path}/batch={_batch_folders(spark, path)[-1]}")
 
 
 def progress_stream(grades: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
@@ -53,32 +86,52 @@ def append_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def replace_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Run to the end of what has arrived, keeping the complete aggregate in a Parquet folder.
+    """Run to the end of what has arrived, keeping the complete aggregate, each version in its own folder.
 
-    A repeated micro-batch rewrites the same table, so a restart cannot count anything twice.
+    A repeated micro-batch rewrites its own version, so a restart cannot count anything twice; readers take
+    the last complete one with :func:`read_latest`, so a crash while writing leaves them the one before.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.outputMode("complete").trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
 def publish_states(
-    attempts: DataFrame, finals_path: str, tasks: DataFrame, stored: DataFrame, roster: DataFrame, path: str, checkpoint: str
+    attempts: DataFrame, finals_path: str, tasks: DataFrame, stored: DataFrame, roster: DataFrame, path: str,
+    checkpoint: str, invocation: str | None = None,
 ) -> StreamingQuery:
-    """Live form of :func:`evalspark.operators.runs.model_state`: rewrite the state table as attempts arrive.
+    """Live form of :func:`evalspark.operators.runs.model_state`: a new state table as attempts arrive.
 
-    Models with attempts in the micro-batch count as dispatched. A model whose latest attempt in it
-    failed takes that attempt's status as its state. Progress is read from the table of first
-    successes that :func:`append_files` maintains. Other models show what their coverage says.
+    Models with attempts in any micro-batch of this invocation count as dispatched. A model whose latest
+    attempt in the invocation failed takes that attempt's status as its state. What each batch saw is
+    written under the invocation's name and read with those before it, so nothing a batch reported is
+    forgotten by the next; pass the same ``invocation`` to go on after a crash. Progress is read from the
+    first successes that :func:`keep_first_successes` lands; before there are any, nothing is finished.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        finals = batch.sparkSession.read.parquet(finals_path)
-        latest = batch.groupBy("model_id").agg(F.max_by("status", F.struct("ts", "attempt_id")).alias("state"))
-        errors = latest.filter(F.col("state") != SUCCESS).withColumn("reason", F.lit("latest attempt failed"))
+    invocation = invocation or uuid.uuid4().hex
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        latest = F.max_by(F.struct("ts", "attempt_id", "status"), F.struct("ts", "attempt_id")).alias("a")
+        seen = batch.groupBy("model_id").agg(latest).select("model_id", "a.*")
+        events = f"{path}/seen/{invocation}"
+        seen.write.mode("overwrite").parquet(f"{events}/batch={number}")
+        latest = read_batches(spark, events).groupBy("model_id").agg(latest).select("model_id", "a.*")
+        errors = latest.filter(F.col("status") != SUCCESS).select(
+            "model_id", F.col("status").alias("state"), F.lit("latest attempt failed").alias("reason"))
+        if _batch_folders(spark, finals_path):
+            finals = read_batches(spark, finals_path)
+        else:
+            finals = spark.createDataFrame([], "model_id string, task_id string")
         states = model_state(coverage(finals, tasks, roster), stored, roster, latest, errors)
-        states.write.mode("overwrite").parquet(path)
+        states.write.mode("overwrite").parquet(f"{path}/states/batch={number}")
 
     writer = attempts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).start()
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """The last state table that :func:`publish_states` wrote."""
+    return read_latest(spark, f"{path}/states")

@@ -54,14 +54,14 @@ def test_pending_queue_and_coverage(spark):
     assert cov == {m: (finished[m], 20 - finished[m], 20, False) for m in models}
 
     order = sorted(want, key=lambda k: (finished[k[0]], models.index(k[0]), hashlib.sha256(k[1].encode()).hexdigest()))
-    got = runs.queue(pending, progress, roster(spark)).orderBy("queue_pos").collect()
+    got = runs.queue(pending, roster(spark)).orderBy("queue_pos").collect()
     assert [(r.model_id, r.task_id) for r in got] == order
     assert [r.queue_pos for r in got] == list(range(1, len(order) + 1))
     provider = {"m2": "p", "m0": "q", "m1": "p"}
     ahead = {}
     for i, (m, _) in enumerate(order):
         ahead.setdefault(provider[m], i)
-    assert {r.provider: r.ahead for r in runs.entries_ahead(pending, progress, roster(spark)).collect()} == ahead
+    assert {r.provider: r.ahead for r in runs.entries_ahead(pending, roster(spark)).collect()} == ahead
 
 
 def test_nothing_pending_for_unselected_or_complete_models(spark):
@@ -96,7 +96,7 @@ def test_cost_needs_both_prices(spark):
 def test_model_states(spark):
     progress = spark.createDataFrame(
         [("idle", False), ("sent", False), ("done", True), ("err", False), ("doneerr", True), ("new", False)], "model_id string, complete boolean")
-    stale = ("paused", "Interrupted; resume to continue")
+    stale = ("paused", "stopped before the end")
     stored = spark.createDataFrame(
         [(m, *stale) for m in ("idle", "sent", "done", "err", "out", "doneerr")], "model_id string, state string, reason string")
     chosen = spark.createDataFrame([(m,) for m in ("idle", "sent", "done", "err", "doneerr", "new")], "model_id string")
@@ -115,7 +115,7 @@ def test_queue_is_stable_under_repartitioning(spark):
 
     def positions(attempts, t):
         finals = runs.final_responses(attempts, ("model_id", "task_id"))
-        out = runs.queue(runs.pending_work(t, finals, roster(spark)), runs.coverage(finals, t, roster(spark)), roster(spark))
+        out = runs.queue(runs.pending_work(t, finals, roster(spark)), roster(spark))
         return sorted(tuple(r) for r in out.collect())
 
     assert positions(df, tasks) == positions(df.repartition(9).orderBy(F.desc("attempt_id")), tasks.repartition(4))

@@ -38,13 +38,12 @@ def test_first_success_once_across_restarts(spark, tmp_path):
     runs, out, ck = tmp_path / "runs", str(tmp_path / "out"), str(tmp_path / "ck")
 
     def step():
-        firsts = stream.first_success_stream(logs.stream_attempts(spark, str(runs)), salts=4)
-        finish(stream.append_files(firsts, out, ck))
-        return sorted((r.run_id, r.model_id, r.task_id, r.attempt_id) for r in spark.read.parquet(out).collect())
+        finish(stream.keep_first_successes(logs.stream_attempts(spark, str(runs)), out, ck))
+        return sorted((r.run_id, r.model_id, r.task_id, r.attempt_id) for r in stream.read_batches(spark, out).collect())
 
     write_log(runs, "r", "attempts-1.jsonl", [attempt(1, "m", "t", "provider_error", None), attempt(2, "m", "t")])
     assert step() == [("r", "m", "t", 2)]
-    write_log(runs, "r", "attempts-2.jsonl", [attempt(i, "m", "t") for i in range(3, 40)] + [attempt(50, "m", "u")])
+    write_log(runs, "r", "attempts-2.jsonl", [attempt(i, "m", "t") for i in range(3, 40)] + [attempt(i, "m", "u") for i in range(59, 49, -1)])
     assert step() == [("r", "m", "t", 2), ("r", "m", "u", 50)]
 
 
@@ -54,7 +53,7 @@ def test_progress(spark, tmp_path):
     def step():
         grades = stream.grade_stream(logs.stream_attempts(spark, str(runs)), truth(spark))
         finish(stream.replace_table(stream.progress_stream(grades), out, ck))
-        return {r.model_id: (r.n, r.exact, r.weight) for r in spark.read.parquet(out).collect()}
+        return {r.model_id: (r.n, r.exact, r.weight) for r in stream.read_latest(spark, out).collect()}
 
     write_log(runs, "r", "attempts-1.jsonl", [attempt(1, "m", "t", reply=reply("t"))])
     assert step() == {"m": (1, 1, 1)}
@@ -69,10 +68,10 @@ def test_live_states(spark, tmp_path):
     stored = spark.createDataFrame([(m, "paused", "old") for m in ("done", "going", "broken", "idle", "out")], "model_id string, state string, reason string")
 
     def step():
-        firsts = stream.first_success_stream(logs.stream_attempts(spark, str(runs)), salts=2)
-        finish(stream.append_files(firsts, f"{base}/first", f"{base}/first-ck"))
-        finish(stream.publish_states(logs.stream_attempts(spark, str(runs)), f"{base}/first", tasks, stored, roster, f"{base}/states", f"{base}/states-ck"))
-        return {r.model_id: (r.state, r.reason) for r in spark.read.parquet(f"{base}/states").collect()}
+        arriving = lambda: logs.stream_attempts(spark, str(runs), max_files=1)
+        finish(stream.keep_first_successes(arriving(), f"{base}/first", f"{base}/first-ck"))
+        finish(stream.publish_states(arriving(), f"{base}/first", tasks, stored, roster, f"{base}/states", f"{base}/states-ck"))
+        return {r.model_id: (r.state, r.reason) for r in stream.read_states(spark, f"{base}/states").collect()}
 
     write_log(runs, "r", "attempts-1.jsonl", [
         attempt(1, "done", "t"), attempt(2, "going", "t"), attempt(3, "broken", "t"), attempt(4, "broken", "n", "provider_error", None)])
@@ -82,3 +81,17 @@ def test_live_states(spark, tmp_path):
     write_log(runs, "r", "attempts-2.jsonl", [attempt(5, "done", "n")])
     assert step() == {
         "done": ("completed", None), "going": ("pending", None), "broken": ("pending", None), "idle": ("pending", None), "out": ("paused", "old")}
+
+
+def test_states_of_one_invocation_over_several_batches(spark, tmp_path):
+    """What an early micro-batch reported is still there after a later one without that model."""
+    runs, base = tmp_path / "runs", str(tmp_path)
+    tasks = spark.createDataFrame([("t",), ("n",)], "task_id string")
+    roster = spark.createDataFrame([("failed",), ("sent",), ("late",)], "model_id string")
+    stored = spark.createDataFrame([], "model_id string, state string, reason string")
+    write_log(runs, "r", "attempts-1.jsonl", [attempt(1, "failed", "t", "provider_error", None), attempt(2, "sent", "t")])
+    write_log(runs, "r", "attempts-2.jsonl", [attempt(3, "late", "t")])
+    arriving = logs.stream_attempts(spark, str(runs), max_files=1)
+    finish(stream.publish_states(arriving, f"{base}/none", tasks, stored, roster, f"{base}/states", f"{base}/ck"))
+    got = {r.model_id: r.state for r in stream.read_states(spark, f"{base}/states").collect()}
+    assert got == {"failed": "provider_error", "sent": "running", "late": "running"}
