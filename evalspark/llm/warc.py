@@ -53,8 +53,10 @@ def url_key(url: str | None) -> str:
     except ValueError:
         return ")" + _plain(url)
     if port and port != {"http": 80, "https": 443}.get(parts.scheme):
-        host = f"{host}:{port}"
-    name = ",".join(reversed(host.split(".")))
+        port = f":{port}"
+    else:
+        port = ""
+    name = ",".join(reversed(host.split("."))) + port
     return _plain(f"{name}){parts.path or '/'}{'?' + parts.query if parts.query else ''}")
 
 
