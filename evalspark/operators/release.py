@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,3 +118,25 @@ def overlap_report(proposed: DataFrame, releases: DataFrame) -> DataFrame:
         F.col("value").alias("path"), F.lit("invalid registry").alias("status"), none.cast("bigint").alias("n_protected"),
         "file_name", "field")
     return found.unionByName(outside).unionByName(broken)
+
+
+def release_report(checks: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """One row per assertion: (assertion, n_checked, n_failed, ok), from what was checked and what failed."""
+    rows = []
+    for name, (checked, failed) in checks.items():
+        row = checked.agg(F.count("*").alias("n_checked")).withColumn("n_failed", failed.agg(F.count("*")).scalar())
+        rows.append(row.select(F.lit(name).alias("assertion"), "n_checked", "n_failed", (F.col("n_failed") == 0).alias("ok")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def finalization(cohort: DataFrame, coverage: DataFrame, rescored: DataFrame, prints: DataFrame) -> DataFrame:
+    """One row to freeze a release by: models, tasks all of them answered, finished and expected responses
+    (models times tasks), stored grades that a fresh grading contradicts, and the fingerprint of the dataset."""
+    models = coverage.agg(
+        F.count("*").alias("n_models"), F.sum("finished").alias("n_finished"), F.sum("total").alias("n_expected"))
+    out = models.withColumns({
+        "n_cohort": cohort.agg(F.count("*")).scalar(), "n_rescored": rescored.agg(F.count("*")).scalar(),
+        "fingerprint": prints.select("fingerprint").scalar(),
+    })
+    complete = (F.col("n_finished") == F.col("n_expected")) & (F.col("n_rescored") == 0)
+    return out.withColumn("complete", complete)
