@@ -18,6 +18,7 @@ GRAM = 32  # bytes of an anchor
 SHARD = 1 << 21  # bytes that one suffix array holds, about
 STRETCH = 2048  # places of a label document whose anchors share a shard
 CONTEXTS = 1024  # different contexts of one anchor that may meet in a shard; more meet by hash
+PART = 16384  # of these, contexts that meet in one task
 BREAK = 0xFF  # between the texts of a shard; no UTF-8 text contains it
 
 REGION = "shard long, id long, start int, n int, region binary"
@@ -259,27 +260,59 @@ def _search(length: int):
     return run
 
 
-def _by_hash(length: int):
-    """Each string of the listed blocks by two hashes of its bytes."""
+def _contexts(length: int):
+    """The bytes of each listed block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = A.Roller(91)
         for batch in batches:
             ids = A.ids(batch.column("id"))
             at, field = list_column(batch.column("blocks"))
             start, n = (field[c].to_numpy(zero_copy_only=False) for c in ("start", "n"))
-            for lo, hi, buf, offs in A.byte_groups(batch.column("text")):
-                rows = slice(at[lo], at[hi])
-                doc = np.repeat(np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1])), n[rows])
-                shift = np.arange(len(doc)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
-                place = np.repeat(start[rows], n[rows]) + shift
-                first = offs[doc] + place
-                h1 = A.SHINGLES.of(A.SHINGLES.prefix(buf), first, first + length)
-                h2 = other.of(other.prefix(buf), first, first + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + doc]), pa.array(place.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    names=["id", "start", "h1", "h2"],
-                )
+            if not len(start):
+                continue
+            doc = np.repeat(np.arange(len(ids)), np.diff(at))
+            buf, offs = A.text_buffer(batch.column("text"))
+            begin = offs[doc] + start
+            text = pa.array([buf[i : i + m + length - 1].tobytes() for i, m in zip(begin, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [field["key"], field["part"], field["parts"], pa.array(ids[doc]), pa.array(start), pa.array(n), text],
+                names=["key", "part", "parts", "id", "start", "n", "context"],
+            )
+
+    return run
+
+
+def _by_hash(length: int):
+    """Contexts of one anchor, of many: their strings by two hashes. Those that stand here twice are settled
+    (a run of them, hashes null); the others are given one by one if the anchor has more parts than this."""
+
+    def run(part: pa.Table) -> pa.Table:
+        ids, start, n = (part.column(c).to_numpy() for c in ("id", "start", "n"))
+        buf, offs = A.text_buffer(part.column("context"))
+        buf, offs = buf[offs[0] : offs[-1]], offs - offs[0]
+        row = np.repeat(np.arange(len(n)), n)
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        first = offs[row] + shift
+        h1, h2 = (r.of(r.prefix(buf), first, first + length) for r in (A.SHINGLES, A.KEYS))
+        order = np.lexsort((h2, h1))
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        twice = np.empty(len(order), bool)
+        twice[order] = same[1:] | same[:-1]
+        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (twice[1:] != twice[:-1])))
+        size = np.diff(np.append(cut, len(row)))
+        runs, size = cut[twice[cut]], size[twice[cut]]
+        alone = np.flatnonzero(~twice) if part.column("parts")[0].as_py() > 1 else cut[:0]
+        # of those that stand here twice one goes on as well, for the other parts' sake
+        if part.column("parts")[0].as_py() > 1:
+            alone = np.concatenate((alone, order[np.flatnonzero(~same[:-1] & same[1:])]))
+        take = np.concatenate((runs, alone))
+        known = np.arange(len(take)) < len(runs)
+        return pa.table({
+            "id": ids[row[take]], "start": (start[row[take]] + shift[take]).astype(np.int32),
+            "n": np.concatenate((size, np.ones(len(alone), np.int64))).astype(np.int32),
+            "h1": pa.array(h1[take].view(np.int64), mask=known), "h2": pa.array(h2[take].view(np.int64), mask=known),
+        })
 
     return run
 
@@ -314,7 +347,7 @@ def _cut(length: int):
 
 def remove_repeated_strings(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
-    shard_bytes: int = SHARD, contexts: int = CONTEXTS,
+    shard_bytes: int = SHARD, contexts: int = CONTEXTS, part_size: int = PART,
 ) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
 
@@ -323,14 +356,14 @@ def remove_repeated_strings(
 
     1. Dealing. Equal strings have equal anchors, so only blocks whose anchor occurs twice or more can hold
        repeats. Blocks of equal content are merged and counted first; one that occurs twice is repeated
-       whole. A block all of whose anchor's other blocks are equal to it has nothing left to compare.
+       whole. An anchor all of whose blocks are repeated has nothing left to compare.
     2. Every other block goes, with one copy of the repeated ones, to the shard of its anchor. Anchors that
        follow one another in the first document that holds them share a shard, so that neighbouring blocks
        of a near copy stay one stretch of text there.
     3. Each shard is a suffix array: suffixes are classified, leftmost-smaller substrings are sorted
        recursively, the rest is induced; permuted common prefixes tell which strings occur twice.
     4. An anchor with more than `contexts` different blocks does not meet in one shard: its strings are
-       compared by a 128-bit hash in an aggregate that combines before the shuffle.
+       compared by a 128-bit hash, in parts, and what a part leaves open in an aggregate over all.
 
     Null texts are empty. A null id counts as an id of its own and comes back as null. Rows that share an
     id are one document with the greatest of their texts.
@@ -339,7 +372,8 @@ def remove_repeated_strings(
     shared = landed(shared_blocks(docs, length, gram, False), "anchors")
     groups = landed(shared.groupBy("key", "full").agg(F.min("id").alias("first"), F.count("*").alias("times")), "groups")
     label = shared.groupBy("key").agg(F.min("id").alias("at"), F.min("start").alias("place"))
-    mixed = groups.groupBy("key").agg(F.count("*").alias("contexts")).filter("contexts > 1").join(label, "key")
+    mixed = groups.groupBy("key").agg(F.count("*").alias("contexts"), F.min("times").alias("least"))
+    mixed = mixed.filter("contexts > 1 and least = 1").drop("least").join(label, "key")
     repeated = shared.join(groups.filter("times > 1").select("key", "full"), ["key", "full"]).select("id", "start", "n")
     own = shared.join(groups.join(mixed, "key"), ["key", "full"]).filter("id = first")
     own = own.groupBy("id", "key", "full", "n", "contexts", "at", "place").agg(F.min("start").alias("start"))
@@ -348,12 +382,20 @@ def remove_repeated_strings(
     shards = max(1, -(-size // shard_bytes))
     dealt = F.pmod(F.xxhash64("at", F.floor(F.col("place") / STRETCH)), F.lit(shards)).alias("shard")
     few = listed(own.filter(F.col("contexts") <= contexts).select("id", "start", "n", dealt), ["start", "n", "shard"], "blocks")
-    many = listed(own.filter(F.col("contexts") > contexts), ["start", "n"], "blocks")
+    parts = F.ceil(F.col("contexts") / part_size).cast("int")
+    many = own.filter(F.col("contexts") > contexts).select(
+        "id", "key", "start", "n", parts.alias("parts"), F.pmod(F.xxhash64("id", "start"), parts).cast("int").alias("part")
+    )
+    many = listed(many, ["key", "part", "parts", "start", "n"], "blocks")
     regions = docs.join(few, "id").mapInArrow(_regions(length), REGION)
     found = regions.groupBy("shard").applyInArrow(_search(length), "id long, start int, n int")
-    hashed = docs.join(many, "id").mapInArrow(_by_hash(length), "id long, start int, h1 long, h2 long")
-    often = hashed.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
-    again = hashed.join(often, ["h1", "h2"]).select("id", "start", F.lit(1).alias("n"))
+    hashed = docs.join(many, "id").mapInArrow(
+        _contexts(length), "key long, part int, parts int, id long, start int, n int, context binary"
+    )
+    hashed = hashed.groupBy("key", "part").applyInArrow(_by_hash(length), "id long, start int, n int, h1 long, h2 long")
+    open_ = hashed.filter("h1 is not null")
+    often = open_.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    again = open_.join(often, ["h1", "h2"]).select("id", "start", "n").union(hashed.filter("h1 is null").select("id", "start", "n"))
     spans = listed(repeated.union(found).union(again), ["start", "n"], "spans")
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary"
