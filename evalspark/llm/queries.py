@@ -51,6 +51,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS hex, first FROM p JOIN f USING (html))
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d"""
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,6 +72,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48),
+    lambda s: {'s': s, 'h': sha256(array_to_string(ws[s:s + 49], ' '))})) AS x FROM w WHERE len(ws) >= 50),
+f AS (SELECT x.h AS h, min(doc_id) AS first FROM v GROUP BY x.h),
+g AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (
+  SELECT doc_id, unnest(range(x.s, x.s + 50)) AS k FROM v JOIN f ON f.h = v.x.h WHERE first < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)"""
+
 QUERIES = {
     "op1_licenses": (op1_licenses, None),
     "op2_suffix": (op2_suffix, None),
@@ -68,7 +91,7 @@ QUERIES = {
     "op5_toxicity": (op5_toxicity, None),
     "op6_search": (op6_search, None),
     "op7_minhash": (op7_minhash, None),
-    "op8_warc": (op8_warc, None),
-    "op9_substring": (op9_substring, None),
+    "op8_warc": (op8_warc, OP8_SQL),
+    "op9_substring": (op9_substring, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
 }
