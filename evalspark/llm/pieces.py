@@ -18,9 +18,11 @@ SAMPLES = 2
 SHARPNESS = 1.5  # a piece of merge rank r weighs (1 + r) ** -SHARPNESS, about as often as such words occur
 SEED = 17
 SPACE_MARK = "▁"
-GROUP = 1 << 19
+GROUP = 1 << 19  # bytes of text whose equal words share one lattice
+SLICE = 1 << 16  # bytes of text that are walked together
 TABLE_BITS = 18
 FILTER_BITS = 20
+NOISE = A.U(0xBF58476D1CE4E5B9)
 
 ENCODED = "id long, sample int, ids array<int>, log_prob double, log_inclusion double"
 
@@ -62,9 +64,13 @@ def load(model_file: str = MODEL, sharpness: float = SHARPNESS) -> Pieces:
     weight = {i: -sharpness * np.log1p(best - model.get_score(i)) for i in ids}
     if any(b" " in texts[i].lstrip(b" ") for i in ids):
         raise ValueError("a piece goes on after a space: words are no units of this model")
-    hashes = np.array([_hash(texts[i]) for i in ids], A.U)
+    size = np.array([len(texts[i]) for i in ids])
+    begin = np.cumsum(size) - size
+    prefix = A.WORDS.prefix(np.frombuffer(b"".join(texts[i] for i in ids), np.uint8))
+    hashes = _key(prefix, begin, begin + size)
     order = np.argsort(hashes)
-    begun = np.unique(np.array([_hash(texts[i][:k]) for i in ids for k in range(1, len(texts[i]) + 1)], A.U))
+    start = np.repeat(begin, size)  # every beginning of every piece
+    begun = np.unique(_key(prefix, start, np.arange(len(start)) + 1))
     bits = hashes[order] >> A.U(64 - TABLE_BITS)
     table = np.searchsorted(bits, np.arange(1 << TABLE_BITS, dtype=np.uint64)).astype(np.int32)
     probes = int(np.unique(bits, return_counts=True)[1].max())
@@ -74,9 +80,9 @@ def load(model_file: str = MODEL, sharpness: float = SHARPNESS) -> Pieces:
     )
 
 
-def _hash(text: bytes) -> np.uint64:
-    units = np.frombuffer(text, np.uint8)
-    return A.WORDS.of(A.WORDS.prefix(units), np.array([0]), np.array([len(units)]))[0]
+def _key(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of a slice whose leading bits are good enough for tables; cheaper than a finished one."""
+    return (prefix[end] - prefix[start]) * A.WORDS.inverses[start] * A.U(0x9E3779B97F4A7C15)
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -98,6 +104,8 @@ class Lattice(NamedTuple):
     ahead: np.ndarray  # log weight of all paths from the chunk's start to a node within it
     total: np.ndarray  # the same at the chunk's end
     border: np.ndarray  # nodes where chunks begin or end
+    log_p: np.ndarray  # of an edge, given the node where it ends
+    mark: np.ndarray  # of an edge, for its noise
 
 
 def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
@@ -118,7 +126,7 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
         at = at[at + size <= limit[at]]
         if not len(at):
             break
-        h = A.WORDS.of(prefix, at, at + size)
+        h = _key(prefix, at, at + size)
         on = np.flatnonzero(pieces.begun[(h >> A.U(64 - FILTER_BITS)).astype(np.int64)])
         at, h = at[on], h[on]
         first = pieces.table[(h >> A.U(64 - TABLE_BITS)).astype(np.int64)]
@@ -160,7 +168,9 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
         total[nodes[a:b]] = value
         inner = ~border[nodes[a:b]]
         ahead[nodes[a:b][inner]] = value[inner]
-    return Lattice(src, size, piece, weight, first, count, ahead, total, border)
+    log_p = ahead[src] + weight - total[end]
+    mark = (src * 64 + size).astype(np.uint64) * NOISE
+    return Lattice(src, size, piece, weight, first, count, ahead, total, border, log_p, mark)
 
 
 class Walk(NamedTuple):
@@ -185,19 +195,28 @@ def walk(
     score: an exact sample. The noise depends on the text's key, the place in the text (`shift` by chunk turns
     nodes into places) and the round only."""
     parts = []
+    seed = A.mix(key + A.U(round_ * 0x9E3779B97F4A7C15 % 2**64))
     while len(node):
         count = net.count[node]
-        of = np.repeat(np.arange(len(node)), count)
-        edge = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(net.first[node], count)
-        log_p = net.ahead[net.src[edge]] + net.weight[edge] - np.repeat(net.total[node], count)
-        place = (net.src[edge] + shift[chunk][of]).astype(np.uint64) * A.U(64) + net.size[edge].astype(np.uint64)
-        seed = A.mix(key[text] + A.U(round_ * 0x9E3779B97F4A7C15 % 2**64))
-        u = (A.mix(seed[of] + place * A.U(0xBF58476D1CE4E5B9)) >> A.U(12)).astype(np.float64)
-        noisy = log_p - np.log(-np.log((u + 0.5) / 2.0**52))
         heads = np.cumsum(count) - count
+        edge = np.arange(count.sum()) + np.repeat(net.first[node] - heads, count)
+        log_p = net.log_p[edge]
+        # the mark of the edge at its place in the text, with the text's key and the round
+        own = seed[text] + (shift[chunk] * 64).astype(np.uint64) * NOISE
+        bits = np.repeat(own, count)
+        bits += net.mark[edge]
+        u = (A.mix(bits) >> A.U(12)).astype(np.float64)
+        u += 0.5
+        u *= 2.0**-52
+        noisy = np.log(u, out=u)
+        np.negative(noisy, out=noisy)
+        np.log(noisy, out=noisy)
+        np.subtract(log_p, noisy, out=noisy)
         best = np.maximum.reduceat(noisy, heads)
-        taken = np.flatnonzero(noisy == best[of])
-        taken = taken[np.append(True, of[taken][1:] != of[taken][:-1])]
+        taken = np.flatnonzero(noisy == np.repeat(best, count))
+        if len(taken) > len(node):  # equal scores: the first stands
+            of = np.searchsorted(heads, taken, "right")
+            taken = taken[np.append(True, of[1:] != of[:-1])]
         parts.append((text, chunk, step, edge[taken], log_p[taken], count, edge, noisy))
         node = net.src[edge[taken]]
         go = ~net.border[node]
@@ -223,16 +242,16 @@ def _ahead_of(walked: Walk, texts: int, start: np.ndarray) -> np.ndarray:
     return sums[:-1] - sums[first[walked.text]] + start[walked.text]
 
 
-def _truncated(walked: Walk, before: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Perturbed scores of all options, given that the greatest of each choice is its text's `top`."""
-    n = np.diff(walked.option)
-    score = walked.noisy + np.repeat(before, n)
-    most = np.repeat(np.maximum.reduceat(score, walked.option[:-1]), n) if len(n) else score
-    peak = np.repeat(top[walked.text], n)
+def _truncated(walked: Walk, before: np.ndarray, top: np.ndarray, which: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Perturbed scores of the options `other`, of the choices `which`, given that the greatest of each choice
+    is its text's `top`."""
+    most = np.maximum.reduceat(walked.noisy, walked.option[:-1]) if len(walked.text) else walked.noisy
+    noisy = walked.noisy[other]
     with np.errstate(divide="ignore", invalid="ignore"):
-        v = peak - score + np.log1p(-np.exp(np.minimum(score - most, 0)))
-        value = peak - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-    return np.where(score >= most, peak, value)
+        v = np.log1p(-np.exp(np.minimum(noisy - most[which], 0)))
+        peak = top[walked.text][which]
+        v += peak - noisy - before[which]
+        return peak - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
 
 
 def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,23 +273,42 @@ def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return begin, inverse, joined, at
 
 
-def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, samples: int, seed: int):
-    """For each text up to `samples` distinct segmentations in order of perturbed score.
+class Words(NamedTuple):
+    """The words of some texts, and the lattice of the different ones."""
+
+    net: Lattice
+    joined: np.ndarray  # bytes of the different words
+    at: np.ndarray  # their offsets
+    begin: np.ndarray  # where each word begins in the texts
+    which: np.ndarray  # the different word that it is
+    ends: np.ndarray  # ends of chunks, as nodes
+    low: np.ndarray  # first and last chunk of each different word
+    high: np.ndarray
+
+
+def words_of(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Words:
+    begin, which, joined, at = _units(buf, offs)
+    net = lattice(pieces, joined, at)
+    ends = np.flatnonzero(net.border)
+    ends = ends[(ends > 0) & (net.count[ends] > 0)]
+    return Words(net, joined, at, begin, which, ends, np.searchsorted(ends, at[:-1], "right"), np.searchsorted(ends, at[1:], "right"))
+
+
+def sample(words: Words, offs: np.ndarray, keys: np.ndarray, samples: int, seed: int):
+    """For each of the texts at `offs` up to `samples` distinct segmentations in order of perturbed score.
 
     A search over sets of segmentations that agree in their first choices: the perturbed score of a set is
     that of its best member, so the next sample is always the best set left. Yields for each sample
     (text, edges by text and place, log probability); and the greatest score left after all of them."""
     texts = len(offs) - 1
     # a word with the spaces before it is a unit that no piece crosses; equal ones share one lattice
-    begin, inverse, joined, at = _units(buf, offs)
-    net = lattice(pieces, joined, at)
-    ends = np.flatnonzero(net.border)
-    ends = ends[(ends > 0) & (net.count[ends] > 0)]
-    low, high = np.searchsorted(ends, at[:-1], "right")[inverse], np.searchsorted(ends, at[1:], "right")[inverse]
-    unit = np.repeat(np.arange(len(inverse)), high - low)
-    ends = ends[np.arange(len(unit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+    net, some = words.net, slice(*np.searchsorted(words.begin, (offs[0], offs[-1])))
+    begin, which = words.begin[some], words.which[some]
+    count = words.high[which] - words.low[which]
+    unit = np.repeat(np.arange(len(which)), count)
+    ends = words.ends[np.arange(len(unit)) + np.repeat(words.low[which] - (np.cumsum(count) - count), count)]
     owner = (np.searchsorted(offs, begin, "right") - 1)[unit]
-    shift = begin[unit] - at[:-1][inverse][unit] - offs[:-1][owner]
+    shift = (begin - words.at[which])[unit] - offs[owner]
     key = A.mix(keys.astype(np.int64).view(np.uint64) + A.U(seed * 0x94D049BB133111EB % 2**64))
     number = np.arange(len(ends))
     done: list[tuple] = []
@@ -290,9 +328,9 @@ def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
         # what the new choices leave open: every option but the one taken
         n = np.diff(now.option)
         which = np.repeat(np.arange(len(n)), n)
-        other = now.options != now.edge[which]
-        value = _truncated(now, before, top)[other]
+        other = np.flatnonzero(now.options != now.edge[which])
         which = which[other]
+        value = _truncated(now, before, top, which, other)
         choices.append((
             now.text[which], value, np.full(len(which), round_ - 1), now.chunk[which], now.step[which],
             now.options[other], before[which],
@@ -345,7 +383,39 @@ def sample(pieces: Pieces, buf: np.ndarray, offs: np.ndarray, keys: np.ndarray,
         order = np.lexsort((st, c))
         path = tuple(x[order] for x in (t, c, st, e, lp))
         log_prob = np.bincount(t, lp, texts)
-    return net, joined, shift, out, top
+    return shift, out, top
+
+
+def _slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most SLICE bytes, one text at least."""
+    lo, n = 0, len(offs) - 1
+    while lo < n:
+        hi = min(max(int(np.searchsorted(offs, offs[lo] + SLICE, "right")) - 1, lo + 1), n)
+        yield lo, hi
+        lo = hi
+
+
+def _rows(pieces: Pieces, words: Words, offs: np.ndarray, keys: np.ndarray, samples: int, seed: int) -> Iterator[pa.RecordBatch]:
+    net, texts = words.net, len(keys)
+    blank = np.diff(offs) == 0
+    shift, found, left = sample(words, offs, keys, samples, seed)
+    for number, ((text, chunk, _, edge, _), log_prob, alive) in enumerate(found):
+        order = np.argsort(net.src[edge] + shift[chunk] + offs[text], kind="stable")
+        ids, sizes = _ids(pieces, net, words.joined, edge[order])
+        per_text = np.bincount(text[order], sizes, texts).astype(np.int64)
+        rows = np.flatnonzero(alive | blank if not number else alive)
+        at = np.concatenate(([0], np.cumsum(per_text[rows])))
+        gap = log_prob[rows] - left[rows]
+        with np.errstate(divide="ignore", over="ignore"):
+            inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys[rows]), pa.array(np.full(len(rows), number, np.int32)),
+                pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                pa.array(log_prob[rows]), pa.array(np.minimum(inclusion, 0.0)),
+            ],
+            names=["id", "sample", "ids", "log_prob", "log_inclusion"],
+        )
 
 
 def _encoder(pieces: Pieces, samples: int, seed: int):
@@ -359,24 +429,9 @@ def _encoder(pieces: Pieces, samples: int, seed: int):
                 buf = np.full(len(raw) + shift[-1], 0x20, np.uint8)
                 buf[np.arange(len(raw)) + np.repeat(shift, np.diff(offs))] = raw
                 offs = offs + np.concatenate(([0], shift))
-                net, joined, shift, found, left = sample(pieces, buf, offs, keys[lo:hi], samples, seed)
-                for number, ((text, chunk, _, edge, _), log_prob, alive) in enumerate(found):
-                    order = np.argsort(net.src[edge] + shift[chunk] + offs[:-1][text], kind="stable")
-                    ids, sizes = _ids(pieces, net, joined, edge[order])
-                    per_text = np.bincount(text[order], sizes, hi - lo).astype(np.int64)
-                    rows = np.flatnonzero(alive | (more == 0) if not number else alive)
-                    at = np.concatenate(([0], np.cumsum(per_text[rows])))
-                    gap = log_prob[rows] - left[rows]
-                    with np.errstate(divide="ignore", over="ignore"):
-                        inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[lo + rows]), pa.array(np.full(len(rows), number, np.int32)),
-                            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
-                            pa.array(log_prob[rows]), pa.array(np.minimum(inclusion, 0.0)),
-                        ],
-                        names=["id", "sample", "ids", "log_prob", "log_inclusion"],
-                    )
+                words = words_of(pieces, buf, offs)
+                for a, b in _slices(offs):
+                    yield from _rows(pieces, words, offs[a : b + 1], keys[lo + a : lo + b], samples, seed)
 
     return run
 
@@ -415,15 +470,25 @@ def _decoder(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = np.frombuffer(b"".join(pieces.texts), np.uint8)
         at = np.concatenate(([0], np.cumsum([len(t) for t in pieces.texts])))
-        for batch in batches:
-            lists = batch.column("__ids").fill_null([])
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            size = at[ids + 1] - at[ids]
-            take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[ids], size)
-            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))]
-            data = joined[take].tobytes()
-            texts = [data[a + (data[a : a + 1] == b" ") : b].decode(errors="replace") for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
+        for whole in batches:
+            ends = np.cumsum(whole.column("__ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < whole.num_rows:
+                before = ends[lo - 1] if lo else 0
+                hi = max(int(np.searchsorted(ends, before + SLICE, "right")), lo + 1)
+                batch = whole.slice(lo, hi - lo)
+                lo = hi
+                lists = batch.column("__ids").fill_null([])
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                size = at[ids + 1] - at[ids]
+                take = np.arange(size.sum()) + np.repeat(at[ids] - (np.cumsum(size) - size), size)
+                rows = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+                cuts = np.concatenate(([0], np.cumsum(size)))[rows]
+                data = joined[take].tobytes()
+                texts = [data[a + (data[a : a + 1] == b" ") : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"]
+                )
 
     return run
 
