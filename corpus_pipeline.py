@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import decontaminate, minhash, pieces, substring, toxicity
-from evalspark.llm.store import landed, one_row_per_id, row_id
+from evalspark.llm.store import keyed, landed, row_id
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id, null included, is not among `ids`."""
-    gone = ids.select(row_id("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", row_id("doc_id")).join(gone, "__id", "left_anti").select(*docs.columns)
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows, without their keys, whose `__key` is not among `keys`."""
+    return rows.join(keys.select(row_id("__key").alias("__key")).distinct(), "__key", "left_anti").drop("__key")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays; of rows that share an id one stays."""
-    docs = one_row_per_id(docs, "doc_id", "text")
-    return _without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    """Of each group of linked rows the one of least id stays; rows that share an id, or have none, are rows each."""
+    rows = keyed(docs, "doc_id", "text")
+    return _without(rows, minhash.near_duplicates(rows, id_col="__key").filter(~F.col("kept")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +39,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
+    """Rows that hold a benchmark item's question and answer go; others of the same id, or without one, stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, landed(decontaminate.matches(docs, items).filter("contaminated").select("doc_id"), "leaks"))
+    rows = keyed(docs, "doc_id", "text")
+    found = decontaminate.matches(rows, items, id_col="__key").filter("contaminated")
+    return _without(rows, landed(found.select("__key"), "leaks"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

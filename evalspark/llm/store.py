@@ -27,22 +27,35 @@ def given_id(name: str) -> Column:
     return F.when(F.col(name) != F.lit(NO_ID), F.col(name))
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """Rows (id, text) with every id once. Rows that share an id become one with the greatest of their texts;
-    only where such rows exist are the texts shuffled for it."""
-    if docs.groupBy("id").count().filter("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("id").agg(F.max("text").alias("text"))
+def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows with a column `__key`, a long of each row's own in the order of ids (null first), then of texts'
+    hashes. Where every id stands once it is the id; only where rows share an id, or have none, are they sorted for it."""
+    if documents.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return documents.withColumn("__key", row_id(id_col))
+    # the row's place in the input deals out copies, which have all else in common
+    placed = documents.withColumn("__at", F.monotonically_increasing_id())
+    order = placed.orderBy(row_id(id_col), F.xxhash64(text_col), "__at").drop("__at")
+    return landed(order.withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
 
-def one_row_per_id(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The same for whole rows: of rows that share an id, one with the greatest text."""
-    if documents.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return documents
-    rows = documents.groupBy(row_id(id_col).alias("__id")).agg(
-        F.max_by(F.struct(*documents.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("__row")
-    )
-    return rows.select("__row.*")
+def one_per_id(docs: DataFrame, per_text: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, text) with every id once, and the names (id, given) of these ids where they are not those given.
+    Rows without an id (NO_ID) are documents of their own. Rows that share an id are one document for each of their
+    texts (`per_text`), or else one with the greatest of them; only where such rows exist are the texts shuffled."""
+    if docs.groupBy("id").count().filter("count > 1").isEmpty():
+        return docs, None
+    named = docs.filter(F.col("id") != F.lit(NO_ID))
+    named = named.distinct() if per_text else named.groupBy("id").agg(F.max("text").alias("text"))
+    rows = keyed(named.union(docs.filter(F.col("id") == F.lit(NO_ID))), "id", "text")
+    # where only copies shared ids, none does now, and the keys are the ids
+    return rows.select(F.col("__key").alias("id"), "text"), rows.select(F.col("__key").alias("id"), F.col("id").alias("given"))
+
+
+def with_given_ids(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """The rows with the ids of `one_per_id` replaced by those given (NO_ID for null)."""
+    if names is None:
+        return rows
+    return rows.join(names, "id").withColumn("id", F.col("given")).select(*rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .anchors import covered, list_column, listed, shared_blocks
-from .store import given_id, landed, one_per_id, one_row_per_id, row_id
+from .store import given_id, keyed, landed, one_per_id, row_id, with_given_ids
 
 WINDOW = 50  # words of a repeat, at least
 SEED = 10  # words of a seed
@@ -257,14 +257,16 @@ def remove_repeats(
     4. Overlapping matches of a document merge to maximal repeats, which are cut out.
 
     Null texts have no words and give an empty kept_text. A null id counts as smaller than all others and
-    comes back as null. Rows that share an id are one document with the greatest of their texts.
+    comes back as null. Rows without an id are documents each, rows that share one are a document for each of
+    their texts, in the order of the texts' hashes.
     """
-    docs = one_per_id(documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs, names = one_per_id(docs, per_text=True)
     spans = find_repeats(docs, window, seed, partners, part_size)
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(window), "id long, n_words long, n_removed long, kept_text string"
     )
-    return cut.select(given_id("id").alias(id_col), "n_words", "n_removed", "kept_text")
+    return with_given_ids(cut, names).select(given_id("id").alias(id_col), "n_words", "n_removed", "kept_text")
 
 
 def cut_documents(
@@ -272,10 +274,10 @@ def cut_documents(
     partners: int = PARTNERS,
 ) -> DataFrame:
     """All rows and columns of `documents`, repeats cut out of the texts as by `remove_repeats`. Texts that lose
-    nothing stay as they are, white space and all; a null text stays null. Rows that share an id become one with
-    the greatest of their texts, and of equal texts any."""
-    documents = one_row_per_id(documents, id_col, text_col)
-    docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = find_repeats(docs, window, seed, partners).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    rows = documents.withColumn("__id", row_id(id_col)).join(spans, "__id", "left").select(*documents.columns, "__spans")
+    nothing stay as they are, white space and all; a null text stays null. Rows that share an id, or have none, are
+    documents each, in the order of their texts' hashes; copies among them count as later documents too."""
+    rows = keyed(documents, id_col, text_col)
+    docs = rows.select(F.col("__key").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spans = find_repeats(docs, window, seed, partners).select(F.col("id").alias("__key"), F.col("spans").alias("__spans"))
+    rows = rows.join(spans, "__key", "left").select(*documents.columns, "__spans")
     return rows.mapInArrow(_replace(window, text_col), documents.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .anchors import covered, list_column, listed, shared_blocks
-from .store import given_id, landed, one_per_id, row_id
+from .store import given_id, landed, one_per_id, row_id, with_given_ids
 
 LENGTH = 200  # bytes of a repeat, at least
 GRAM = 32  # bytes of an anchor
@@ -365,10 +365,11 @@ def remove_repeated_strings(
     4. An anchor with more than `contexts` different blocks does not meet in one shard: its strings are
        compared by a 128-bit hash, in parts, and what a part leaves open in an aggregate over all.
 
-    Null texts are empty. A null id counts as an id of its own and comes back as null. Rows that share an
-    id are one document with the greatest of their texts.
+    Null texts are empty. Rows with a null id are documents each and come back with a null id. Rows that share
+    an id are one document with the greatest of their texts.
     """
-    docs = one_per_id(documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs, names = one_per_id(docs, per_text=False)
     shared = landed(shared_blocks(docs, length, gram, False), "anchors")
     groups = landed(shared.groupBy("key", "full").agg(F.min("id").alias("first"), F.count("*").alias("times")), "groups")
     label = shared.groupBy("key").agg(F.min("id").alias("at"), F.min("start").alias("place"))
@@ -400,4 +401,4 @@ def remove_repeated_strings(
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
-    return cut.select(given_id("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    return with_given_ids(cut, names).select(given_id("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

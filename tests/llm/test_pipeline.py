@@ -57,6 +57,33 @@ def test_stages(spark, tmp_path):
     assert len(ids) == len(out)
 
 
+def test_rows_without_an_id_or_with_a_shared_one_stay(spark, tmp_path):
+    rng = random.Random(22)
+    item, texts = tables.prose(rng, 40), [tables.prose(rng, 120) for _ in range(6)]
+    leak = tables.prose(rng, 80) + " " + item
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, leak), (None, None), (None, None)]
+    rows += [(5, texts[2]), (5, texts[3]), (5, leak + " more"), (6, texts[2]), (7, texts[4]), (7, texts[5][:500] + " x"), (7, "")]
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(full, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in (5, 6, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda found: sorted(found, key=str)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    now = landed(stages["near_duplicates"](spark, now, str(tmp_path)), "test")
+    linked = [(None, texts[1]), (5, leak + " more"), (6, texts[2])]
+    for row in linked:
+        rows.remove(row)
+    assert order((r.doc_id, r.text) for r in now.collect()) == order(rows)
+    now = landed(stages["substring_dedup"](spark, now, str(tmp_path)), "test")
+    assert order((r.doc_id, r.text) for r in now.collect()) == order(rows)
+    rows.remove((None, leak))
+    now = stages["decontamination"](spark, now, str(tmp_path))
+    assert order((r.doc_id, r.text) for r in now.collect()) == order(rows)
+    alone = spark.createDataFrame([(None, leak, "en", "s", 1), (3, texts[0], "en", "s", 1)], COLUMNS)
+    assert [r.doc_id for r in stages["decontamination"](spark, alone, str(tmp_path)).collect()] == [3]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -136,3 +136,18 @@ def test_repeated_rows_of_one_id_count_once(spark):
     strings = {r.doc_id: r.n_removed for r in suffix.remove_repeated_strings(df).collect()}
     best = {1: text, 2: max("short", text + " more")}
     assert strings == {i: v[1] for i, v in brute.byte_repeats(best).items()}
+
+
+def test_rows_without_an_id_are_documents_each(spark):
+    rng = random.Random(5)
+    shared, own = tables.prose(rng, 60), [tables.prose(rng, 90) for _ in range(4)]
+    rows = [(None, own[0] + " " + shared), (None, own[1]), (None, own[2]), (None, own[2]), (3, own[3]), (4, shared)]
+    df = spark.createDataFrame(rows + [(3, own[3])], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.kept_text) for r in substring.remove_repeats(df).collect()), key=str)
+    want = [(None, own[0] + " " + shared), (None, own[1]), (None, own[2]), (None, ""), (3, own[3]), (4, "")]
+    assert found == sorted(want, key=str)
+    best = brute.byte_repeats(dict(enumerate(t for _, t in rows)))
+    strings = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix.remove_repeated_strings(df).collect())
+    assert strings == sorted((str(i), *best[k][:2]) for k, (i, _) in enumerate(rows))
+    other = spark.createDataFrame([(3, own[0]), (3, own[1])], "doc_id long, text string")
+    assert {r.kept_text for r in substring.remove_repeats(other).collect()} == set(own[:2])
