@@ -106,8 +106,8 @@ def _run(same: np.ndarray) -> np.ndarray:
 
 def _grown(window: int):
     """Contexts of one seed, of many: the seed grown to all words of each window, by hash. What an earlier
-    document of this call has too is settled (a run of windows, `grown` null). Of the rest each different
-    window is given once, to be compared with the other calls' of this seed, if there are any."""
+    document of this call has too is settled (a run of windows, `grown` null). The rest, all places of each
+    window's least document, is to be compared with the other calls' of this seed, if there are any."""
 
     def run(part: pa.Table) -> pa.Table:
         key, first, n = (part.column(c).to_numpy() for c in ("key", "first", "n"))
@@ -125,7 +125,7 @@ def _grown(window: int):
         begin = np.flatnonzero((edge[:-1] == 1) | (settled & (shift == 0)))
         end = np.searchsorted(np.flatnonzero(~settled | (shift == 0)), begin, "right")
         stops = np.append(np.flatnonzero(~settled | (shift == 0)), len(settled))
-        rest = np.sort(least) if part.column("parts")[0].as_py() > 1 else least[:0]
+        rest = np.flatnonzero(~settled) if part.column("parts")[0].as_py() > 1 else least[:0]
         take = np.concatenate((begin, rest))
         size = np.concatenate((stops[end] - begin, np.ones(len(rest), np.int64)))
         known = np.arange(len(take)) < len(begin)

@@ -151,3 +151,14 @@ def test_rows_without_an_id_are_documents_each(spark):
     assert strings == sorted((str(i), *best[k][:2]) for k, (i, _) in enumerate(rows))
     other = spark.createDataFrame([(3, own[0]), (3, own[1])], "doc_id long, text string")
     assert {r.kept_text for r in substring.remove_repeats(other).collect()} == set(own[:2])
+
+
+@pytest.mark.parametrize("part_size", [1, 2, 3])
+def test_passage_repeated_in_other_surroundings_across_parts(spark, part_size):
+    rng = random.Random(7)
+    passage = tables.prose(rng, 60)
+    around = lambda: tables.prose(rng, 30) + " " + passage + " " + tables.prose(rng, 30)
+    docs = {i: around() + " " + around() if i % 2 else around() for i in range(12)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = substring.remove_repeats(df, partners=1, part_size=part_size).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == brute.substring(docs)
