@@ -20,11 +20,11 @@ BLOCK = 16  # entries of the index in a block
 K1, B = 1.2, 0.75
 GRAM = 3  # words of a gram in the check of question and answer
 QUESTION, ANSWER = 0.7, 0.5  # shares of their grams that the document must hold
-LEAST_WORDS = 8  # items of fewer words say too little to be recognised and never match
+LEAST_WORDS = 8  # items of fewer words say too little for shares of grams: all their words must stand in a row
 SHARD_WORDS = 1 << 20  # words of test items in one index shard, about; bounds what travels to the executors
 
 ENTRY = "item long, entry int, length int, term long, tf int, words array<long>, answer_at int"
-MATCH = "id long, item long, passage long, score double, question_overlap double, answer_overlap double"
+MATCH = "id long, item long, passage long, score double, question_overlap double, answer_overlap double, contaminated boolean"
 
 
 class Index(NamedTuple):
@@ -44,7 +44,7 @@ class Index(NamedTuple):
     words: dict  # item -> (hashes of its words, first word of the answer)
 
 
-def _entries(piece: int, least: int):
+def _entries(piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = A.ids(batch.column("id")), []
@@ -53,7 +53,7 @@ def _entries(piece: int, least: int):
                 hashes, start, _, at = A.words(A.LOWER[buf], offs, A.PUNCTUATION)
                 for i in range(hi - lo):
                     own = hashes[at[i] : at[i + 1]]
-                    if len(own) < least:
+                    if not len(own):
                         continue
                     cut = answers[lo + i]
                     first = len(own) - max(1, len(own) // 4)
@@ -175,6 +175,21 @@ def _grams_of(words: np.ndarray, k: int) -> np.ndarray:
     return _grams(words, k) if len(words) >= k else A.EMPTY
 
 
+def _holds(near: np.ndarray, words: np.ndarray) -> bool:
+    """Whether all the words stand in `near`, one after the other."""
+    if len(near) < len(words):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(near, len(words)) == words).all(axis=1).any())
+
+
+def _found(words: np.ndarray, answer: int, near: np.ndarray) -> tuple[float, float, bool]:
+    """Overlaps of question and answer with the words near a passage, and the verdict."""
+    question, reply = _overlap(words[:answer], near), _overlap(words[answer:], near)
+    if len(words) >= LEAST_WORDS:
+        return question, reply, question >= QUESTION and reply >= ANSWER
+    return (1.0, 1.0, True) if _holds(near, words) else (question, reply, False)
+
+
 def _matcher(index: Index, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 20, bool)
@@ -201,15 +216,13 @@ def _matcher(index: Index, threshold: float):
                     words, answer = index.words[item]
                     begin, end = passages[passage[k]]
                     near = hashes[max(at[row], begin - len(words)) : min(at[row + 1], end + len(words))]
-                    found = (
-                        int(begin - at[row]), float(score[k]), _overlap(words[:answer], near), _overlap(words[answer:], near)
-                    )
+                    found = (int(begin - at[row]), float(score[k]), *_found(words, answer, near))
                     old = best.get((row, item))
-                    if old is None or min(found[2:]) > min(old[2:]):
+                    if old is None or (found[4], min(found[2:4])) > (old[4], min(old[2:4])):
                         best[row, item] = found
                 if best:
                     rows = [(ids[lo + r], i, *found) for (r, i), found in sorted(best.items())]
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                     names = [c.split()[0] for c in MATCH.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -227,15 +240,15 @@ def matches(
     Words are lower-cased (A-Z) and split at white space and ASCII punctuation. `answer_from` names a column
     of byte offsets where an item's answer begins; without it the last quarter of the words is the answer.
     The index is built in shards of about SHARD_WORDS words of items, and every passage queries each shard;
-    counts of documents and terms are those of all items. Null and empty texts match nothing; items of fewer
-    than LEAST_WORDS words neither. Null ids count as one id below the others and come back as null; rows
+    counts of documents and terms are those of all items. Texts without words match nothing. Items of fewer than
+    LEAST_WORDS words contaminate a document that holds all their words in a row (both overlaps are 1 then). Null ids count as one id below the others and come back as null; rows
     that share a document id or item id are searched each, and give rows each or are joined as one item.
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = F.col(answer_from).cast("int") if answer_from else F.lit(None).cast("int")
     asked = items.select(row_id(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"), cut.alias("answer_from"))
     asked = asked.groupBy("id").agg(F.max_by(F.struct("text", "answer_from"), "text").alias("x")).select("id", "x.*")
-    entries = asked.mapInArrow(_entries(PIECE, LEAST_WORDS), ENTRY)
+    entries = asked.mapInArrow(_entries(PIECE), ENTRY)
     pieces = entries.groupBy("item", "entry").agg(F.max("length").alias("length"))
     size = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("words")).first()
     frequency = entries.groupBy("term").agg(F.count("*").alias("df"))
@@ -249,8 +262,7 @@ def matches(
             found = own if found is None else found.union(own)
     if found is None:
         found = documents.sparkSession.createDataFrame([], MATCH)
-    bad = (F.col("question_overlap") >= QUESTION) & (F.col("answer_overlap") >= ANSWER)
     return found.select(
         given_id("id").alias(id_col), given_id("item").alias(item_col), "passage", "score", "question_overlap",
-        "answer_overlap", bad.alias("contaminated"),
+        "answer_overlap", "contaminated",
     )

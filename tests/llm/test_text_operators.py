@@ -196,6 +196,19 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.matches(tables.frame(spark, docs), bench.limit(0)).collect() == []
 
 
+def test_short_items_match_their_words_in_a_row(spark):
+    rng = random.Random(14)
+    items = {1: "Largest ocean? Pacific", 2: "zebra", 3: "one two three four five six seven", 4: tables.prose(rng, 30), 5: " . "}
+    docs = {
+        1: tables.prose(rng, 200) + " LARGEST ocean: Pacific. " + tables.prose(rng, 9), 2: "largest Pacific ocean",
+        3: tables.prose(rng, 90) + " Zebra", 4: "seven six five four three two one", 5: "x one two three four five six seven",
+        6: "one two three four five six", 7: "ocean pacific", 8: "pacific largest ocean",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = decontaminate.matches(tables.frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows if r.contaminated} == {(1, 1), (3, 2), (5, 3)}
+
+
 def test_retrieval_is_exact(spark):
     """Pruning never loses an entry: scores of all passages and entries by a plain loop."""
     import numpy as np
