@@ -23,7 +23,7 @@ QUESTION, ANSWER = 0.7, 0.5  # shares of their grams that the document must hold
 LEAST_WORDS = 8  # items of fewer words say too little for shares of grams: all their words must stand in a row
 SHARD_WORDS = 1 << 20  # words of test items in one index shard, about; bounds what travels to the executors
 
-ENTRY = "item long, entry int, length int, term long, tf int, words array<long>, answer_at int"
+ENTRY = "item long, entry int, length int, term long, tf int, words array<long>, answer_at int, name long"
 MATCH = "id long, item long, passage long, score double, question_overlap double, answer_overlap double, contaminated boolean"
 
 
@@ -48,7 +48,7 @@ def _entries(piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = A.ids(batch.column("id")), []
-            answers = batch.column("answer_from").to_pylist()
+            answers, names = batch.column("answer_from").to_pylist(), batch.column("name").to_pylist()
             for lo, hi, buf, offs in A.byte_groups(batch.column("text")):
                 hashes, start, _, at = A.words(A.LOWER[buf], offs, A.PUNCTUATION)
                 for i in range(hi - lo):
@@ -64,11 +64,11 @@ def _entries(piece: int):
                     for e, part in enumerate(parts):
                         for k, (term, tf) in enumerate(zip(*np.unique(part, return_counts=True))):
                             words = own.view(np.int64).tolist() if not e and not k else None
-                            rows.append((ids[lo + i], e, len(part), term.view(np.int64), tf, words, first))
+                            rows.append((ids[lo + i], e, len(part), term.view(np.int64), tf, words, first, names[lo + i]))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32())
-                names = [c.split()[0] for c in ENTRY.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64())
+                fields = [c.split()[0] for c in ENTRY.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=fields)
 
     return run
 
@@ -190,7 +190,9 @@ def _found(words: np.ndarray, answer: int, near: np.ndarray) -> tuple[float, flo
     return (1.0, 1.0, True) if _holds(near, words) else (question, reply, False)
 
 
-def _matcher(index: Index, threshold: float):
+def _matcher(index: Index, names: dict[int, int], threshold: float):
+    """`names` are the given ids of the index's items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << 20, bool)
         seen[(index.terms & A.U(len(seen) - 1)).astype(np.int64)] = True
@@ -221,10 +223,10 @@ def _matcher(index: Index, threshold: float):
                     if old is None or (found[4], min(found[2:4])) > (old[4], min(old[2:4])):
                         best[row, item] = found
                 if best:
-                    rows = [(ids[lo + r], i, *found) for (r, i), found in sorted(best.items())]
+                    rows = [(ids[lo + r], names[i], *found) for (r, i), found in sorted(best.items())]
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                    names = [c.split()[0] for c in MATCH.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    fields = [c.split()[0] for c in MATCH.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=fields)
 
     return run
 
@@ -242,12 +244,14 @@ def matches(
     The index is built in shards of about SHARD_WORDS words of items, and every passage queries each shard;
     counts of documents and terms are those of all items. Texts without words match nothing. Items of fewer than
     LEAST_WORDS words contaminate a document that holds all their words in a row (both overlaps are 1 then). Null ids count as one id below the others and come back as null; rows
-    that share a document id or item id are searched each, and give rows each or are joined as one item.
+    that share a document id are searched each, and so are the texts that share an item id; they give rows each.
+    Of several passages the one reported is contaminated if any is, then that of the greatest lesser overlap.
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = F.col(answer_from).cast("int") if answer_from else F.lit(None).cast("int")
     asked = items.select(row_id(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"), cut.alias("answer_from"))
-    asked = asked.groupBy("id").agg(F.max_by(F.struct("text", "answer_from"), "text").alias("x")).select("id", "x.*")
+    # one item for each id and text; the answer's place tells apart what else is equal
+    asked = asked.distinct().select(F.xxhash64("id", "text", "answer_from").alias("id"), F.col("id").alias("name"), "text", "answer_from")
     entries = asked.mapInArrow(_entries(PIECE), ENTRY)
     pieces = entries.groupBy("item", "entry").agg(F.max("length").alias("length"))
     size = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("words")).first()
@@ -258,7 +262,8 @@ def matches(
         part = entries.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).join(frequency, "term").toArrow()
         if part.num_rows:
             index = build(part.combine_chunks(), size["n"], size["words"] / size["n"])
-            own = docs.mapInArrow(_matcher(index, threshold), MATCH)
+            names = dict(zip(part.column("item").to_pylist(), part.column("name").to_pylist()))
+            own = docs.mapInArrow(_matcher(index, names, threshold), MATCH)
             found = own if found is None else found.union(own)
     if found is None:
         found = documents.sparkSession.createDataFrame([], MATCH)

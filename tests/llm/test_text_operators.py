@@ -209,6 +209,31 @@ def test_short_items_match_their_words_in_a_row(spark):
     assert {(r.doc_id, r.item_id) for r in rows if r.contaminated} == {(1, 1), (3, 2), (5, 3)}
 
 
+def test_items_that_share_an_id_are_searched_each(spark, monkeypatch):
+    rng = random.Random(15)
+    texts = [tables.prose(rng, 30) for _ in range(6)]
+    items = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4])]
+    docs = {i: tables.prose(rng, 150) + " " + t for i, t in enumerate(texts)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for shard_words in (1 << 20, 60):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+        rows = decontaminate.matches(tables.frame(spark, docs), bench).collect()
+        found = sorted(((r.doc_id, r.item_id) for r in rows if r.contaminated), key=str)
+        assert found == [(0, 1), (1, 1), (2, None), (3, None), (4, 2)]
+
+
+def test_verdict_decides_between_passages(spark):
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(40)]  # 30 of the question, 10 of the answer
+    clean = words[:20] + ["x"] + words[32:]  # 18 of 28 and 6 of 8 grams: the greater lesser overlap, yet no match
+    bad = words[:25] + ["x"] + words[34:]  # 23 of 28 and 4 of 8
+    filler = tables.prose(rng, 400).split()
+    docs = {1: clean + filler + bad, 2: bad + filler + clean, 3: clean + filler, 4: filler + bad}
+    frame = tables.frame(spark, {i: " ".join(w) for i, w in docs.items()})
+    rows = decontaminate.matches(frame, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.contaminated for r in rows} == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_retrieval_is_exact(spark):
     """Pruning never loses an entry: scores of all passages and entries by a plain loop."""
     import numpy as np
