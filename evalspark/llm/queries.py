@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, licenses, minhash, pieces, search, substring, suffix, toxicity, warc
+from . import (
+    bpe, decontaminate, divergence, html_text, licenses, minhash, periods, pieces, search, substring, suffix, toxicity,
+    warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,61 @@ SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
   sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id)"""
 
+
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT i, lang, source, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+  lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+sl AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2)::HUGEINT // (coalesce(s.total, 0) + 2 * v.v)::HUGEINT AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+q AS (SELECT cl.lang, cl.term, 1 + 1000000000::HUGEINT * (cl.n + 2)::HUGEINT // (sl.total + 2 * v.v)::HUGEINT AS q
+  FROM cl JOIN sl USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10"""
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.load()
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(periods.plant(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periods.strongest("runs"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_licenses": (op1_licenses, None),
     "op2_suffix": (op2_suffix, None),
@@ -94,4 +152,7 @@ QUERIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_substring": (op9_substring, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op11_divergence": (op11_divergence, OP11_SQL),
+    "op12_bpe": (op12_bpe, None),
+    "op13_periods": (op13_periods, None),
 }
