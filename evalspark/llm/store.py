@@ -17,6 +17,14 @@ def landed(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_id(name: str) -> Column:
     """The id as the operators use it: null becomes a value below all ids."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))

@@ -10,6 +10,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.fs
 import pytest
 
@@ -130,6 +131,84 @@ def test_factorization_machine_learns_pairs(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def test_pairs_need_factors(spark):
+    """The same rows without factors: no better than chance. So it is the pair term that tells them apart."""
+    rng = random.Random(19)
+    rows = []
+    for i in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = tables.prose(rng, 12).split() + ["insult" if a else "praise", "northerners" if b else "southerners"]
+        rows.append((i, " ".join(w), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held = df.filter(toxicity.held_out())
+    right = {}
+    for factors in (0, 8):
+        model = toxicity.fit(df.drop("toxic"), df.filter(~toxicity.held_out()).select("doc_id", "toxic"), factors=factors)
+        scored = toxicity.score(held, model).collect()
+        right[factors] = sum((r.score >= 0.5) == bool(r.toxic) for r in scored) / len(scored)
+    assert right[8] >= 0.95 and right[0] <= 0.6
+
+
+@pytest.mark.parametrize("sf,share", [("sf0.01", 0.5), ("sf0.1", 0.9)])
+def test_held_out_labels(spark, sf, share):
+    read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    out = toxicity.toxic_scores(read("documents"), read("labels")).join(read("labels"), "doc_id").filter("held_out").collect()
+    toxic = [r.predicted for r in out if r.toxic]
+    clean = [r.predicted for r in out if not r.toxic]
+    assert sum(toxic) >= share * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_scores_by_hand(spark):
+    """A small model against the definition of a factorization machine over words, their beginnings and levels."""
+    words = ["alpha", "beta", "gamma", "beginning", "beg"]
+    rng = np.random.default_rng(5)
+    slots = 1 << 12
+    model = toxicity.Model(-0.3, rng.random(slots) < 0.7, rng.normal(0, 1, slots).astype(np.float32), np.full(slots, -1, np.int32), rng.normal(0, 0.5, (900, 3)))
+    place = np.sort(rng.choice(np.flatnonzero(model.known), 900, replace=False))
+    model.place[place] = np.arange(900)
+    rand = random.Random(5)
+    texts = [" ".join(rand.choice(words) for _ in range(rand.randint(0, 9))) for _ in range(40)] + [None]
+
+    def slot(word, prefix, level):
+        buf = np.frombuffer(word.encode(), np.uint8)
+        if prefix:
+            h = toxicity.A.mix(toxicity.A.WORDS.of(toxicity.A.WORDS.prefix(buf), np.array([0]), np.array([prefix])) + toxicity.A.U(prefix))
+        else:
+            h = toxicity.A.words(buf, np.array([0, len(buf)]))[0]
+        return int(toxicity._slot(h, slots, level)[0])
+
+    def expected(text):
+        times = {}
+        for w in (text or "").split():
+            for prefix in (0, *(k for k in toxicity.STEMS if len(w) > k)):
+                key = (w[:prefix] if prefix else w, prefix, w if not prefix else "")
+                times.setdefault(key, [w, prefix, 0])[2] += 1
+        found = set()
+        for w, prefix, n in times.values():
+            if model.known[slot(w, prefix, 0)]:
+                found |= {slot(w, prefix, k) for k in range(min(n, toxicity.LEVELS))}
+        found = sorted(s for s in found if model.known[s])
+        z = model.bias + sum(float(model.linear[s]) for s in found)
+        rows = [model.factors[model.place[s]] for s in found if model.place[s] >= 0]
+        z += sum(float(rows[i] @ rows[j]) for i in range(len(rows)) for j in range(i))
+        return 1 / (1 + math.exp(-z))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert got == {i: pytest.approx(expected(t), rel=1e-5) for i, t in enumerate(texts)}
+
+
+def test_shared_ids_are_trained_on_once(spark):
+    """A labelled id that very many rows share brings one row to the training."""
+    rows = [(1, "insult and more", 1)] * 500 + [(i, "kind words here" if i % 2 else "insult again", i % 2 == 0) for i in range(2, 60)]
+    df = spark.createDataFrame([(i, t, int(y)) for i, t, y in rows], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), epochs=30)
+    scored = toxicity.score(df.select("doc_id", "text"), model, score_col="doc_id")
+    assert scored.columns == ["text", "doc_id"]
+    by_text = {r.text: r.doc_id for r in scored.collect()}
+    assert by_text["insult again"] > 0.5 > by_text["kind words here"]
+
+
 def test_scores_of_awkward_tables(spark):
     docs = tables.documents()
     labels = spark.createDataFrame([(10, 1), (40, 0), (None, 1), (41, None), (10, 1)], "doc_id long, toxic int")
