@@ -1,5 +1,10 @@
 """Nothing is dropped or passed in silence: spellings of paths, broken catalogs, unknown models and tasks."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.paths import normalize_path
 from evalspark.operators import audits, catalog, design, grading, release, runs
+from evalspark.plans.registry import QUERIES
 from evalspark.session import shared_dir
 
 from .test_grading import truth
@@ -83,3 +89,16 @@ def test_shared_folder_is_required_on_a_cluster():
             shared_dir(session(master), "x")
         assert shared_dir(session(master, "hdfs:///shared/"), "x").startswith("hdfs:///shared/evalspark/x-")
     assert shared_dir(session("local[4]"), "x")
+
+
+@pytest.mark.parametrize("gone", [("evalspark/llm", "tests/llm"), ("evalspark/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_the_training_data_folders(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    copy = tmp_path / "copy"
+    skip = {str(root / g) for g in gone}
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if f"{d}/{n}" in skip or n.startswith((".git", "__pycache__"))])
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    count, some = done.stdout.split()
+    assert int(count) == len(QUERIES) and some == "False"
