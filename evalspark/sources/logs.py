@@ -16,9 +16,10 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.withColumns({"release": F.try_element_at(parts, F.lit(-3)), "run_id": F.try_element_at(parts, F.lit(-2))})
 
 
-def read_attempts(spark: SparkSession, runs_root: str) -> DataFrame:
-    """All attempts below ``<runs_root>/<release>/<run-id>/``; the schema is fixed, nothing is inferred."""
-    return _placed(spark.read.schema(ATTEMPT_JSON).json(f"{runs_root.rstrip('/')}/*/*/{LOG_GLOB}"))
+def read_attempts(spark: SparkSession, runs_root: str, name: str = LOG_GLOB) -> DataFrame:
+    """All attempts below ``<runs_root>/<release>/<run-id>/`` in files of the name (a glob); the schema is fixed, nothing
+    is inferred."""
+    return _placed(spark.read.schema(ATTEMPT_JSON).json(f"{runs_root.rstrip('/')}/*/*/{name}"))
 
 
 def stream_attempts(spark: SparkSession, runs_root: str, max_files: int | None = None) -> DataFrame:
