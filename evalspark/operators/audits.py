@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_unicode
@@ -59,15 +59,10 @@ def shortcut_audit(df: DataFrame, a: str, b: str, limit: float = 0.5) -> DataFra
     of its rows. Works on the joint counts only.
     """
     joint = contingency(df, a, b)
-    per_value = joint.groupBy(a).agg(
-        F.sum("n").alias("n"), F.max("n").alias("top_n"), F.count(b).alias("n_levels"), F.collect_set(b).alias("levels")
-    )
-    # one row per value of the axis, each with its few levels: the table itself is read once
-    every = F.array_distinct(F.flatten(F.collect_list("levels").over(Window.partitionBy(F.lit(0)))))
+    per_value = joint.groupBy(a).agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.count(b).alias("n_levels"))
+    every = joint.agg(F.count_distinct(b)).scalar()
     share = F.col("top_n") / F.col("n")
-    return per_value.withColumn("all_levels", F.size(every)).withColumn("share", share).withColumn(
-        "ok", (F.col("n_levels") == F.col("all_levels")) & (share <= limit)
-    ).drop("levels", "all_levels")
+    return per_value.withColumn("share", share).withColumn("ok", (F.col("n_levels") == every) & (share <= limit))
 
 
 def association(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -90,6 +85,33 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
     return total.select("a_levels", "b_levels", v.alias("v"))
 
 
+def conditional_association(df: DataFrame, a: str, b: str, given: str) -> DataFrame:
+    """Association of two axes within the levels of a third, one row: (n_strata, n, statistic, df, v).
+
+    The generalized Cochran-Mantel-Haenszel test needs a covariance matrix per stratum. This is its simpler relative for
+    nominal axes: the sum over strata of Pearson's statistic, on the sum of their degrees of freedom, so it is about `df`
+    where the axes are independent within every stratum, however much both depend on the third. `v` is Cramer's V of the
+    pooled strata: the root of the sum of the strata's statistics over the sum of their greatest possible values; null
+    where no stratum has two levels of both. Rows with a null in any axis are left out.
+
+    One scan: everything follows from the joint counts of the three axes, which are as many as their levels allow.
+    """
+    known = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(given).isNotNull()
+    joint = df.filter(known).groupBy(F.col(given).alias("s"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    rows = joint.groupBy("s", "a").agg(F.sum("n").alias("r"))
+    cols = joint.groupBy("s", "b").agg(F.sum("n").alias("c"))
+    n, r, c = (F.col(x).cast("double") for x in ("n", "r", "c"))
+    strata = joint.join(rows, ["s", "a"]).join(cols, ["s", "b"]).groupBy("s").agg(
+        F.sum("n").alias("total"), F.sum(n * n / (r * c)).alias("q"), F.count_distinct("a").alias("x"), F.count_distinct("b").alias("y"))
+    statistic = F.greatest(F.col("total") * (F.col("q") - 1), F.lit(0.0))
+    most = F.col("total") * (F.least("x", "y") - 1)
+    out = strata.agg(
+        F.count("*").alias("n_strata"), F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum(statistic), F.lit(0.0)).alias("statistic"),
+        F.coalesce(F.sum((F.col("x") - 1) * (F.col("y") - 1)), F.lit(0)).alias("df"), F.sum(most).alias("most"))
+    v = F.when(F.col("most") > 0, F.sqrt(F.col("statistic") / F.col("most")))
+    return out.withColumn("v", v).drop("most")
+
+
 # --- keys, duplicates, totals ---------------------------------------------------------------
 
 def duplicate_groups(df: DataFrame, hash_col: str, key: str) -> DataFrame:

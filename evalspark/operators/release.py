@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import normalize_path, parent_dir, prefixes, strict_prefixes, valid_release_path
 
 # Digest tree: hash prefixes of these lengths name its levels, leaf buckets first.
-_LEVELS = (6, 3, 0)
+LEVELS = (6, 3, 0)
 
 
 def _row_text(cols: Sequence[str]) -> Column:
@@ -23,6 +23,10 @@ def _row_text(cols: Sequence[str]) -> Column:
     return F.concat(*parts)
 
 
+def row_hash(cols: Sequence[str]) -> Column:
+    return F.sha2(_row_text(cols), 256)
+
+
 def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One SHA-256 over the rows as a multiset: order, partitioning and file layout do not matter.
 
@@ -30,10 +34,10 @@ def fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     named by hash prefixes. SHA-256 spreads distinct rows evenly, so a leaf bucket holds about
     n / 16**6 entries and an inner node at most 4,096 children: nothing unbounded is collected.
     """
-    node = df.select(F.sha2(_row_text(cols), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    node = df.select(row_hash(cols).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     total = F.sum("n").alias("n_rows")
     node = node.select(F.col("h").alias("id"), F.concat_ws("x", "h", F.col("n").cast("string")).alias("d"), "n")
-    for width in _LEVELS:
+    for width in LEVELS:
         bucket = F.substring("id", 1, width) if width else F.lit("")
         digest = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256)
         node = node.groupBy(bucket.alias("id")).agg(digest.alias("d"), total.alias("n"))

@@ -187,6 +187,19 @@ def _association(a: str, b: str):
     return run, query
 
 
+def _conditional(a: str, b: str, given: str):
+    def run(spark, d):
+        return audits.conditional_association(line_axes(spark, d), a, b, given).select(
+            "n_strata", "n", F.round("statistic", 3).alias("statistic"), "df", F.round("v", 6).alias("v"))
+
+    return run, f"""
+        SELECT count(*) AS n_strata, CAST(sum(t) AS BIGINT) AS n, round(sum(t * (q - 1)), 3) AS statistic,
+          CAST(sum((x - 1) * (y - 1)) AS BIGINT) AS df, round(sqrt(sum(t * (q - 1)) / nullif(sum(t * (least(x, y) - 1)), 0)), 6) AS v
+        FROM (SELECT g, sum(n) AS t, sum(n::DOUBLE * n / (r * c)) AS q, count(DISTINCT a) AS x, count(DISTINCT b) AS y FROM (
+          SELECT *, sum(n) OVER (PARTITION BY g, a) AS r, sum(n) OVER (PARTITION BY g, b) AS c FROM (
+            SELECT {given} AS g, {a} AS a, {b} AS b, count(*) AS n FROM {_LINE_AXES} WHERE {given} IS NOT NULL AND {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)) GROUP BY g)"""
+
+
 QUERIES = {
     "factor_grid": (data_factor_grid, _DATA_GRID),
     "recipe_usage": (recipe_usage, sql(_RECIPE_USAGE, "order_truth")),
@@ -210,6 +223,8 @@ QUERIES = {
     "shortcut_audit_planted": _shortcut("lane", "planted"),
     "shortcut_audit_flag_status": _shortcut("flag", "status"),
     "association_planted": _association("lane", "planted"),
+    "association_within_flag": _conditional("lane", "planted", "flag"),
+    "association_within_lane": _conditional("flag", "planted", "lane"),
     "association_flag_lane": _association("flag", "lane"),
     "supported_faces": (
         lambda s, d: design.supported_faces(carrier(s, d, "samples"), ["font", "weight", "modifier"]),
