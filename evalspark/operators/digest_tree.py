@@ -80,7 +80,7 @@ def nodes(spark: SparkSession, path: str, version: int, level: int, under: DataF
     if under is not None:
         above = LEVELS[LEVELS.index(level) + 1]
         parents = under.select(F.col("id").alias("parent")).distinct()
-        rows = rows.withColumn("parent", F.substring("id", 1, above) if above else F.lit("")).join(parents, "parent", "left_semi")
+        rows = rows.withColumn("parent", F.substring("id", 1, above)).join(parents, "parent", "left_semi")
     return _latest(rows, ["id"], ["d", "n"])
 
 
@@ -114,7 +114,7 @@ def update(
         fresh.unionByName(gone).write.mode("overwrite").parquet(f"{path}/nodes/version={new}/l={width}")
         if width:
             above = LEVELS[k + 1]
-            changed = changed.select((F.substring("id", 1, above) if above else F.lit("")).alias("id")).distinct()
+            changed = changed.select(F.substring("id", 1, above).alias("id")).distinct()
             children = nodes(spark, path, new, width, changed)
     return new
 
