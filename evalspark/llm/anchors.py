@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import landed
 
 BLOCK_ROW = "id long, key long, full long, start int, n int, left int"
 
@@ -41,11 +42,12 @@ def _blocks(window: int, gram: int, by_word: bool):
 
 
 def shared_blocks(docs: DataFrame, window: int, gram: int, by_word: bool) -> DataFrame:
-    """The blocks whose anchor occurs at least twice; a window with an equal lies in one of them. Counting
-    combines before the shuffle; the join back may be split on an anchor that is very common."""
-    rows = docs.mapInArrow(_blocks(window, gram, by_word), BLOCK_ROW)
+    """The blocks whose anchor occurs at least twice; a window with an equal lies in one of them. Texts are cut once, and
+    counting combines before the shuffle. The join back reads two written tables, so only shuffles and sorts stand
+    below it, and adaptive execution may split an anchor that is very common."""
+    rows = landed(docs.mapInArrow(_blocks(window, gram, by_word), BLOCK_ROW), "cut")
     often = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    return rows.join(often, "key", "left_semi")
+    return rows.join(landed(often, "often"), "key", "left_semi")
 
 
 def listed(rows: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -190,7 +190,8 @@ def near_duplicates(
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = landed(docs.mapInArrow(_signer(shingle, permutations, rows), SIGNED), "signatures")
-    classes = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    # written, so that the join with it at the end can be split on a class of very many copies
+    classes = landed(signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     members = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(

@@ -46,14 +46,13 @@ def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return landed(order.withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
 
-def one_per_id(docs: DataFrame, per_text: bool) -> tuple[DataFrame, DataFrame | None]:
+def one_per_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows (id, text) with every id once, and the names (id, given) of these ids where they are not those given.
     Rows without an id (NO_ID) are documents of their own. Rows that share an id are one document for each of their
-    texts (`per_text`), or else one with the greatest of them; only where such rows exist are the texts shuffled."""
+    texts; only where such rows exist are the texts shuffled."""
     if docs.groupBy("id").count().filter("count > 1").isEmpty():
         return docs, None
-    named = docs.filter(F.col("id") != F.lit(NO_ID))
-    named = named.distinct() if per_text else named.groupBy("id").agg(F.max("text").alias("text"))
+    named = docs.filter(F.col("id") != F.lit(NO_ID)).distinct()
     rows = keyed(named.union(docs.filter(F.col("id") == F.lit(NO_ID))), "id", "text")
     # where only copies shared ids, none does now, and the keys are the ids
     return rows.select(F.col("__key").alias("id"), "text"), rows.select(F.col("__key").alias("id"), F.col("id").alias("given"))

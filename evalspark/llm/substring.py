@@ -261,7 +261,7 @@ def remove_repeats(
     their texts, in the order of the texts' hashes.
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs, names = one_per_id(docs, per_text=True)
+    docs, names = one_per_id(docs)
     spans = find_repeats(docs, window, seed, partners, part_size)
     cut = docs.join(spans, "id", "left").mapInArrow(
         _cut(window), "id long, n_words long, n_removed long, kept_text string"

@@ -366,10 +366,10 @@ def remove_repeated_strings(
        compared by a 128-bit hash, in parts, and what a part leaves open in an aggregate over all.
 
     Null texts are empty. Rows with a null id are documents each and come back with a null id. Rows that share
-    an id are one document with the greatest of their texts.
+    an id are a document for each of their texts; copies of a row are one.
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs, names = one_per_id(docs, per_text=False)
+    docs, names = one_per_id(docs)
     shared = landed(shared_blocks(docs, length, gram, False), "anchors")
     groups = landed(shared.groupBy("key", "full").agg(F.min("id").alias("first"), F.count("*").alias("times")), "groups")
     label = shared.groupBy("key").agg(F.min("id").alias("at"), F.min("start").alias("place"))
