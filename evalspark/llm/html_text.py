@@ -18,14 +18,15 @@ from .store import given_id, row_id
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style title template noscript noframes noembed iframe object audio video canvas svg math datalist"
-    " select meta link base".split()
+    "head script style title template noscript noframes noembed iframe object audio video canvas datalist meta link base"
+    " desc metadata defs symbol annotation annotation-xml".split()  # the second line: of drawings and formulas
 )
+UNREAD = frozenset("hidden password checkbox radio file color range image".split())  # inputs whose value is no text
 GAP = {t: 2 for t in "p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split()} | {
     t: 1
     for t in (
         "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup"
-        " html legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr"
+        " html legend li main menu nav optgroup option search section summary tbody td text tfoot th thead tr"
     ).split()
 }
 ENDS_P = frozenset(
@@ -59,11 +60,12 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)", re.I)
+PRINT = re.compile(r"@media[^{}]*\bprint\b[^{}]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", re.I)
 SIMPLE = re.compile(r"^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*$")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-INDENT_LEVELS = 12  # deeper lists and quotes stay at this indent
-PAD = 40  # columns with longer cells are not padded
+INDENT_LEVELS = 12  # deeper lists and quotes keep their marks, but stay at this indent
+PAD = 120  # a longer line of a cell stands over its column's edge, and does not widen it
 
 
 class Flow:
@@ -73,6 +75,7 @@ class Flow:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = 0
+        self.marks: list[str] = []  # of deep items whose text is still to come
 
     def text(self, words: str, keep: bool = False) -> None:
         if keep:
@@ -94,7 +97,11 @@ class Flow:
             if self.gap > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-        self.parts.append(words)
+        self.parts += [*self._marked(), words]
+
+    def _marked(self) -> list[str]:
+        marks, self.marks = self.marks, []
+        return marks
 
     def line(self) -> None:
         self.lines.append("".join(self.parts).rstrip(" "))
@@ -112,7 +119,7 @@ class Flow:
             if self.gap > 1 and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = 0
-            self.lines += lines
+            self.lines += ["".join(self._marked()) + lines[0], *lines[1:]]
             self.gap = gap
 
     def done(self) -> list[str]:
@@ -133,17 +140,26 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def hidden_selectors(sheet: str) -> set[str]:
-    """Simple selectors (tag, .class, #id and their compounds) that a style sheet hides."""
-    found = set()
-    for names, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-        if UNSEEN.search(body):
-            found |= {n.strip() for n in names.split(",") if SIMPLE.match(n.strip()) and n.strip()}
+def _declared(style: str) -> dict[str, str]:
+    """The last value of `display` and of `visibility`."""
+    return {name.lower(): value.lower() for name, value in DECLARED.findall(style)}
+
+
+def sheet_rules(sheet: str) -> list[tuple]:
+    """(specificity, parts of the selector, declared) of the rules with a simple selector (tag, .class, #id and their
+    compounds) that say whether something is seen; rules for print alone do not count."""
+    found = []
+    for names, body in RULE.findall(PRINT.sub("", re.sub(r"/\*.*?\*/", "", sheet, flags=re.S))):
+        if declared := _declared(body):
+            for name in map(str.strip, names.split(",")):
+                if name and SIMPLE.match(name):
+                    parts = re.findall(r"[.#]?[^.#]+", name)
+                    weight = tuple(sum(p[0] == c for p in parts) for c in "#.") + (sum(p[0] not in "#.*" for p in parts),)
+                    found.append((weight, parts, declared))
     return found
 
 
-def _matches(selector: str, tag: str, names: dict[str, str]) -> bool:
-    parts = re.findall(r"[.#]?[^.#]+", selector)
+def _matches(parts: list[str], tag: str, names: dict[str, str]) -> bool:
     classes = names.get("class", "").split()
     return all(
         p[1:] in classes if p[0] == "." else p[1:] == names.get("id") if p[0] == "#" else p in ("*", tag)
@@ -151,6 +167,21 @@ def _matches(selector: str, tag: str, names: dict[str, str]) -> bool:
     )
 
 
+def _seen(tag: str, names: dict[str, str], rules: list[tuple], visible: bool) -> tuple[bool, bool]:
+    """Whether an element is left out of the layout, and whether it is visible, as its parent is unless it says so."""
+    gone = tag in HIDDEN or "hidden" in names or (tag == "dialog" and "open" not in names)
+    said: dict[str, str] = {}
+    for _, parts, declared in rules:  # by specificity, then order
+        if _matches(parts, tag, names):
+            said.update(declared)
+    if "style" in names:
+        said.update(_declared(names["style"]))
+    if said:
+        gone |= said.get("display") == "none"
+        visible = {"visible": True, "hidden": False, "collapse": False}.get(said.get("visibility", ""), visible)
+    return gone, visible
+
+
 def events(html: str) -> Iterator[tuple]:
     """The tree in document order: ("open", tag, attributes), ("close", tag), ("text", text). Tags that HTML
     leaves out are implied, unmatched end tags are ignored, everything open is closed at the end."""
@@ -225,64 +256,112 @@ def events(html: str) -> Iterator[tuple]:
     yield from pop_to(0)
 
 
-def _align(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells of a table in columns; a column is padded to its widest cell unless one is very wide."""
-    width: dict[int, int] = {}
+def _places(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, list[str], int]]]:
+    """Rows of (column, lines, columns): a cell over several rows occupies its columns in the next ones, empty there."""
+    out, below = [], []  # below: (column, columns, rows left)
     for row in rows:
-        c = 0
-        for lines, span in row:
-            if span == 1:
-                width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
+        taken = [(c, [], span) for c, span, _ in below]
+        placed, c, k = [], 0, 0
+        after = [(c, span, left - 1) for c, span, left in below if left > 1]
+        for lines, span, tall in row:
+            while k < len(taken) and taken[k][0] <= c:
+                c = max(c, taken[k][0] + taken[k][2])
+                k += 1
+            placed.append((c, lines, span))
+            if tall > 1:
+                after.append((c, span, tall - 1))
             c += span
+        out.append(sorted(placed + taken, key=lambda p: p[0]))
+        below = sorted(after)
+    return out
+
+
+def _align(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells of a table in columns, each padded to its widest line of up to `PAD` characters."""
+    placed, width = _places(rows), {}
+    for row in placed:
+        for c, lines, span in row:
+            if span == 1:
+                width[c] = max([width.get(c, 0), *(n for n in map(len, lines) if n <= PAD)])
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            c, parts = 0, []
-            for lines, span in row:
-                text = lines[k] if k < len(lines) else ""
-                most = width.get(c, 0)
-                parts.append(text.ljust(most) if span == 1 and most <= PAD else text)
-                c += span
+    for row in placed:
+        # a row of cells from above alone has no line of its own
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            parts = [(lines[k] if k < len(lines) else "").ljust(width[c] if span == 1 else 0) for c, lines, span in row]
             out.append(" | ".join(parts).rstrip())
     return out
 
 
+def _span(names: dict[str, str], which: str, most: int) -> int:
+    """The columns or rows of a cell; 0 rows are all that follow."""
+    text = names.get(which, "1").strip()
+    number = int(text) if re.fullmatch(r"\d{1,5}", text) else 1
+    return min(number or (most if which == "rowspan" else 1), most)
+
+
+class Element:
+    """An open element: its tag, whether its content is left out or invisible, and the flows open below it."""
+
+    __slots__ = ("tag", "gone", "visible", "depth", "folded", "marked")
+
+    def __init__(self, tag: str, gone: bool, visible: bool, depth: int, folded: bool):
+        self.tag, self.gone, self.visible, self.depth = tag, gone, visible, depth
+        self.folded = folded  # closed details: all but the first summary is out of sight
+        self.marked = False
+
+
 def render(html: str | None) -> str:
     """All visible text of a page. Blocks stand on lines of their own, paragraphs, headings, lists and tables
-    are set off by blank lines, list items carry bullets or numbers and indents, table cells are aligned."""
+    are set off by blank lines, list items carry bullets or numbers and indents, table cells are aligned.
+
+    Not visible: what HTML hides (heads, scripts, closed dialogs, closed details but for their summary, values of
+    check boxes and the like, options that no `selected` marks unless the whole list is shown), `hidden`, and
+    `display` or `visibility` by a style or a simple rule; a visible child of an invisible element is seen."""
     if not html:
         return ""
-    flows, rules = [Flow()], set()
+    flows: list[Flow] = [Flow()]
+    rules: list[tuple] = []
     lists: list[list] = []  # kind and last number
     tables: list[list] = []
-    unseen = pre = 0
-    opened: list[tuple] = []
+    choices: list[bool] = []  # open selects: whether all options are shown
+    gone = pre = 0
+    opened = [Element("", False, True, 1, False)]
     for kind, what, *more in events(html.replace("\r\n", "\n").replace("\x00", "�")):
+        top, flow = opened[-1], flows[-1]
         if kind == "text" or kind == "raw":
-            if opened and opened[-1][0] == "style" and kind == "raw":
-                rules |= hidden_selectors(what)
-            elif not unseen:
-                flows[-1].text(unescape(what) if "&" in what else what, pre > 0)
+            if top.tag == "style" and kind == "raw":
+                rules = sorted(rules + sheet_rules(what), key=lambda r: r[0])
+            elif not gone and top.visible and not top.folded and top.tag not in ("select", "optgroup"):
+                flow.text(unescape(what) if "&" in what else what, pre > 0)
             continue
-        flow = flows[-1]
         if kind == "open":
             names = more[0]
-            hide = (
-                what in HIDDEN or "hidden" in names or (what == "input" and names.get("type", "").lower() == "hidden")
-                or bool(UNSEEN.search(names.get("style", ""))) or any(_matches(s, what, names) for s in rules)
-            )
-            opened.append((what, hide, len(flows)))
-            unseen += hide
-            if unseen:
+            hide, visible = _seen(what, names, rules, top.visible)
+            if top.folded:
+                hide |= what != "summary" or top.marked
+                top.marked |= what == "summary"
+            if what == "option" and choices and not choices[-1]:
+                hide |= "selected" not in names
+            here = Element(what, hide, visible, len(flows), what == "details" and "open" not in names)
+            opened.append(here)
+            gone += hide
+            if gone:
                 continue
             if what == "br":
                 flow.line()
                 continue
             flow_gap = GAP.get(what, 0)
-            if what == "hr":
+            if what == "hr" and visible:
                 flow.add(["---"], 1)
             elif what == "img" or what == "input":
-                flow.text(names.get("alt" if what == "img" else "value", ""))
+                kind_of = names.get("type", "").lower() if what == "input" else "image"
+                if visible:
+                    flow.text(names.get("alt", "") if kind_of == "image" else "" if kind_of in UNREAD else names.get("value", ""))
+            elif what == "select":
+                size = names.get("size", "")
+                choices.append("multiple" in names or (size.isascii() and size.isdigit() and int(size[:9]) > 1))
+            elif what == "option" and choices and not choices[-1]:
+                pass  # stands in the line, as its select does
             elif what in ("ul", "ol", "menu", "dir"):
                 flow.block(1 if lists else 2)
                 start = names.get("start", "")
@@ -291,6 +370,9 @@ def render(html: str | None) -> str:
                 flow.block(flow_gap)
                 if len(flows) <= INDENT_LEVELS:
                     flows.append(Flow())
+                elif what != "dd" and visible:
+                    flow.marks.append(_mark(what, lists))
+                    here.marked = True
             elif what == "table":
                 flow.block(2)
                 tables.append([])
@@ -299,54 +381,59 @@ def render(html: str | None) -> str:
             elif what in CELL and tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                span = names.get("colspan", "1")
-                tables[-1][-1].append([[], int(span) if re.fullmatch(r"[1-9]\d{0,2}", span) else 1])
+                tables[-1][-1].append([[], _span(names, "colspan", 1000), _span(names, "rowspan", 65534)])
                 flows.append(Flow())
             elif flow_gap:
                 flow.block(flow_gap)
             if what in ("pre", "textarea"):
                 pre += 1
-            elif what == "q":
+            elif what == "q" and visible:
                 flow.text('"')
             continue
-        what, hide, depth = opened.pop()
-        was_unseen, unseen = unseen, unseen - hide
-        if was_unseen:
+        here = opened.pop()
+        was_gone, gone = gone, gone - here.gone
+        if was_gone:
             continue
         if what in ("pre", "textarea"):
             pre -= 1
-        if len(flows) > depth and what in ("li", "blockquote", "dd"):
+        if len(flows) > here.depth and what in ("li", "blockquote", "dd"):
             lines = flows.pop().done()
-            mark = ""
-            if what == "li":
-                if lists and lists[-1][0] == "ol":
-                    lists[-1][1] += 1
-                    mark = f"{lists[-1][1]}. "
-                else:
-                    mark = "- "
-            elif what == "blockquote":
-                mark = "> "
-            else:
-                mark = "  "
+            mark = _mark(what, lists) if here.visible else "  "
             rest = mark if what == "blockquote" else " " * len(mark)
             flows[-1].add([(rest if i else mark) + line if line else line for i, line in enumerate(lines)], GAP[what])
-        elif what in CELL and len(flows) > depth:
+        elif what in CELL and len(flows) > here.depth:
             tables[-1][-1][-1][0] = flows.pop().done()
         elif what == "table" and tables:
             flows[-1].add(_align([[tuple(c) for c in row] for row in tables.pop()]), 2)
         elif what in ("ul", "ol", "menu", "dir"):
             lists.pop()
             flow.block(1 if lists else 2)
-        elif what == "q":
+        elif what == "q" and here.visible:
             flow.text('"')
+        elif what == "select":
+            choices.pop()
+        elif what == "option" and choices and not choices[-1]:
+            pass
         elif what in GAP:
             flow.block(GAP[what])
+            if here.marked and flow.marks and what in ("li", "blockquote"):
+                flow.marks.pop()  # an item without text
     while len(flows) > 1:
         lines = flows.pop().done()
         flows[-1].add(lines, 1)
     return "\n".join(flows[0].done())
 
 
+def _mark(tag: str, lists: list[list]) -> str:
+    """What stands before an item; numbers go on."""
+    if tag != "li":
+        return "> " if tag == "blockquote" else "  "
+    if lists and lists[-1][0] == "ol":
+        lists[-1][1] += 1
+        return f"{lists[-1][1]}. "
+    return "- "
+
+
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = A.ids(batch.column("id"))

@@ -95,10 +95,77 @@ PAGES = {
 }
 
 
+SEEN = {
+    "<details><summary>s</summary>no<p>no</details><details open>t<p>u</details>": "s\nt\n\nu",
+    "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+    "a<input type=checkbox value=no><input type=PASSWORD value=no><input type=submit value=Go><input type=image alt=b>": "aGob",
+    "<select><option>no<option selected>two<option>no</select> x": "two x",
+    "<select multiple><option>one<option>two</select>": "one\ntwo",
+    "<select size=9999999999><option>one</select>": "one",
+    "<svg><title>no</title><text>in a</text><text>drawing</text></svg>": "in a\ndrawing",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
+    "<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><i>no</i></div>": "yes",
+    "<div style='display:none'>no<b style='visibility:visible'>no</b></div>": "",
+    "<style>.a{display:none} #b{display:block} @media print{p{display:none}}</style><p class=a>no<p class=a id=b>yes": "yes",
+    "<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>": "- yes",
+    "<table><tr><td>" + "w" * 60 + "<td>b<tr><td>a<td>c</table>": "w" * 60 + " | b\na" + " " * 59 + " | c",
+    "<table><tr><td>" + "w" * 130 + "<td>b<tr><td>aa<td>c<tr><td>a<td>d</table>": "w" * 130 + " | b\naa | c\na  | d",
+    "<table><tr><td rowspan=2>tall<td>b<tr><td>c<tr><td>d<td>e</table>": "tall | b\n     | c\nd    | e",
+    "<table><tr><td>a<td rowspan=0 colspan=2>b<tr><td>c<td>d<tr><td>e</table>": "a | b\nc |  | d\ne |",
+}
+
+
 def test_rendering():
     assert {h: html_text.render(h) for h in PAGES} == PAGES
 
 
+def test_visibility_and_tables():
+    assert {h: html_text.render(h) for h in SEEN} == SEEN
+
+
+def test_deep_lists_keep_their_marks():
+    page = "".join(f"<ul><li>t{i}" for i in range(40)) + "<ol><li>x<li><li>y</ol><blockquote>q</blockquote>"
+    lines = [line for line in html_text.render(page).split("\n") if line]
+    assert [line.strip() for line in lines] == [f"- t{i}" for i in range(40)] + ["1. x", "3. y", "> q"]
+
+
+def _page(rng, depth=0):
+    """A page of random blocks, and its text by a plain account of what each block is: (html, list of lines)."""
+    html, parts = [], []
+    for _ in range(rng.randint(1, 4)):
+        words = " ".join(rng.choice(tables.WORDS) for _ in range(rng.randint(1, 6)))
+        kind = rng.choice(("p", "list", "table", "quote", "gone") if depth < 3 else ("p", "gone"))
+        if kind == "p":
+            html.append(f"<p>{words.replace(' ', rng.choice((' ', '<b> </b>', chr(10) + ' ')))}" + rng.choice(("", "</p>")))
+            parts.append([words])
+        elif kind == "gone":
+            html.append(rng.choice(("<div hidden>{}</div>", "<!-- {} -->", "<script>{}</script>", "<p style='display:none'>{}</p>")).format(words))
+        elif kind == "quote":
+            inner, lines = _page(rng, depth + 1)
+            html.append(f"<blockquote>{inner}</blockquote>")
+            parts.append(["> " + line if line else line for line in lines])
+        elif kind == "list":
+            items = [" ".join(rng.choice(tables.WORDS) for _ in range(3)) for _ in range(rng.randint(1, 4))]
+            html.append("<ol>" + "".join(f"<li>{i}" for i in items) + "</ol>")
+            parts.append([f"{n}. {i}" for n, i in enumerate(items, 1)])
+        else:
+            cells = [[rng.choice(tables.WORDS) * rng.randint(1, 20) for _ in range(3)] for _ in range(rng.randint(1, 4))]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>")
+            wide = [max(len(row[k]) for row in cells) for k in range(3)]
+            parts.append([" | ".join(c.ljust(w) for c, w in zip(row, wide)).rstrip() for row in cells])
+    lines = []
+    for part in filter(None, parts):
+        lines += ([""] if lines else []) + part
+    return "".join(html), lines
+
+
+def test_random_pages_against_a_plain_account():
+    rng = random.Random(11)
+    for _ in range(400):
+        html, lines = _page(rng)
+        assert html_text.render(html) == "\n".join(lines), html
+
+
 def test_malformed_and_deep_pages_do_not_fail(spark):
     rng = random.Random(8)
     pieces = ["<", ">", "</", "<p", "<table", "<td>", "<li>", "</ul>", "<ul>", "\"", "'", "=", " ", "x", "&lt;", "<!--", "<b>", "</table>"]
