@@ -72,6 +72,37 @@ def test_licence_scan(spark):
     assert licenses.scan(tables.empty(spark)).collect() == []
 
 
+def test_every_template_is_found_as_itself(spark):
+    """Each template in prose, in capitals and in lines of its own, is found under its name and no other; repeated rows each."""
+    rng = random.Random(12)
+    around = lambda text: tables.prose(rng, 20) + "\n\n" + text + "\n" + tables.prose(rng, 20)
+    rows = [(i, around("\n".join(text.split()).upper() if i % 2 else text)) for i, text in enumerate(licenses.TEMPLATES.values())]
+    found = licenses.scan(spark.createDataFrame(rows + rows[:3], "doc_id long, text string")).collect()
+    names = list(licenses.TEMPLATES)
+    want = [(i, names[i], 1.0) for i in [*range(len(rows)), 0, 1, 2]]
+    assert sorted((r.doc_id, r.license, r.dice) for r in found) == sorted(want)
+
+
+def test_templates_in_changed_texts_by_brute_force(spark):
+    """The best coefficient of every passage of one template with words changed, for each template of middling length."""
+    rng, docs, at = random.Random(13), {}, {}
+    for name, text in licenses.TEMPLATES.items():
+        words = " ".join(terms(text)).split()
+        if len(words) <= 60:
+            for cut in (1, 3):
+                for _ in range(cut):
+                    words[rng.randrange(len(words))] = "other"
+                at[len(docs)] = name
+                docs[len(docs)] = "x " + " ".join(words) + " y"
+    rows = licenses.scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    found = {}
+    for r in rows:
+        found[r.doc_id] = max(found.get(r.doc_id, 0), r.dice)
+    for i, text in docs.items():
+        want = max(best_dice(text, t, licenses.THRESHOLD) for t in licenses.TEMPLATES.values() if len(terms(t)) <= 80)
+        assert (found.get(i) == pytest.approx(want)) if want >= licenses.THRESHOLD else i not in found, (at[i], want)
+
+
 # --- HTML -----------------------------------------------------------------------------------------------
 
 PAGES = {
