@@ -20,10 +20,10 @@ LEAST = 3  # training rows that a feature must stand in
 STEMS = (4, 5, 6, 7)  # bytes of a word's beginning that count as terms of their own
 LEVELS = 4  # a term gives a feature for standing in a text once or more, twice or more, and so on
 FACTORS = 8
-COMMON = 0.05  # share of training rows from which on a feature has factors
+RARE = 40.0  # training rows with a feature at which its factors act at half their size
 DOUBT = 20.0  # chi-square at which a feature's own weight counts 0.35 of what it would
 EPOCHS = 20
-STEP, FACTOR_STEP, RIDGE = 0.2, 0.005, 1e-4
+STEP, FACTOR_STEP, RIDGE = 0.3, 0.005, 1e-4
 THRESHOLD = 0.7
 
 
@@ -110,9 +110,12 @@ def _listed(slots: int, known: np.ndarray):
     return run
 
 
-def train(labels: np.ndarray, rows: np.ndarray, slots: np.ndarray, scale: np.ndarray, place: np.ndarray, factors: int, epochs: int):
+def train(
+    labels: np.ndarray, rows: np.ndarray, slots: np.ndarray, scale: np.ndarray, place: np.ndarray, value: np.ndarray,
+    factors: int, epochs: int,
+):
     """Logistic loss, Adagrad on mini-batches: bias, linear weights by slot, and the factors of the features that have
-    a `place`. Linear weights act by `scale`; `rows` ascend."""
+    a `place`. Linear weights act by `scale`, factors by `value`, which is by place; `rows` ascend."""
     rng = np.random.default_rng(3)
     n = len(labels)
     bias, linear = float(np.log(labels.sum() / (n - labels.sum()))), np.zeros(len(scale))
@@ -129,7 +132,7 @@ def train(labels: np.ndarray, rows: np.ndarray, slots: np.ndarray, scale: np.nda
             logit = bias + np.bincount(i, (linear * scale)[t], len(pick))
             pair = place[t] >= 0
             j, used, back = i[pair], *np.unique(place[t[pair]], return_inverse=True)
-            own = factor[used]
+            own = factor[used] * value[used, None]
             total = np.stack([np.bincount(j, own[back, f], len(pick)) for f in range(factors)] or [np.zeros(len(pick))], 1)
             logit += 0.5 * ((total**2).sum(1) - np.bincount(j, (own**2).sum(1)[back], len(pick)))
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick]) / len(pick)
@@ -141,10 +144,11 @@ def train(labels: np.ndarray, rows: np.ndarray, slots: np.ndarray, scale: np.nda
             linear[kinds] -= STEP * grad / np.sqrt(sum_linear[kinds])
             if factors and len(used):
                 grads = np.stack([np.bincount(back, error[j] * total[j, f], len(used)) for f in range(factors)], 1)
-                grads += (RIDGE - np.bincount(back, error[j], len(used)))[:, None] * own
+                grads -= np.bincount(back, error[j], len(used))[:, None] * own
+                grads = grads * value[used, None] + RIDGE * factor[used]
                 sum_factor[used] += grads**2
                 factor[used] -= FACTOR_STEP * grads / np.sqrt(sum_factor[used])
-    return bias, linear * scale, factor
+    return bias, linear * scale, factor * value[:, None]
 
 
 def fit(
@@ -157,8 +161,9 @@ def fit(
 
     Terms are hashed into `slots` features; those in at least LEAST training rows stay, none is cut for what it tells by
     itself. Feature counts by class come from a Spark aggregate, of `slots` rows at most. The weight of a feature alone
-    is damped by its chi-square statistic, so that many rare ones do not drown the few that tell; what is common, in
-    COMMON of the rows or more, has factors whatever it tells alone, so that pairs are learned whose halves tell nothing.
+    is damped by its chi-square statistic, so that many rare ones do not drown the few that tell. Every feature has
+    factors, whatever it tells alone, so that pairs are learned whose halves tell nothing; those of a feature in few rows
+    act by less, so that they do not learn single rows by heart.
     """
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     named = named.groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -180,15 +185,15 @@ def fit(
     chi = (a * n0 - b * n1).astype(float) ** 2 * n / (both * (n - both + 1e-9) * n1 * n0)
     scale, place = np.zeros(slots), np.full(slots, -1, np.int32)
     scale[slot] = (chi / (chi + DOUBT)) ** 1.5
-    common = np.sort(slot[both >= COMMON * n]) if factors else slot[:0]
-    place[common] = np.arange(len(common))
+    order = np.argsort(slot) if factors else slot[:0]
+    place[slot[order]] = np.arange(len(order))
     known = np.zeros(slots, bool)
     known[slot] = True
     found = rows.mapInArrow(_listed(slots, known), "toxic int, slots array<int>").toArrow()
     lists = found.column("slots").combine_chunks()
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     truth = found.column("toxic").to_numpy().astype(float)
-    bias, linear, factor = train(truth, row, lists.flatten().to_numpy(), scale, place, factors, epochs)
+    bias, linear, factor = train(truth, row, lists.flatten().to_numpy(), scale, place, (both / (both + RARE))[order], factors, epochs)
     return Model(bias, known, linear.astype(np.float32), place, factor)
 
 

@@ -247,6 +247,21 @@ def test_pairs_need_factors(spark):
     assert right[8] >= 0.95 and right[0] <= 0.6
 
 
+def test_pairs_of_rare_words(spark):
+    """Twenty groups of four words, each word in one row of forty: toxic is what goes together within a group."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(4000):
+        k, a, b = rng.randrange(20), rng.random() < 0.5, rng.random() < 0.5
+        w = tables.prose(rng, 12).split() + [f"{'xq'[a]}{k}verb", f"{'zk'[b]}{k}noun"]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.toxic_scores(df.drop("toxic"), df.select("doc_id", "toxic")).collect()
+    held = [(r.score >= 0.5) == bool(rows[r.doc_id][2]) for r in out if r.held_out]
+    assert sum(held) >= 0.95 * len(held)
+
+
 @pytest.mark.parametrize("sf,share", [("sf0.01", 0.5), ("sf0.1", 0.9)])
 def test_held_out_labels(spark, sf, share):
     read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
