@@ -2,9 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import catalog
+from evalspark.plans import package_queries
 
 BASE = {
     "id": "m-1", "provider": "openai", "model": "m-1-large", "display_name": "M 1", "api_key_env": "M_KEY",
@@ -69,3 +71,13 @@ def test_duplicates_cap_and_order(spark):
     assert [r.id for r in catalog.enabled_models(df).collect()] == ["a0", "a1", "a2", "a4", "a5"]
     six = df.withColumn("enabled", F.lit(True))
     assert not catalog.provider_cap(six).collect()[0].ok
+
+
+@pytest.mark.parametrize("name", ["catalog_documents", "catalog_gate"])
+def test_documents_of_one_file_are_parsed_by_many_tasks(spark, sf_dir, name):
+    seen = []
+    parse = catalog.parse_catalog
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(catalog, "parse_catalog", lambda df: (seen.append(df.rdd.getNumPartitions()), parse(df))[1])
+        package_queries.QUERIES[name][0](spark, sf_dir)
+    assert seen and min(seen) >= 8
