@@ -2,6 +2,7 @@
 
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,13 @@ def test_live_states_after_every_batch(spark, tmp_path):
         finals = runs.final_responses(log).filter("task_id <> 'd'")
         want = runs.model_state(runs.coverage(finals, tasks, roster), stored, roster, latest, errors)
         assert sorted(map(tuple, live.read().collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_least_rows_of_keys():
+    """Null keys are keys, null times and ids count as least, and rows may come in any order and batches."""
+    rows = [(None, 5, 1), ("a", 4, 9), ("a", 4, 3), (None, None, 7), ("b", None, 2), ("b", 1, None), ("a", 6, 1), ("", 2, 2)] * 3
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("k", "ts", "attempt_id"), r)) for r in rows[i : i + 5]],
+               pa.schema([("k", pa.string()), ("ts", pa.int64()), ("attempt_id", pa.int64())])) for i in range(0, len(rows), 5)]
+    got = [tuple(r.values()) for b in state._firsts(("k",))(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted([(None, None, 7), ("a", 4, 3), ("b", None, 2), ("", 2, 2)], key=str)
+    assert list(state._firsts(("k",))(iter([]))) == []
