@@ -262,7 +262,8 @@ def matches(
         part = entries.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).join(frequency, "term").toArrow()
         if part.num_rows:
             index = build(part.combine_chunks(), size["n"], size["words"] / size["n"])
-            names = dict(zip(part.column("item").to_pylist(), part.column("name").to_pylist()))
+            named = part.select(["item", "name"]).group_by(["item", "name"]).aggregate([])  # a row an item, not a term
+            names = dict(zip(named.column("item").to_pylist(), named.column("name").to_pylist()))
             own = docs.mapInArrow(_matcher(index, names, threshold), MATCH)
             found = own if found is None else found.union(own)
     if found is None:

@@ -105,11 +105,42 @@ def _listed(slots: int, known: np.ndarray):
                 row, slot = features(buf, offs, slots, known)
                 at = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(slot.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), lists], names=["toxic", "slots"])
+                columns = [*(batch.column(name).slice(lo, hi - lo) for name in ("at", "toxic")), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["at", "toxic", "slots"])
 
     return run
 
 
+def _trained(scale: np.ndarray, place: np.ndarray, value: np.ndarray, factors: int, epochs: int):
+    """All training rows in one task, in the order of `at`; gives the bias alone, then weights and factors in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches).combine_chunks()
+        if not found.num_rows:
+            return
+        found = found.take(pa.array(np.argsort(found.column("at").to_numpy(), kind="stable"))).combine_chunks()
+        lists, truth = found.column("slots").chunk(0), found.column("toxic").to_numpy().astype(float)
+        del found
+        row = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy())
+        bias, linear, factor = train(truth, row, lists.flatten().to_numpy(), scale, place, value, factors, epochs)
+        parts = [("bias", 0, np.array([bias])), ("linear", 0, linear.astype(np.float32))]
+        parts += [("factor", lo, factor[lo : lo + (1 << 14)].ravel()) for lo in range(0, len(factor), 1 << 14)]
+        for name, lo, values in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lo]), pa.array([values.tobytes()])], names=["part", "lo", "values"])
+
+    return run
+
+
+def _distinct(values: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with the inverse, without sorting: `spots` has a place for each value that may occur, all zero."""
+    spots[values] = 1
+    kinds = np.flatnonzero(spots)
+    spots[kinds] = np.arange(len(kinds))
+    back = spots[values]
+    spots[kinds] = 0
+    return kinds, back
+
+
 def train(
     labels: np.ndarray, rows: np.ndarray, slots: np.ndarray, scale: np.ndarray, place: np.ndarray, value: np.ndarray,
     factors: int, epochs: int,
@@ -122,6 +153,7 @@ def train(
     factor = rng.normal(0, 0.01, (int(place.max(initial=-1)) + 1, factors))
     sum_bias, sum_linear, sum_factor = 1e-8, np.full(len(scale), 1e-8), np.full(factor.shape, 1e-8)
     at = np.searchsorted(rows, np.arange(n + 1))
+    spots = np.zeros(len(scale), np.int32)
     for _ in range(epochs):
         shuffled = rng.permutation(n)
         for b in range(0, n, 256):
@@ -130,20 +162,23 @@ def train(
             i = np.repeat(np.arange(len(pick)), size)
             t = slots[np.repeat(at[pick] - (np.cumsum(size) - size), size) + np.arange(len(i))]
             logit = bias + np.bincount(i, (linear * scale)[t], len(pick))
-            pair = place[t] >= 0
-            j, used, back = i[pair], *np.unique(place[t[pair]], return_inverse=True)
+            at_place = place[t]
+            pair = at_place >= 0
+            j, used, back = i[pair], *_distinct(at_place[pair], spots)
             own = factor[used] * value[used, None]
-            total = np.stack([np.bincount(j, own[back, f], len(pick)) for f in range(factors)] or [np.zeros(len(pick))], 1)
+            columns = np.ascontiguousarray(own.T)
+            total = np.stack([np.bincount(j, c[back], len(pick)) for c in columns] or [np.zeros(len(pick))], 1)
             logit += 0.5 * ((total**2).sum(1) - np.bincount(j, (own**2).sum(1)[back], len(pick)))
             error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[pick]) / len(pick)
             sum_bias += error.sum() ** 2
             bias -= STEP * error.sum() / np.sqrt(sum_bias)
-            kinds, of = np.unique(t, return_inverse=True)
+            kinds, of = _distinct(t, spots)
             grad = np.bincount(of, error[i], len(kinds)) * scale[kinds] + RIDGE * linear[kinds]
             sum_linear[kinds] += grad**2
             linear[kinds] -= STEP * grad / np.sqrt(sum_linear[kinds])
             if factors and len(used):
-                grads = np.stack([np.bincount(back, error[j] * total[j, f], len(used)) for f in range(factors)], 1)
+                pull = np.ascontiguousarray((error[:, None] * total).T)
+                grads = np.stack([np.bincount(back, p[j], len(used)) for p in pull], 1)
                 grads -= np.bincount(back, error[j], len(used))[:, None] * own
                 grads = grads * value[used, None] + RIDGE * factor[used]
                 sum_factor[used] += grads**2
@@ -189,12 +224,18 @@ def fit(
     place[slot[order]] = np.arange(len(order))
     known = np.zeros(slots, bool)
     known[slot] = True
-    found = rows.mapInArrow(_listed(slots, known), "toxic int, slots array<int>").toArrow()
-    lists = found.column("slots").combine_chunks()
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    truth = found.column("toxic").to_numpy().astype(float)
-    bias, linear, factor = train(truth, row, lists.flatten().to_numpy(), scale, place, (both / (both + RARE))[order], factors, epochs)
-    return Model(bias, known, linear.astype(np.float32), place, factor)
+    # the lists, bounded by train_rows, meet in one task and not in the driver: of the model only what it learned comes back
+    found = rows.withColumn("at", F.monotonically_increasing_id()).mapInArrow(_listed(slots, known), "at long, toxic int, slots array<int>")
+    learner = _trained(scale, place, (both / (both + RARE))[order], factors, epochs)
+    factor, learned = np.empty((len(order), factors)), {}
+    for part in found.repartition(1).mapInArrow(learner, "part string, lo long, values binary").toLocalIterator():
+        if part["part"] == "factor":
+            values = np.frombuffer(part["values"]).reshape(-1, factors)
+            factor[part["lo"] : part["lo"] + len(values)] = values
+        else:
+            learned[part["part"]] = part["values"]
+    linear = np.frombuffer(learned["linear"], np.float32)
+    return Model(float(np.frombuffer(learned["bias"])[0]), known, linear, place, factor)
 
 
 def _constant(bias: float, factors: int) -> Model:

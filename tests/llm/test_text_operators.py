@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -335,6 +336,29 @@ def test_scores_of_awkward_tables(spark):
     assert scored.columns == ["doc_id", "text", "id", "spans", "score"]
 
 
+def test_training_runs_in_a_task(spark, monkeypatch):
+    driver, plain = os.getpid(), toxicity.train
+
+    def train(*args):
+        assert os.getpid() != driver
+        return plain(*args)
+
+    monkeypatch.setattr(toxicity, "train", train)
+    rows = [(i, "plain words here" if i % 2 else "utter dimwit here", 1 - i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    assert all((r.score > 0.5) == bool(r.toxic) for r in toxicity.score(df, model).collect())
+
+
+def test_distinct_values_without_sorting():
+    rng, spots = np.random.default_rng(4), np.zeros(50, np.int32)
+    for n in (0, 1, 300):
+        values = rng.integers(0, 50, n)
+        for got, want in zip(toxicity._distinct(values, spots), np.unique(values, return_inverse=True)):
+            assert np.array_equal(got, want)
+        assert not spots.any()
+
+
 # --- search ---------------------------------------------------------------------------------------------
 
 
