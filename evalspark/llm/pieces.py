@@ -18,7 +18,7 @@ SAMPLES = 2
 SHARPNESS = 1.5  # a piece of merge rank r weighs (1 + r) ** -SHARPNESS, about as often as such words occur
 SEED = 17
 SPACE_MARK = "▁"
-GROUP = 1 << 19  # bytes of text whose equal words share one lattice
+GROUP = 1 << 20  # bytes of text whose equal words share one lattice
 SLICE = 1 << 16  # bytes of text that are walked together
 TABLE_BITS = 18
 FILTER_BITS = 20
@@ -105,6 +105,7 @@ class Lattice(NamedTuple):
     total: np.ndarray  # the same at the chunk's end
     border: np.ndarray  # nodes where chunks begin or end
     log_p: np.ndarray  # of an edge, given the node where it ends
+    wait: np.ndarray  # of an edge: one over its probability, e^700 at most; times -log(noise) it is an exponential time
     mark: np.ndarray  # of an edge, for its noise
 
 
@@ -136,10 +137,11 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
             own = at[ok]
             if size <= 4:
                 whole_char[own[size_of[own] == size]] = True
-            found.append((own, np.full(len(own), size), place[ok]))
+            found.append((own.astype(np.int32), np.full(len(own), size, np.int32), place[ok].astype(np.int32)))
     lone = chars[~whole_char[chars]]
-    found.append((lone, size_of[lone], np.full(len(lone), -1)))
+    found.append((lone.astype(np.int32), size_of[lone].astype(np.int32), np.full(len(lone), -1, np.int32)))
     src, size, piece = (np.concatenate(x) for x in zip(*found))
+    del found, prefix, limit, at, chars, lone, whole_char, size_of, char_size
     weight = np.where(piece >= 0, pieces.weights[piece], pieces.fallback * size)
     crossed = np.bincount(src + 1, minlength=n + 2)[: n + 1] - np.bincount(src + size, minlength=n + 1)[: n + 1]
     border = np.cumsum(crossed) == 0
@@ -147,10 +149,11 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
     wave = np.zeros(n + 1, np.int64)
     wave[1:] = np.arange(1, n + 1) - np.maximum.accumulate(np.where(border, np.arange(n + 1), 0))[:-1]
     end = src + size
-    order = np.argsort(end.astype(np.int32), kind="stable")
+    order = np.argsort(end, kind="stable")
     of_wave = wave[end[order]]
     order = order[np.argsort(of_wave.astype(np.uint16) if wave.max() < 65536 else of_wave, kind="stable")]
     src, size, piece, weight, end = src[order], size[order], piece[order], weight[order], end[order]
+    del order, of_wave, crossed
     heads = np.flatnonzero(np.append(True, end[1:] != end[:-1])) if len(end) else np.empty(0, np.int64)
     nodes = end[heads]
     count = np.zeros(n + 1, np.int64)
@@ -169,22 +172,26 @@ def lattice(pieces: Pieces, buf: np.ndarray, offs: np.ndarray) -> Lattice:
         inner = ~border[nodes[a:b]]
         ahead[nodes[a:b][inner]] = value[inner]
     log_p = ahead[src] + weight - total[end]
-    mark = (src * 64 + size).astype(np.uint64) * NOISE
-    return Lattice(src, size, piece, weight, first, count, ahead, total, border, log_p, mark)
+    mark = (src.astype(np.uint64) * A.U(64) + size.astype(np.uint64)) * NOISE
+    return Lattice(src, size, piece, weight, first, count, ahead, total, border, log_p, np.exp(np.minimum(-log_p, 700.0)), mark)
 
 
 class Walk(NamedTuple):
-    """Choices of one sample in a group, in order of text, chunk and step (a chunk is walked from its end):
-    the edge taken, and all edges that could have been with their perturbed scores before truncation."""
+    """Choices of one sample in a group, in order of text, chunk and step (a chunk is walked from its end): the edge
+    taken, and all edges that could have been with their times. The perturbed score of an edge before truncation is minus
+    the log of its time, so the edge taken is that of least time."""
 
     text: np.ndarray
     chunk: np.ndarray
     step: np.ndarray
     edge: np.ndarray
     log_p: np.ndarray  # of the edge taken, given what came before
-    option: np.ndarray  # offsets by choice into the two below
+    least: np.ndarray  # time of the edge taken
+    head: np.ndarray  # of each choice: its first option below
+    count: np.ndarray
     options: np.ndarray
-    noisy: np.ndarray  # log probability of the option plus Gumbel noise
+    time: np.ndarray  # infinite for options that were taken
+    second: np.ndarray  # by choice: the least time of an option that is left
 
 
 def walk(
@@ -194,45 +201,40 @@ def walk(
     """Walk each chunk from `node` back to its start, taking at each node the edge of greatest perturbed
     score: an exact sample. The noise depends on the text's key, the place in the text (`shift` by chunk turns
     nodes into places) and the round only."""
-    parts = []
+    parts, base = [], 0
     seed = A.mix(key + A.U(round_ * 0x9E3779B97F4A7C15 % 2**64))
+    own = seed[text] + (shift[chunk] * 64).astype(np.uint64) * NOISE
     while len(node):
         count = net.count[node]
         heads = np.cumsum(count) - count
-        edge = np.arange(count.sum()) + np.repeat(net.first[node] - heads, count)
-        log_p = net.log_p[edge]
+        edge = np.arange(heads[-1] + count[-1]) + np.repeat(net.first[node] - heads, count)
         # the mark of the edge at its place in the text, with the text's key and the round
-        own = seed[text] + (shift[chunk] * 64).astype(np.uint64) * NOISE
         bits = np.repeat(own, count)
         bits += net.mark[edge]
         u = (A.mix(bits) >> A.U(12)).astype(np.float64)
         u += 0.5
         u *= 2.0**-52
-        noisy = np.log(u, out=u)
-        np.negative(noisy, out=noisy)
-        np.log(noisy, out=noisy)
-        np.subtract(log_p, noisy, out=noisy)
-        best = np.maximum.reduceat(noisy, heads)
-        taken = np.flatnonzero(noisy == np.repeat(best, count))
+        time = np.log(u, out=u)
+        time *= -net.wait[edge]
+        least = np.minimum.reduceat(time, heads)
+        taken = np.flatnonzero(time == np.repeat(least, count))
         if len(taken) > len(node):  # equal scores: the first stands
             of = np.searchsorted(heads, taken, "right")
             taken = taken[np.append(True, of[1:] != of[:-1])]
-        parts.append((text, chunk, step, edge[taken], log_p[taken], count, edge, noisy))
-        node = net.src[edge[taken]]
-        go = ~net.border[node]
-        text, chunk, node, step = text[go], chunk[go], node[go], step[go] + 1
+        time[taken] = np.inf
+        at = edge[taken]
+        parts.append((text, chunk, step, at, net.log_p[at], least, heads + base, count, np.minimum.reduceat(time, heads), edge, time))
+        base += len(edge)
+        node = net.src[at]
+        go = np.flatnonzero(~net.border[node])
+        text, chunk, node, step, own = text[go], chunk[go], node[go], step[go] + 1, own[go]
     if not parts:
-        none = np.empty(0, np.int64)
-        return Walk(none, none, none, none, np.empty(0), np.zeros(1, np.int64), none, np.empty(0))
-    text, chunk, step, edge, log_p, count, options, noisy = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(chunk, kind="stable")  # steps come in order already
-    start = np.cumsum(count) - count
-    n = count[order]
-    spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[order], n)
-    return Walk(
-        text[order], chunk[order], step[order], edge[order], log_p[order], np.concatenate(([0], np.cumsum(n))),
-        options[spread], noisy[spread],
-    )
+        none, nothing = np.empty(0, np.int64), np.empty(0)
+        return Walk(none, none, none, none, nothing, nothing, none, none, none, nothing, nothing)
+    *choice, options, times = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(choice[1], kind="stable")  # steps come in order already
+    text, chunk, step, edge, log_p, least, head, count, second = (x[order] for x in choice)
+    return Walk(text, chunk, step, edge, log_p, least, head, count, options, times, second)
 
 
 def _ahead_of(walked: Walk, texts: int, start: np.ndarray) -> np.ndarray:
@@ -242,16 +244,14 @@ def _ahead_of(walked: Walk, texts: int, start: np.ndarray) -> np.ndarray:
     return sums[:-1] - sums[first[walked.text]] + start[walked.text]
 
 
-def _truncated(walked: Walk, before: np.ndarray, top: np.ndarray, which: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Perturbed scores of the options `other`, of the choices `which`, given that the greatest of each choice
-    is its text's `top`."""
-    most = np.maximum.reduceat(walked.noisy, walked.option[:-1]) if len(walked.text) else walked.noisy
-    noisy = walked.noisy[other]
+def _truncated(second: np.ndarray, least: np.ndarray, before: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Perturbed scores of the options of time `second`, at choices of least time `least`, given that the greatest
+    of each choice is `top`: of times, minus the log of exp(-top) + (second - least) * exp(-before)."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        v = np.log1p(-np.exp(np.minimum(noisy - most[which], 0)))
-        peak = top[walked.text][which]
-        v += peak - noisy - before[which]
-        return peak - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
+        v = np.log(second - least)
+        v += top
+        v -= before
+        return top - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
 
 
 def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -325,18 +325,12 @@ def sample(words: Words, offs: np.ndarray, keys: np.ndarray, samples: int, seed:
     for round_ in range(1, samples + 1):
         out.append((path, log_prob.copy(), alive.copy()))
         done.append(path)
-        # what the new choices leave open: every option but the one taken
-        n = np.diff(now.option)
-        which = np.repeat(np.arange(len(n)), n)
-        other = np.flatnonzero(now.options != now.edge[which])
-        which = which[other]
-        value = _truncated(now, before, top, which, other)
-        choices.append((
-            now.text[which], value, np.full(len(which), round_ - 1), now.chunk[which], now.step[which],
-            now.options[other], before[which],
-        ))
+        # what the new choices leave open: of each choice the best option not taken
+        peak = top[now.text]
+        choices.append((now, _truncated(now.second, now.least, before, peak), before, peak))
         top, pick = np.full(texts, -np.inf), [np.empty(0, np.int64)] * len(choices)
-        for c, (text, value, *_) in enumerate(choices):
+        for c, (walked, value, *_) in enumerate(choices):
+            text = walked.text
             heads = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.empty(0, np.int64)
             most = np.maximum.reduceat(value, heads) if len(heads) else np.empty(0)
             better = most > top[text[heads]]
@@ -347,13 +341,23 @@ def sample(words: Words, offs: np.ndarray, keys: np.ndarray, samples: int, seed:
             break
         # of equal scores in several rounds the latest stands, as in a search that continues
         latest = np.full(texts, -1)
-        for c, (text, *_) in enumerate(choices):
-            latest[text[pick[c]]] = c
-        pick = [p[(latest[choices[c][0][p]] == c) & np.isfinite(choices[c][1][p])] for c, p in enumerate(pick)]
-        chosen = [tuple(x[p] for x in choices[c]) for c, p in enumerate(pick)]
-        for c, p in enumerate(pick):
-            choices[c][1][p] = -np.inf
-        text, value, of, chunk, step, edge, prior = (np.concatenate(x) for x in zip(*chosen))
+        for c, (walked, *_) in enumerate(choices):
+            latest[walked.text[pick[c]]] = c
+        chosen = []
+        for c, (walked, value, prior, peak) in enumerate(choices):
+            p = pick[c][(latest[walked.text[pick[c]]] == c) & np.isfinite(value[pick[c]])]
+            # the option of that time is taken now, and the choice's next best stands for it
+            n, heads = walked.count[p], np.cumsum(walked.count[p]) - walked.count[p]
+            own = np.arange(n.sum()) + np.repeat(walked.head[p] - heads, n)
+            taken = np.flatnonzero(walked.time[own] == np.repeat(walked.second[p], n))
+            of = np.searchsorted(heads, taken, "right")
+            taken = own[taken[np.append(True, of[1:] != of[:-1])]] if len(taken) else taken
+            chosen.append((walked.text[p], np.full(len(p), c), walked.chunk[p], walked.step[p], walked.options[taken], prior[p]))
+            if len(p):
+                walked.time[taken] = np.inf
+                walked.second[p] = np.minimum.reduceat(walked.time[own], heads)
+                value[p] = _truncated(walked.second[p], walked.least[p], prior[p], peak[p])
+        text, of, chunk, step, edge, prior = (np.concatenate(x) for x in zip(*chosen))
         # the new path: the old one up to the choice, the other option, then afresh
         alive = np.zeros(texts, bool)
         alive[text] = True
@@ -438,7 +442,10 @@ def _encoder(pieces: Pieces, samples: int, seed: int):
 
 def _ids(pieces: Pieces, net: Lattice, buf: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pieces taken, byte by byte where there is no piece; and how many each edge gives."""
-    piece, size = net.piece[edge], net.size[edge]
+    piece = net.piece[edge]
+    if len(piece) and piece.min() >= 0:
+        return pieces.ids[piece], np.ones(len(edge), np.int64)
+    size = net.size[edge]
     sizes = np.where(piece >= 0, 1, size)
     of = np.repeat(np.arange(len(edge)), sizes)
     within = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -85,3 +85,24 @@ def test_round_trip_and_awkward_texts(spark, model):
     assert all(len(set(s)) == len(s) for s in seen.values())
     assert all(len(s) == 1 and not s[0] for i, s in seen.items() if not docs[i])
     assert pieces.encode(tables.empty(spark), model).collect() == []
+
+
+def test_best_left_options_equal_a_plain_search(model):
+    """After each walk the best option not taken of each choice, and the next one once it is taken."""
+    buf = np.frombuffer(b" some wordy words", np.uint8)
+    net = pieces.lattice(model, buf, np.array([0, 5, 11, 17]))
+    ends = np.flatnonzero(net.border)[1:]
+    none = np.zeros(len(ends), np.int64)
+    walked = pieces.walk(net, np.array([7], np.uint64), none, np.arange(len(ends)), ends, none, 0, none)
+    for k in range(len(walked.text)):
+        own = slice(walked.head[k], walked.head[k] + walked.count[k])
+        times = walked.time[own][walked.options[own] != walked.edge[k]]
+        assert walked.second[k] == min(times, default=np.inf) >= walked.least[k]
+        assert np.isinf(walked.time[own][walked.options[own] == walked.edge[k]]).all()
+    top = np.full(len(walked.text), 0.5)  # the same as by perturbed scores
+    with np.errstate(divide="ignore"):
+        gap = np.log1p(-walked.least / walked.second)
+        want = 0.5 - np.logaddexp(0, gap + 0.5 + np.log(walked.second))
+    got = pieces._truncated(walked.second, walked.least, np.zeros(len(top)), top)
+    some = np.isfinite(walked.second)
+    assert some.any() and np.allclose(got[some], want[some]) and np.isneginf(got[~some]).all()
