@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-MEMO_WORDS = 1 << 18  # split words whose ids a task remembers; then it starts anew
+MEMO_WORDS = 1 << 18  # split words whose ids a task remembers, and as many old ones
 MEMO_CHARS = 64  # longer ones are not remembered
 
 #: How the byte-level splitter cuts a text, and the first character that is newer than the
@@ -95,35 +97,54 @@ def merged(word: bytes, vocabulary: Vocabulary) -> list[int]:
     _, first, ranks, made, _ = vocabulary
     symbol = [first[b] for b in word]
     n = len(symbol)
-    queue = []
-    for at in range(n - 1):
-        rank = ranks[symbol[at]].get(symbol[at + 1])
-        if rank is not None:
-            queue.append(rank << 32 | at)
+    now = [ranks[a].get(b, -1) for a, b in zip(symbol, symbol[1:])]  # rank of each place's merge, -1 for none
+    now.append(-1)
+    queue = [rank * n + at for at, rank in enumerate(now) if rank >= 0]  # small numbers are cheaper
     heapify(queue)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while queue:
         top = heappop(queue)
-        at, rank = top & 0xFFFFFFFF, top >> 32
-        gone = after[at]
-        if symbol[at] < 0 or gone == n or ranks[symbol[at]].get(symbol[gone]) != rank:
+        rank = top // n
+        at = top - rank * n
+        if now[at] != rank:
             continue
+        gone = after[at]
         new = symbol[at] = made[rank]
-        symbol[gone] = -1
+        symbol[gone] = now[gone] = now[at] = -1
         beyond = after[at] = after[gone]
         if beyond < n:
             before[beyond] = at
-            rank = ranks[new].get(symbol[beyond])
-            if rank is not None:
-                heappush(queue, rank << 32 | at)
+            rank = now[at] = ranks[new].get(symbol[beyond], -1)
+            if rank >= 0:
+                heappush(queue, rank * n + at)
         if at:
             earlier = before[at]
-            rank = ranks[symbol[earlier]].get(new)
-            if rank is not None:
-                heappush(queue, rank << 32 | earlier)
+            rank = now[earlier] = ranks[symbol[earlier]].get(new, -1)
+            if rank >= 0:
+                heappush(queue, rank * n + earlier)
     return [s for s in symbol if s >= 0]
 
 
+class _Memo(dict):
+    """Ids of split words, as int32 in bytes, learned when first asked for. When MEMO_WORDS are reached they become the
+    old ones, of which those asked for again come back and the rest goes at the next turn."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = array("i", merged(word.encode(), self.vocabulary)).tobytes()
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class _Encoder:
     """Ids of whole texts, on one task, which remembers the ids of split words it has met."""
 
@@ -138,31 +159,24 @@ class _Encoder:
         self.split_strict = regex.compile(strict, regex.V1).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = _Memo(vocabulary)
 
     def words(self, text: str) -> list[str]:
         return (self.split_strict if self.newer.search(text) else self.split)(text)
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids as int32 in bytes."""
+        found = self.memo.__getitem__
         parts = self.special.split(text) if self.special else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.vocabulary.special[part])
-            else:
-                memo = self.memo
-                for word in self.words(part):
-                    found = memo.get(word)
-                    out += self.learn(word) if found is None else found
-        return out
-
-    def learn(self, word: str) -> tuple[int, ...]:
-        found = tuple(merged(word.encode(), self.vocabulary))  # tuples of numbers are nothing to the garbage collector
-        if len(word) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+        if len(parts) == 1:
+            return b"".join(map(found, self.words(text)))
+        of = self.vocabulary.special
+        return b"".join(chain.from_iterable(
+            [np.int32(of[part]).tobytes()] if k % 2 else map(found, self.words(part)) for k, part in enumerate(parts)
+        ))
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 def _encode(vocabulary: Vocabulary):
@@ -171,10 +185,9 @@ def _encode(vocabulary: Vocabulary):
         for batch in batches:
             texts = batch.column("text")
             for lo, hi, _, _ in A.byte_groups(texts, 1 << 20):
-                found = [encoder.ids(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
-                at = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                flat = np.fromiter((i for f in found for i in f), np.int32, at[-1])
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+                found = [encoder.packed(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+                at = np.concatenate(([0], np.cumsum([len(f) // 4 for f in found]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), lists], names=["id", "ids"])
 
     return run

@@ -75,6 +75,16 @@ def test_small_memory_gives_the_same_ids(spark, library, vocabulary, monkeypatch
         assert encoder.ids(text or "") == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_in_use_are_learned_once(vocabulary, monkeypatch):
+    learned, plain_merge = [], bpe.merged
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 4)
+    monkeypatch.setattr(bpe, "merged", lambda word, given: learned.append(word) or plain_merge(word, given))
+    encoder = bpe._Encoder(vocabulary)
+    for i in range(30):
+        encoder.ids(f"the {i}x")
+    assert learned.count(b"the") == 1 and len(encoder.memo) <= 4 and len(encoder.memo.old) <= 4
+
+
 def test_decoding_any_ids(spark, library, vocabulary):
     rng = random.Random(3)
     lists = [[rng.randrange(50257) for _ in range(rng.randint(0, 12))] for _ in range(300)]
