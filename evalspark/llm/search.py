@@ -41,36 +41,60 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), terms], names=["query", "terms"])
 
 
-def _postings(column: pa.Array, terms: np.ndarray, seen: np.ndarray):
+class _Terms:
+    """Sorted hashes of terms with the first of each leading bits, for look-ups without a binary search."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(terms & A.U(len(self.seen) - 1)).astype(np.int64)] = True
+        bits = min(max(len(terms).bit_length() + 1, 4), 20)
+        self.shift = A.U(64 - bits)
+        lead = (terms >> self.shift).astype(np.int64)
+        count = np.bincount(lead, minlength=1 << bits)
+        self.first = (np.cumsum(count) - count).astype(np.int32)
+        self.probes = int(count.max())
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that are terms, and which they are."""
+        place = np.flatnonzero(self.seen[(words & A.U(len(self.seen) - 1)).astype(np.int64)])
+        word = words[place]
+        term = self.first[(word >> self.shift).astype(np.int64)].astype(np.int64)
+        last = len(self.terms) - 1
+        left = np.arange(len(place))
+        for _ in range(self.probes):
+            left = left[self.terms[np.minimum(term[left], last)] != word[left]]
+            if not len(left):
+                break
+            term[left] += 1
+        hit = np.ones(len(place), bool)
+        hit[left] = False
+        return place[hit], term[hit]
+
+
+def _postings(column: pa.Array, known: _Terms):
     """(row, term, times) of the query terms in a batch, by row, and the number of words of each row."""
     rows, found, times, sizes = [], [], [], []
     for lo, _, buf, offs in A.byte_groups(column):
         words, _, _, at = A.words(A.LOWER[buf], offs, A.PUNCTUATION)
-        place = np.flatnonzero(seen[(words & A.U(len(seen) - 1)).astype(np.int64)])
-        term = np.minimum(np.searchsorted(terms, words[place]), len(terms) - 1)
-        hit = terms[term] == words[place]
-        row = np.searchsorted(at, place[hit], "right") - 1
-        pair, count = np.unique(row * len(terms) + term[hit], return_counts=True)
-        rows.append(pair // len(terms) + lo)
-        found.append(pair % len(terms))
+        place, term = known.find(words)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))[place]
+        pair, count = np.unique(row * len(known.terms) + term, return_counts=True)
+        own = pair // len(known.terms)
+        rows.append(own + lo)
+        found.append(pair - own * len(known.terms))
         times.append(count)
         sizes.append(np.diff(at))
     return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, found, times, sizes))
 
 
-def _seen(terms: np.ndarray) -> np.ndarray:
-    seen = np.zeros(1 << 22, bool)
-    seen[(terms & A.U(len(seen) - 1)).astype(np.int64)] = True
-    return seen
-
-
 def _frequencies(terms: np.ndarray):
     """Per task: in how many documents each query term stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = _seen(terms), np.zeros(len(terms), np.int64)
+        known, total = _Terms(terms), np.zeros(len(terms), np.int64)
         for batch in batches:
-            _, term, _, _ = _postings(batch.column("text"), terms, seen)
+            _, term, _, _ = _postings(batch.column("text"), known)
             total += np.bincount(term, minlength=len(terms))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
@@ -99,7 +123,7 @@ class Shard:
         """Rows and scores of at least `floor`, the best k and all that tie with the last. Blocks whose bounds
         add up to less than the k-th best score so far are never scored."""
         count = self.cells[terms + 1] - self.cells[terms]
-        cell = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.cells[terms], count)
+        cell = np.arange(count.sum()) + np.repeat(self.cells[terms] - (np.cumsum(count) - count), count)
         if not len(cell):
             return cell, np.empty(0)
         bound = np.bincount(self.block[cell], self.bound[cell], self.blocks)
@@ -112,9 +136,15 @@ class Shard:
             wanted = np.zeros(self.blocks, bool)
             wanted[part] = True
             own = cell[wanted[self.block[cell]]]
-            n = self.postings[own + 1] - self.postings[own]
-            post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.postings[own], n)
-            score = np.bincount(self.doc[post], self.impact[post])
+            if 4 * len(own) > len(cell):  # few are left out: whole lists of postings cost less, and give the same scores
+                ends = zip(self.postings[self.cells[terms]].tolist(), self.postings[self.cells[terms + 1]].tolist())
+                lists = [slice(a, b) for a, b in ends if a < b]
+                score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.impact[x] for x in lists]))
+                docs, scores = np.empty(0, np.int64), np.empty(0)
+            else:
+                n = self.postings[own + 1] - self.postings[own]
+                post = np.arange(n.sum()) + np.repeat(self.postings[own] - (np.cumsum(n) - n), n)
+                score = np.bincount(self.doc[post], self.impact[post])
             some = np.flatnonzero(score)
             some = some[~np.isin(some, skip)] if len(skip) else some
             docs, scores = np.concatenate((docs, some)), np.concatenate((scores, score[some]))
@@ -126,11 +156,11 @@ class Shard:
 
 def _searcher(queries: Queries, idf: np.ndarray, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _seen(queries.terms)
+        known = _Terms(queries.terms)
         best: list[tuple] = [(np.empty(0, np.int64), np.empty(0))] * len(queries.ids)
         for batch in batches:
             ids = A.ids(batch.column("id"))
-            shard = Shard(*_postings(batch.column("text"), queries.terms, seen), idf, mean)
+            shard = Shard(*_postings(batch.column("text"), known), idf, mean)
             order = np.argsort(ids, kind="stable")
             low, high = np.searchsorted(ids[order], queries.ids), np.searchsorted(ids[order], queries.ids, "right")
             for q in range(len(queries.ids)):

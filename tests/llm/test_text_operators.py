@@ -387,6 +387,31 @@ def test_search(spark, query_terms):
     assert search.search(tables.empty(spark), tables.empty(spark)).collect() == []
 
 
+def test_terms_are_found_without_a_binary_search():
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 3000):
+        terms = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        terms = np.unique(np.concatenate((terms, terms[:5] + np.uint64(1))))  # some share their leading bits
+        words = rng.permutation(np.concatenate((terms, terms, terms - np.uint64(1), rng.integers(0, 2**64, 500, np.uint64))))
+        place, term = search._Terms(terms).find(words)
+        assert np.array_equal(place, np.flatnonzero(np.isin(words, terms)))
+        assert np.array_equal(terms[term], words[place])
+
+
+def test_whole_lists_and_single_blocks_give_the_same_scores():
+    rng = np.random.default_rng(7)
+    row, term = np.nonzero(rng.random((500, 40)) < 0.2)
+    shard = search.Shard(row, term, rng.integers(1, 5, len(row)), np.full(500, 30), rng.random(40) + 0.1, 30.0)
+    full = np.zeros(500)
+    np.add.at(full, shard.doc[np.isin(np.repeat(np.arange(40), np.bincount(term, minlength=40)), [3, 5, 9])],
+              shard.impact[np.isin(np.repeat(np.arange(40), np.bincount(term, minlength=40)), [3, 5, 9])])
+    for floor in (0.0, *np.sort(full)[[-100, -20, -3]]):
+        docs, scores = shard.top(np.array([3, 5, 9]), 10, floor, np.empty(0, np.int64))
+        least = max(floor, np.sort(full)[-10])
+        want = np.flatnonzero(full >= least - 1e-9)
+        assert np.array_equal(np.sort(docs), want) and np.allclose(scores, full[docs])
+
+
 # --- decontamination ------------------------------------------------------------------------------------
 
 
