@@ -161,11 +161,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union of their full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    met = pairs.join(_merged(left), "a").join(_merged(right), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("both")
     return met.filter(100 * F.col("both") >= similarity * union).select("a", "b")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Joined by sorting at every size. These tables are joined over and over; small ones would else be broadcast each
+    time, and the driver would hold all of them until it collects its garbage."""
+    return rows.hint("merge")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
     similarity: int = SIMILARITY, permutations: int = PERMUTATIONS, rows: int = ROWS,
@@ -192,29 +198,27 @@ def near_duplicates(
     signed = landed(docs.mapInArrow(_signer(shingle, permutations, rows), SIGNED), "signatures")
     # written, so that the join with it at the end can be split on a class of very many copies
     classes = landed(signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.filter("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    reps = signed.filter("n > 0").join(_merged(classes.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     members = reps.select(F.col("id").alias("rep"), F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(
         F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("rep")).alias("print"),
     ).filter("center <> last")
     buckets = buckets.groupBy("center", "last", "size", "print").agg(F.min("bucket").alias("bucket"))
-    members = landed(members.join(buckets.select("bucket", "center", "size"), "bucket"), "buckets")
+    members = landed(members.join(_merged(buckets.select("bucket", "center", "size")), "bucket"), "buckets")
     involved = members.select(F.col("rep").alias("id")).distinct()
-    facts = landed(reps.join(involved, "id", "left_semi").select(F.col("id").alias("rep"), "n", "sketch"), "facts")
+    facts = landed(reps.join(_merged(involved), "id", "left_semi").select(F.col("id").alias("rep"), "n", "sketch"), "facts")
     stars = members.filter("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     tested = landed(_possible(stars, facts, similarity), "pairs")
-    # the same plan at every size: the list of ids grows with the input, so it is not broadcast
-    sets = docs.join(involved.hint("merge"), "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>")
+    sets = docs.join(_merged(involved), "id", "left_semi").mapInArrow(_sets(shingle), "id long, grams array<long>")
     sets = landed(sets, "sets")
     links = landed(confirm(tested, sets, similarity), "links")
     labels = components(links)
     top = 1
     while True:
         pairs = landed(_apart(members, labels, facts, similarity, top), "apart")
-        fresh = landed(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        fresh_count = fresh.count()
-        if fresh_count:
+        fresh = landed(pairs.select("a", "b").distinct().join(_merged(tested), ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
             confirmed = landed(confirm(fresh, sets, similarity), "links")
             tested = tested.union(fresh)
             if not confirmed.isEmpty():
@@ -223,8 +227,8 @@ def near_duplicates(
         elif pairs.filter("more").isEmpty():
             break
         top *= 4
-    rows_out = signed.join(classes, ["n", "h1", "h2"], "left")
-    rows_out = rows_out.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    rows_out = signed.join(_merged(classes), ["n", "h1", "h2"], "left")
+    rows_out = rows_out.join(_merged(labels.select(F.col("node").alias("rep"), "label")), "rep", "left")
     component = F.coalesce("label", "rep", "id")
     return rows_out.select(
         given_id("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -235,15 +239,16 @@ def near_duplicates(
 def _possible(pairs: DataFrame, facts: DataFrame, similarity: int) -> DataFrame:
     left = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_likely(similarity), "a long, b long")
+    return pairs.join(_merged(left), "a").join(_merged(right), "b").mapInArrow(_likely(similarity), "a long, b long")
 
 
 def _apart(members: DataFrame, labels: DataFrame, facts: DataFrame, similarity: int, top: int) -> DataFrame:
     """Likely pairs (a, b) of different components that share a bucket. (In one of two, the pair was tested.)"""
-    named = members.filter("size > 2").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    named = members.filter("size > 2").join(_merged(labels.select(F.col("node").alias("rep"), "label")), "rep", "left")
     named = named.withColumn("label", F.coalesce("label", "rep"))
     mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    named = named.join(mixed.select("bucket"), "bucket", "left_semi").join(facts, "rep")
+    # not merged: beside the sum over buckets a join by sorting can't be split, and a crowded bucket would be one task
+    named = named.join(mixed.select("bucket"), "bucket", "left_semi").join(_merged(facts), "rep")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     spread = named.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

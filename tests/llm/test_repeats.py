@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.llm import arrays as A
-from evalspark.llm import anchors, minhash, substring, suffix
+from evalspark.llm import anchors, minhash, store, substring, suffix
 
 from . import brute, tables
 
@@ -79,6 +79,40 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert rows == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False)]
 
 
+def test_near_duplicates_broadcast_no_tables(spark, docs, monkeypatch):
+    """The driver gets no table of the step, however small; but for the buckets that are still apart, once a round."""
+    plans, write = [], store.landed
+
+    def landed(df, purpose):
+        df.collect()
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, purpose)
+
+    monkeypatch.setattr(minhash, "landed", landed)
+    monkeypatch.setattr(store, "landed", landed)
+    landed(minhash.near_duplicates(tables.frame(spark, docs)), "test")
+    assert len(plans) > 8 and not any("Broadcast" in plan for purpose, plan in plans if purpose != "apart")
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """One step for what is no star, none for stars; the same components as a plain search finds."""
+    steps, write = [], store.landed
+    monkeypatch.setattr(store, "landed", lambda df, purpose: steps.append(purpose) or write(df, purpose))
+    stars = [(i, i % 3) for i in range(3, 30)] + [(5, 5), (3, 0)]
+    found = {r.node: r.label for r in store.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert found == {i: i % 3 for i in range(3, 30)} and len(steps) == 1
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(500 + i, 501 + i) for i in range(40)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    found = {r.node: r.label for r in store.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: least for x, least in label.items() if x != least}
+    assert store.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 @pytest.mark.parametrize(("partners", "part_size"), [(64, 16384), (1, 16384), (1, 3)])
 def test_repeated_passages(spark, docs, partners, part_size):
     want = brute.substring(named(docs))
