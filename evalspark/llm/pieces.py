@@ -422,8 +422,9 @@ def _rows(pieces: Pieces, words: Words, offs: np.ndarray, keys: np.ndarray, samp
         )
 
 
-def _encoder(pieces: Pieces, samples: int, seed: int):
+def _encoder(pieces: Pieces, samples: int, seed: int, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _joined(pieces) if decoded else None
         for batch in batches:
             keys = A.ids(batch.column("id"))
             for lo, hi, raw, offs in A.byte_groups(batch.column("text"), GROUP):
@@ -435,7 +436,8 @@ def _encoder(pieces: Pieces, samples: int, seed: int):
                 offs = offs + np.concatenate(([0], shift))
                 words = words_of(pieces, buf, offs)
                 for a, b in _slices(offs):
-                    yield from _rows(pieces, words, offs[a : b + 1], keys[lo + a : lo + b], samples, seed)
+                    for rows in _rows(pieces, words, offs[a : b + 1], keys[lo + a : lo + b], samples, seed):
+                        yield rows.append_column("decoded", _texts(*vocabulary, rows.column("ids"))) if decoded else rows
 
     return run
 
@@ -454,9 +456,10 @@ def _ids(pieces: Pieces, net: Lattice, buf: np.ndarray, edge: np.ndarray) -> tup
 
 def encode(
     documents: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES,
-    seed: int = SEED,
+    seed: int = SEED, decoded: bool = False,
 ) -> DataFrame:
-    """One row per text and sample (from 0): id, sample, ids, log_prob, log_inclusion.
+    """One row per text and sample (from 0): id, sample, ids, log_prob, log_inclusion; `decoded` adds what `decode` gives,
+    in the same task, so the ids need not go to another one.
 
     The samples of a text are distinct segmentations drawn without replacement by Gumbel top-k: all
     segmentations are perturbed, the best sets are followed first, and log_inclusion is the log probability
@@ -469,14 +472,29 @@ def encode(
     id and text give the same samples each; a null id is a key like others and comes back as null.
     """
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.mapInArrow(_encoder(pieces, samples, seed), ENCODED)
+    rows = docs.mapInArrow(_encoder(pieces, samples, seed, decoded), ENCODED + ", decoded string" * decoded)
     return rows.withColumn("id", given_id("id")).withColumnRenamed("id", id_col)
 
 
+def _joined(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids one after the other, and their offsets."""
+    return np.frombuffer(b"".join(pieces.texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in pieces.texts])))
+
+
+def _texts(joined: np.ndarray, at: np.ndarray, lists: pa.ListArray) -> pa.Array:
+    """The text of each list of ids, without the space put before it."""
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = at[ids + 1] - at[ids]
+    take = np.arange(size.sum()) + np.repeat(at[ids] - (np.cumsum(size) - size), size)
+    rows = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    cuts = np.concatenate(([0], np.cumsum(size)))[rows]
+    data = joined[take].tobytes()
+    return pa.array([data[a + (data[a : a + 1] == b" ") : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+
+
 def _decoder(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = np.frombuffer(b"".join(pieces.texts), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(t) for t in pieces.texts])))
+        joined, at = _joined(pieces)
         for whole in batches:
             ends = np.cumsum(whole.column("__ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             lo = 0
@@ -485,17 +503,8 @@ def _decoder(pieces: Pieces):
                 hi = max(int(np.searchsorted(ends, before + SLICE, "right")), lo + 1)
                 batch = whole.slice(lo, hi - lo)
                 lo = hi
-                lists = batch.column("__ids").fill_null([])
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = at[ids + 1] - at[ids]
-                take = np.arange(size.sum()) + np.repeat(at[ids] - (np.cumsum(size) - size), size)
-                rows = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-                cuts = np.concatenate(([0], np.cumsum(size)))[rows]
-                data = joined[take].tobytes()
-                texts = [data[a + (data[a : a + 1] == b" ") : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"]
-                )
+                texts = _texts(joined, at, batch.column("__ids").fill_null([]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], "decoded"])
 
     return run
 

@@ -30,7 +30,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load()
-    rows = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model, decoded=True)
     return rows.select(
         "doc_id", "sample", F.size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evalspark.llm import pieces
+from evalspark.llm import pieces, queries
 
 from . import tables
 
@@ -106,3 +106,15 @@ def test_best_left_options_equal_a_plain_search(model):
     got = pieces._truncated(walked.second, walked.least, np.zeros(len(top)), top)
     some = np.isfinite(walked.second)
     assert some.any() and np.allclose(got[some], want[some]) and np.isneginf(got[~some]).all()
+
+
+def test_decoded_in_the_same_task(spark, model):
+    """What the encoder decodes itself is what `decode` gives, with one Python step in the plan; so in the query."""
+    docs = tables.documents() | {83: "emoji 🙂 漢字 \x00", 84: "x" * 5000, 85: "\ufffd  two"}
+    frame = tables.frame(spark, docs)
+    found = pieces.encode(frame, model, decoded=True)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.sample)
+    assert sorted(found.collect(), key=key) == sorted(pieces.decode(pieces.encode(frame, model), model).collect(), key=key)
+    plan = queries.op4_sentencepiece(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert pieces.encode(tables.empty(spark), model, decoded=True).collect() == []
