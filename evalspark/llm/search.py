@@ -1,4 +1,5 @@
-"""Exact top-k search by BM25: inverted indexes per shard, block-max pruning, one exact merge."""
+"""Exact top-k search by BM25: tokens written once, all scores of a shard at once by matrix product and postings in single
+precision, exact scores for what may be among the best, one exact merge."""
 
 from __future__ import annotations
 
@@ -15,11 +16,17 @@ from .store import given_id, landed, row_id
 
 TOP = 10
 K1, B = 1.2, 0.75
-BLOCK = 64  # documents of a shard under one bound
 QUERY_TERMS = 1 << 21  # terms of all queries of one pass, about; bounds what travels to the executors
-FIRST_BLOCKS = 2  # blocks that are scored first, to learn how good a document must be
-
-VECTOR = "query long, terms array<long>"
+DOCUMENTS, POSTINGS = 1024, 1 << 20  # of a shard, at most (a longer document is a shard of its own): it stays in the cache
+COMMON = 512  # terms of a pass, at most, that are multiplied as a matrix
+OFTEN = 1 / 256  # and the least share of (query, document) pairs that have such a term on both sides
+SCORES, STEP = 1 << 19, 1 << 16  # scores of queries by documents, and postings, that are worked on at once
+GROUPS = 256  # of a shard's documents, the best of each tells how good a document must be
+SLACK = 1e-4  # more than twice what a sum of COMMON terms in single precision is off by, as a share of it
+WAITING = 1 << 20  # documents that may be among the best of a query, held until they are scored exactly
+FIRST = 8  # one in so many files is searched first, to learn how good a document must be
+
+VECTOR = "id long, size long, terms binary, times binary"
 HIT = "query long, doc long, score double"
 
 
@@ -31,14 +38,34 @@ class Queries(NamedTuple):
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the number of words, the sorted hashes of its distinct words, and how often each stands there."""
     for batch in batches:
         ids = A.ids(batch.column("id"))
         for lo, hi, buf, offs in A.byte_groups(batch.column("text")):
             words, _, _, at = A.words(A.LOWER[buf], offs, A.PUNCTUATION)
-            sets = [np.unique(words[i:j]) for i, j in zip(at[:-1], at[1:])]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            terms = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([A.EMPTY, *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), terms], names=["query", "terms"])
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                words[i:j].sort()
+            new = np.ones(len(words), bool)
+            new[1:] = words[1:] != words[:-1]
+            new[at[:-1][np.diff(at) > 0]] = True
+            head = np.flatnonzero(new)
+            ends = np.searchsorted(head, at)
+            times = np.diff(np.append(head, len(words))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[lo:hi]), pa.array(np.diff(at)), _blobs(words[head], ends), _blobs(times, ends)],
+                names=["id", "size", "terms", "times"],
+            )
+
+
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of blobs, and the offset of each row."""
+    buf, offs = A.text_buffer(column)
+    return buf[offs[0] : offs[-1]].view(kind), (offs - offs[0]) // np.dtype(kind).itemsize
 
 
 class _Terms:
@@ -72,20 +99,11 @@ class _Terms:
         return place[hit], term[hit]
 
 
-def _postings(column: pa.Array, known: _Terms):
-    """(row, term, times) of the query terms in a batch, by row, and the number of words of each row."""
-    rows, found, times, sizes = [], [], [], []
-    for lo, _, buf, offs in A.byte_groups(column):
-        words, _, _, at = A.words(A.LOWER[buf], offs, A.PUNCTUATION)
-        place, term = known.find(words)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))[place]
-        pair, count = np.unique(row * len(known.terms) + term, return_counts=True)
-        own = pair // len(known.terms)
-        rows.append(own + lo)
-        found.append(pair - own * len(known.terms))
-        times.append(count)
-        sizes.append(np.diff(at))
-    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, found, times, sizes))
+def _found(batch: pa.RecordBatch, known: _Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where in a batch of vectors query terms stand: places among all terms, rows, and the terms."""
+    words, at = _values(batch.column("terms"), A.U)
+    place, term = known.find(words)
+    return place, np.repeat(np.arange(batch.num_rows), np.diff(at))[place], term
 
 
 def _frequencies(terms: np.ndarray):
@@ -94,90 +112,192 @@ def _frequencies(terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = _Terms(terms), np.zeros(len(terms), np.int64)
         for batch in batches:
-            _, term, _, _ = _postings(batch.column("text"), known)
-            total += np.bincount(term, minlength=len(terms))
+            total += np.bincount(_found(batch, known)[2], minlength=len(terms))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
 
     return run
 
 
+class Asked:
+    """Queries as a shard takes them: the columns of their common terms, and the others."""
+
+    def __init__(self, queries: Queries, common: np.ndarray):
+        self.common = common
+        column = np.full(len(queries.terms), -1, np.int32)
+        column[common] = np.arange(len(common))
+        column = column[queries.term]
+        query = np.repeat(np.arange(len(queries.at) - 1), np.diff(queries.at))
+        is_common = column >= 0
+        self.query, self.term = query[~is_common], queries.term[~is_common]
+        self.common_query, self.column = query[is_common], column[is_common]
+        ends = np.arange(len(queries.at))
+        self.at, self.common_at = np.searchsorted(self.query, ends), np.searchsorted(self.common_query, ends)
+
+
 class Shard:
-    """The inverted index of some documents: postings by term, then block, with the greatest impact of each
-    (term, block) cell."""
+    """Some documents with the impacts of the query terms in them: by document, by term, and as a matrix with a row for
+    each of the `common` terms. `rows` ascend, and the terms of a row."""
 
-    def __init__(self, rows, term, times, sizes, idf, mean):
+    def __init__(self, rows, term, times, sizes, idf, mean, common=()):
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(len(sizes), K1)
         impact = idf[term] * times * (K1 + 1) / (times + norm[rows])
-        order = np.argsort(term, kind="stable")
+        self.n = len(sizes)
+        self.terms, self.impacts = term, impact
+        self.rows = np.searchsorted(rows, np.arange(self.n + 1))
+        order = np.argsort(term * self.n + rows)
         self.doc, self.impact, term = rows[order], impact[order], term[order]
-        self.blocks = -(-len(sizes) // BLOCK)
-        cell = term * self.blocks + self.doc // BLOCK
-        heads = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else cell
-        self.postings = np.append(heads, len(cell))
-        self.block = cell[heads] % self.blocks if len(cell) else cell
-        self.bound = np.maximum.reduceat(self.impact, heads) if len(cell) else self.impact
-        self.cells = np.searchsorted(cell[heads] // self.blocks if len(cell) else cell, np.arange(len(idf) + 1))
+        self.single = self.impact.astype(np.float32)
+        head = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else term
+        self.there = term[head]  # the terms that stand here, and the first posting of each and of none
+        self.at = np.append(head, len(term))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        for one, x in zip(self.matrix, self._lists(np.asarray(common, np.int64))):
+            one[self.doc[x]] = self.single[x]
+        self.asked = np.zeros(len(idf), bool)
+
+    def _lists(self, terms: np.ndarray) -> list[slice]:
+        """The postings of each term."""
+        return [slice(a, b) for a, b in zip(*(self.at[np.searchsorted(self.there, terms, side)].tolist() for side in ("left", "right")))]
+
+    def places(self) -> np.ndarray:
+        """For each term its place among those that stand here, or one more than these are."""
+        out = np.full(len(self.asked), len(self.there), np.int32)
+        out[self.there] = np.arange(len(self.there))
+        return out
+
+    def scores(self, asked: Asked, places: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Scores of queries `lo` to `hi` for all documents in single precision, each at most half of SLACK off."""
+        common = np.zeros((hi - lo, len(self.matrix)), np.float32)
+        own = slice(asked.common_at[lo], asked.common_at[hi])
+        common[asked.common_query[own] - lo, asked.column[own]] = 1
+        out = common @ self.matrix
+        own = slice(asked.at[lo], asked.at[hi])
+        place, query = places[asked.term[own]], asked.query[own] - lo
+        here = np.flatnonzero(place < len(self.there))
+        place, query = place[here], query[here]
+        start, n = self.at[place], self.at[place + 1] - self.at[place]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")), i + 1)
+            before = ends[i:j] - n[i:j]
+            post = np.arange(before[0], ends[j - 1]) + np.repeat(start[i:j] - before, n[i:j])
+            first, last = query[i], query[j - 1]
+            cell = self.doc[post] + np.repeat((query[i:j] - first) * self.n, n[i:j])
+            out[first : last + 1] += np.bincount(cell, self.single[post], (last + 1 - first) * self.n).reshape(-1, self.n)
+            i = j
+        return out
+
+    def exact(self, terms: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of some rows. The terms of a document are added up in one order, so equal texts have equal scores."""
+        if 8 * len(rows) > self.n:  # whole lists of postings cost less, and give the same scores
+            lists = self._lists(terms)
+            docs, impacts = np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.impact[x] for x in lists])
+            return np.bincount(docs, impacts, self.n)[rows]
+        n = self.rows[rows + 1] - self.rows[rows]
+        post = np.arange(n.sum()) + np.repeat(self.rows[rows] - (np.cumsum(n) - n), n)
+        self.asked[terms] = True
+        hit = self.asked[self.terms[post]]
+        self.asked[terms] = False
+        return np.bincount(np.repeat(np.arange(len(rows)), n)[hit], self.impacts[post[hit]], len(rows))
 
     def top(self, terms: np.ndarray, k: int, floor: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of at least `floor`, the best k and all that tie with the last. Blocks whose bounds
-        add up to less than the k-th best score so far are never scored."""
-        count = self.cells[terms + 1] - self.cells[terms]
-        cell = np.arange(count.sum()) + np.repeat(self.cells[terms] - (np.cumsum(count) - count), count)
-        if not len(cell):
-            return cell, np.empty(0)
-        bound = np.bincount(self.block[cell], self.bound[cell], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        docs, scores = np.empty(0, np.int64), np.empty(0)
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            part = part[(bound[part] > 0) & (bound[part] >= floor - 1e-9)]
-            if not len(part):
+        """Rows and scores of at least `floor`, the best k and all that tie with the last."""
+        rows = np.setdiff1d(self.doc[np.concatenate([np.empty(0, np.int64), *(np.r_[x] for x in self._lists(terms))])], skip)
+        scores = self.exact(terms, rows)
+        if len(scores) >= k:
+            floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
+        return rows[scores >= floor - 1e-9], scores[scores >= floor - 1e-9]
+
+
+class Best:
+    """The best k documents of each query so far. What single precision cannot rule out waits to be scored exactly."""
+
+    def __init__(self, queries: Queries, common: np.ndarray, k: int, floors: np.ndarray):
+        self.queries, self.asked, self.k = queries, Asked(queries, common), k
+        self.best: list[tuple] = [(np.empty(0, np.int64), np.empty(0))] * len(queries.ids)
+        self.floors = floors.copy()  # exact scores that k documents reach
+        self.about = np.zeros((len(floors), k), np.float32)  # the best in single precision, of documents of their own each
+        self.waiting: list[tuple] = []  # shard and ids, then query, row and score of each document
+        self.n = 0
+
+    def _least(self, lo: int, hi: int) -> np.ndarray:
+        least = np.maximum(self.floors[lo:hi], self.about[lo:hi].min(axis=1)) * (1 - SLACK)
+        return np.maximum(least, np.finfo(np.float32).tiny)
+
+    def add(self, shard: Shard, ids: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        low, high = (np.searchsorted(ids[order], self.queries.ids, side) for side in ("left", "right"))
+        own = np.flatnonzero(low < high)
+        group, places = max(1, SCORES // shard.n), shard.places()
+        for lo in range(0, len(self.best), group):
+            hi = min(lo + group, len(self.best))
+            score = shard.scores(self.asked, places, lo, hi)
+            for q in own[(own >= lo) & (own < hi)].tolist():
+                score[q - lo, order[low[q] : high[q]]] = 0
+            some = np.flatnonzero(score.max(axis=1) >= self._least(lo, hi))
+            if not len(some):
                 continue
-            wanted = np.zeros(self.blocks, bool)
-            wanted[part] = True
-            own = cell[wanted[self.block[cell]]]
-            if 4 * len(own) > len(cell):  # few are left out: whole lists of postings cost less, and give the same scores
-                ends = zip(self.postings[self.cells[terms]].tolist(), self.postings[self.cells[terms + 1]].tolist())
-                lists = [slice(a, b) for a, b in ends if a < b]
-                score = np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.impact[x] for x in lists]))
-                docs, scores = np.empty(0, np.int64), np.empty(0)
-            else:
-                n = self.postings[own + 1] - self.postings[own]
-                post = np.arange(n.sum()) + np.repeat(self.postings[own] - (np.cumsum(n) - n), n)
-                score = np.bincount(self.doc[post], self.impact[post])
-            some = np.flatnonzero(score)
-            some = some[~np.isin(some, skip)] if len(skip) else some
-            docs, scores = np.concatenate((docs, some)), np.concatenate((scores, score[some]))
-            if len(scores) >= k:
-                floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-        good = scores >= floor - 1e-9
-        return docs[good], scores[good]
-
-
-def _searcher(queries: Queries, idf: np.ndarray, mean: float, k: int):
+            score = score[some]
+            groups = min(shard.n, max(GROUPS, 4 * self.k))
+            best = score[:, : shard.n // groups * groups].reshape(len(some), -1, groups).max(axis=1)
+            best = np.concatenate((self.about[lo + some], best), axis=1)
+            self.about[lo + some] = np.partition(best, -self.k, axis=1)[:, -self.k :]
+            query, row = np.nonzero(score >= self._least(lo, hi)[some][:, None].astype(np.float32))
+            self.waiting.append((shard, ids, lo + some[query], row, score[query, row]))
+            self.n += len(row)
+            if self.n > WAITING:
+                self.settle()
+
+    def settle(self) -> None:
+        """Score exactly what still may be among the best."""
+        terms, at = self.queries.term, self.queries.at
+        for shard, ids, query, row, score in self.waiting:
+            least = self._least(0, len(self.best))
+            keep = score >= least[query].astype(np.float32)
+            query, row = query[keep], row[keep]
+            head = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else query
+            for i, j in zip(head.tolist(), [*head[1:].tolist(), len(query)]):
+                q, rows = query[i], row[i:j]
+                docs, scores = self.best[q]
+                scores = np.concatenate((scores, shard.exact(terms[at[q] : at[q + 1]], rows)))
+                docs = np.concatenate((docs, ids[rows]))
+                keep = np.lexsort((docs, -scores))[: self.k]
+                keep = keep[scores[keep] >= self.floors[q] - 1e-9]
+                self.best[q] = docs[keep], scores[keep]
+                if len(keep) == self.k:
+                    self.floors[q] = max(self.floors[q], scores[keep[-1]])
+        self.waiting, self.n = [], 0
+
+
+def _shards(batch: pa.RecordBatch, known: _Terms, idf: np.ndarray, mean: float, common: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+    """A batch of vectors in shards, and the ids of their documents."""
+    ids = A.ids(batch.column("id"))
+    place, rows, term = _found(batch, known)
+    times, sizes = _values(batch.column("times"), np.int32)[0][place], batch.column("size").to_numpy()
+    at = np.searchsorted(rows, np.arange(len(sizes) + 1))
+    lo = 0
+    while lo < len(sizes):
+        hi = min(max(int(np.searchsorted(at, at[lo] + POSTINGS, "right")) - 1, lo + 1), lo + DOCUMENTS, len(sizes))
+        own = slice(at[lo], at[hi])
+        yield Shard(rows[own] - lo, term[own], times[own], sizes[lo:hi], idf, mean, common), ids[lo:hi]
+        lo = hi
+
+
+def _searcher(queries: Queries, idf: np.ndarray, mean: float, common: np.ndarray, k: int, floors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Terms(queries.terms)
-        best: list[tuple] = [(np.empty(0, np.int64), np.empty(0))] * len(queries.ids)
+        known, found = _Terms(queries.terms), Best(queries, common, k, floors)
         for batch in batches:
-            ids = A.ids(batch.column("id"))
-            shard = Shard(*_postings(batch.column("text"), known), idf, mean)
-            order = np.argsort(ids, kind="stable")
-            low, high = np.searchsorted(ids[order], queries.ids), np.searchsorted(ids[order], queries.ids, "right")
-            for q in range(len(queries.ids)):
-                docs, scores = best[q]
-                floor = scores.min() if len(scores) >= k else 0.0
-                terms = queries.term[queries.at[q] : queries.at[q + 1]]
-                rows, found = shard.top(terms, k, floor, order[low[q] : high[q]])
-                if len(rows):
-                    docs, scores = np.concatenate((docs, ids[rows])), np.concatenate((scores, found))
-                    keep = np.lexsort((docs, -scores))[:k]
-                    best[q] = docs[keep], scores[keep]
-        size = [len(d) for d, _ in best]
+            for shard, ids in _shards(batch, known, idf, mean, common):
+                found.add(shard, ids)
+            found.settle()
+        size = [len(d) for d, _ in found.best]
         if sum(size):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(queries.ids, size)), pa.array(np.concatenate([d for d, _ in best])),
-                    pa.array(np.concatenate([s for _, s in best])),
+                    pa.array(np.repeat(queries.ids, size)), pa.array(np.concatenate([d for d, _ in found.best])),
+                    pa.array(np.concatenate([s for _, s in found.best])),
                 ],
                 names=["query", "doc", "score"],
             )
@@ -195,9 +315,9 @@ def search(
     frequencies are those of all documents. A query does not find rows with its own id. Ties go to the lesser
     id; documents that share no word with the query are not results. Queries without words have no rows.
 
-    Queries pass over the documents in blocks of about `query_terms` terms, the only thing that travels to
-    the tasks. A task indexes each batch of its documents as a shard and keeps its k best by query; a block of
-    documents is scored only if its bound reaches the k-th score so far. The tasks' lists merge exactly, as
+    Texts are cut into words once; the vectors are written to the shared folder. Queries pass over them in blocks of
+    about `query_terms` terms, the only thing that travels to the tasks. A task takes each batch of its documents as a
+    shard and keeps its k best by query; each pass writes what it found. The tasks' lists merge exactly, as
     all were scored with the same statistics. Null and empty texts are documents without words. Query rows
     that share an id are one query with the greatest of their texts; documents that share one are found each.
     """
@@ -205,40 +325,38 @@ def search(
     docs = documents.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = queries.select(row_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = landed(asked.groupBy("id").agg(F.max("text").alias("text")).mapInArrow(_vectors, VECTOR), "queries")
-    size = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    count = docs.mapInArrow(_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    size = asked.agg(F.expr("sum(octet_length(terms)) div 8")).first()[0] or 0
+    docs = landed(docs.mapInArrow(_vectors, VECTOR), "vectors")
+    count = docs.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     found = None
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    # by the number of the file, part-NNNNN
+    first = F.coalesce(F.substring("_metadata.file_name", 6, 5).try_cast("int") % FIRST == 0, F.lit(False))
     passes = -(-size // query_terms)
     for number in range(passes):
-        block = asked.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == number).orderBy("query").toArrow()
-        terms = block.column("terms").combine_chunks() if block.num_rows else None
-        if terms is None or not len(terms.flatten()):
+        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).orderBy("id").toArrow()
+        words, at = _values(block.column("terms"), A.U)
+        if not len(words):
             continue
-        known, place = np.unique(terms.flatten().to_numpy().view(np.uint64), return_inverse=True)
-        at = np.concatenate(([0], np.cumsum(terms.value_lengths().to_numpy())))
-        df = docs.mapInArrow(_frequencies(known), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        known, place = np.unique(words, return_inverse=True)
+        df = docs.select("terms").mapInArrow(_frequencies(known), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         seen = np.zeros(len(known))
         seen[df.column("term").to_numpy()] = df.column("df").to_numpy()
         idf = np.log1p((count["n"] - seen + 0.5) / (seen + 0.5))
-        vectors = Queries(block.column("query").to_numpy(), at, place, known)
-        hits = docs.mapInArrow(_searcher(vectors, idf, count["words"] / max(count["n"], 1), k), HIT)
-        found = hits if found is None else found.union(hits)
+        vectors = Queries(block.column("id").to_numpy(), at, place, known)
+        mean = (count["words"] or 0) / max(count["n"], 1)
+        both = seen / max(count["n"], 1) * (np.bincount(place) / block.num_rows)  # the share of pairs that have a term
+        common = np.argsort(-both, kind="stable")[:COMMON]
+        common = np.sort(common[both[common] >= OFTEN])
+        floors = np.zeros(block.num_rows)
+        for part in (first, ~first):
+            hits = landed(docs.filter(part).mapInArrow(_searcher(vectors, idf, mean, common, k, floors), HIT), "hits")
+            found = hits if found is None else found.union(hits)
+            if part is first:
+                last = hits.withColumn("rank", best).filter(F.col("rank") == k).toArrow()
+                floors[np.searchsorted(vectors.ids, last.column("query").to_numpy())] = last.column("score").to_numpy()
     if found is None:
         found = spark.createDataFrame([], HIT)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
-    return ranked.filter(F.col("rank") <= k).select(
+    return found.withColumn("rank", best).filter(F.col("rank") <= k).select(
         given_id("query").alias("query_id"), "rank", given_id("doc").alias(id_col), "score"
     )
-
-
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = words = 0
-    for batch in batches:
-        n += batch.num_rows
-        for _, _, buf, offs in A.byte_groups(batch.column("text")):
-            inside = np.zeros(len(buf) + 1, bool)
-            inside[1:] = ~A.PUNCTUATION[buf]
-            edge = np.zeros(len(buf) + 1, bool)
-            edge[offs] = True
-            words += int((inside[1:] & (~inside[:-1] | edge[:-1])).sum())
-    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([words])], names=["n", "words"])

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 
@@ -412,6 +413,60 @@ def test_whole_lists_and_single_blocks_give_the_same_scores():
         assert np.array_equal(np.sort(docs), want) and np.allclose(scores, full[docs])
 
 
+def test_only_what_can_be_among_the_best_is_scored_exactly(monkeypatch):
+    """All pairs in single precision, over several shards with common and rare terms, equal texts among them; few exactly."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(search, "DOCUMENTS", 300)
+    monkeypatch.setattr(search, "STEP", 500)
+    hashes = np.sort(rng.integers(0, 2**63, 400, np.uint64))
+    share = np.where(np.arange(400) < 20, 0.6, 0.05)
+    texts = [np.flatnonzero(rng.random(400) < share) for _ in range(2000)]
+    texts[700:740] = [texts[5]] * 40  # more than k that tie
+    texts[13] = texts[1500] = np.empty(0, np.int64)
+    times = [rng.integers(1, 5, len(x)) for x in texts]
+    times[700:740] = [times[5]] * 40
+    ids = rng.permutation(2000)
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    batch = pa.record_batch({
+        "id": ids, "size": np.array([x.sum() for x in times]),
+        "terms": search._blobs(hashes[np.concatenate(texts)], ends), "times": search._blobs(np.concatenate(times).astype(np.int32), ends),
+    })
+    asked = [5, 13, *range(0, 2000, 40)]
+    at = np.concatenate(([0], np.cumsum([len(texts[i]) for i in asked])))
+    queries = search.Queries(ids[asked], at, np.concatenate([texts[i] for i in asked]), hashes)
+    idf, mean, common = rng.random(400) + 0.1, 60.0, np.arange(20)
+    norm = search.K1 * (1 - search.B + search.B * batch.column("size").to_numpy() / mean)
+    full = np.zeros((2000, 400))
+    for row, (x, n) in enumerate(zip(texts, times)):
+        full[row, x] = idf[x] * n * (search.K1 + 1) / (n + norm[row])
+    want = {}
+    for i in asked:
+        score = full[:, texts[i]].sum(axis=1)
+        score[ids == ids[i]] = 0
+        order = sorted(np.flatnonzero(score), key=lambda row: (-round(score[row], 9), ids[row]))[:10]
+        want[int(ids[i])] = [(int(ids[row]), pytest.approx(score[row])) for row in order]
+    scored, exact = [], search.Shard.exact
+    monkeypatch.setattr(search.Shard, "exact", lambda self, terms, rows: (scored.append(len(rows)), exact(self, terms, rows))[1])
+    for floors in (np.zeros(len(asked)), np.array([want[i][-1][1].expected if want[i] else 0.0 for i in ids[asked].tolist()])):
+        for known in (common, np.empty(0, np.int64)):
+            scored.clear()
+            found = search._searcher(queries, idf, mean, known, 10, floors)(iter([batch.slice(0, 1100), batch.slice(1100)]))
+            got = {}
+            for r in pa.Table.from_batches(found).to_pylist():
+                got.setdefault(r["query"], []).append((r["doc"], r["score"]))
+            assert got == {i: w for i, w in want.items() if w}
+            assert sum(scored) < 0.02 * len(asked) * len(texts)
+
+
+def test_search_over_many_files(spark):
+    """The best of some files are the bar for the others; texts that tie come from both."""
+    rows = [(i, " ".join(f"w{(i * j) % 83}" for j in range(1, 30)) if i % 7 else "the same text in many") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, search.search(df.repartition(n), df.filter("doc_id % 20 = 0"), k=4).collect())) for n in (20, 1)]
+    assert found[0] == found[1] and len(found[0]) == 80
+    assert [r[2] for r in found[0] if r[0] == 140] == [0, 7, 14, 21]
+
+
 # --- decontamination ------------------------------------------------------------------------------------
 
 
