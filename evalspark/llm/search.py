@@ -4,6 +4,7 @@ precision, exact scores for what may be among the best, one exact merge."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -17,13 +18,12 @@ from .store import given_id, landed, row_id
 TOP = 10
 K1, B = 1.2, 0.75
 QUERY_TERMS = 1 << 21  # terms of all queries of one pass, about; bounds what travels to the executors
-DOCUMENTS, POSTINGS = 1024, 1 << 20  # of a shard, at most (a longer document is a shard of its own): it stays in the cache
-COMMON = 512  # terms of a pass, at most, that are multiplied as a matrix
+POSTINGS = 1 << 22  # of a shard, at most (a longer document is a shard of its own)
+COMMON, NUMBERS = 512, 1 << 24  # terms of a pass, at most, that are multiplied as a matrix, and numbers in it
 OFTEN = 1 / 256  # and the least share of (query, document) pairs that have such a term on both sides
-SCORES, STEP = 1 << 19, 1 << 16  # scores of queries by documents, and postings, that are worked on at once
-GROUPS = 256  # of a shard's documents, the best of each tells how good a document must be
+SCORES, STEP = 1 << 20, 1 << 16  # scores of documents by queries, and products, that are worked on at once
 SLACK = 1e-4  # more than twice what a sum of COMMON terms in single precision is off by, as a share of it
-WAITING = 1 << 20  # documents that may be among the best of a query, held until they are scored exactly
+WAITING = 1 << 21  # documents that may be among the best of a query, held until they are scored exactly
 FIRST = 8  # one in so many files is searched first, to learn how good a document must be
 
 VECTOR = "id long, size long, terms binary, times binary"
@@ -106,6 +106,11 @@ def _found(batch: pa.RecordBatch, known: _Terms) -> tuple[np.ndarray, np.ndarray
     return place, np.repeat(np.arange(batch.num_rows), np.diff(at))[place], term
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_values(batch.column("terms"), A.U)[0]).view(np.int64))], names=["term"])
+
+
 def _frequencies(terms: np.ndarray):
     """Per task: in how many documents each query term stands."""
 
@@ -114,85 +119,113 @@ def _frequencies(terms: np.ndarray):
         for batch in batches:
             total += np.bincount(_found(batch, known)[2], minlength=len(terms))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms[some].view(np.int64)), pa.array(total[some])], names=["term", "df"])
 
     return run
 
 
+def _among(terms: np.ndarray):
+    """Frequencies of these terms only, by their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Terms(terms)
+        for batch in batches:
+            row, term = known.find(batch.column("term").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(term), batch.column("df").take(pa.array(row))], names=["term", "df"])
+
+    return run
+
+
+def _document_frequencies(docs: DataFrame, asked: DataFrame, at_once: int) -> DataFrame:
+    """(term, df) of every term of the queries that stands in a document, counted for about `at_once` terms a pass."""
+    words = landed(asked.mapInArrow(_terms, "term long").distinct(), "terms")
+    passes = -(-words.count() // at_once)
+    parts = []
+    for number in range(passes):
+        some = words.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == number).toArrow().column("term")
+        if len(some):
+            counts = docs.select("terms").mapInArrow(_frequencies(np.sort(some.to_numpy().view(np.uint64))), "term long, df long")
+            parts.append(landed(counts.groupBy("term").agg(F.sum("df").alias("df")), "frequencies"))
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], "term long, df long")
+
+
 class Asked:
-    """Queries as a shard takes them: the columns of their common terms, and the others."""
+    """An index of the queries: for each term those that have it, the common terms as a matrix, a row for each."""
 
     def __init__(self, queries: Queries, common: np.ndarray):
-        self.common = common
-        column = np.full(len(queries.terms), -1, np.int32)
-        column[common] = np.arange(len(common))
-        column = column[queries.term]
-        query = np.repeat(np.arange(len(queries.at) - 1), np.diff(queries.at))
-        is_common = column >= 0
-        self.query, self.term = query[~is_common], queries.term[~is_common]
-        self.common_query, self.column = query[is_common], column[is_common]
-        ends = np.arange(len(queries.at))
-        self.at, self.common_at = np.searchsorted(self.query, ends), np.searchsorted(self.common_query, ends)
+        self.n = len(queries.at) - 1
+        query = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(queries.at))
+        self.column = np.full(len(queries.terms), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        column = self.column[queries.term]
+        self.matrix[column[column >= 0], query[column >= 0]] = 1
+        term, query = queries.term[column < 0], query[column < 0]
+        self.query = query[np.argsort(term, kind="stable")]
+        self.count = np.bincount(term, minlength=len(queries.terms))
+        self.start = np.cumsum(self.count) - self.count
 
 
 class Shard:
-    """Some documents with the impacts of the query terms in them: by document, by term, and as a matrix with a row for
-    each of the `common` terms. `rows` ascend, and the terms of a row."""
+    """Some documents with the impacts of the query terms in them. `rows` ascend, and the terms of a row."""
 
-    def __init__(self, rows, term, times, sizes, idf, mean, common=()):
+    def __init__(self, rows, term, times, sizes, idf, mean):
         norm = K1 * (1 - B + B * sizes / mean) if mean else np.full(len(sizes), K1)
-        impact = idf[term] * times * (K1 + 1) / (times + norm[rows])
         self.n = len(sizes)
-        self.terms, self.impacts = term, impact
+        self.row, self.terms, self.impacts = rows, term, idf[term] * times * (K1 + 1) / (times + norm[rows])
         self.rows = np.searchsorted(rows, np.arange(self.n + 1))
-        order = np.argsort(term * self.n + rows)
-        self.doc, self.impact, term = rows[order], impact[order], term[order]
-        self.single = self.impact.astype(np.float32)
-        head = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else term
-        self.there = term[head]  # the terms that stand here, and the first posting of each and of none
-        self.at = np.append(head, len(term))
-        self.matrix = np.zeros((len(common), self.n), np.float32)
-        for one, x in zip(self.matrix, self._lists(np.asarray(common, np.int64))):
-            one[self.doc[x]] = self.single[x]
         self.asked = np.zeros(len(idf), bool)
 
-    def _lists(self, terms: np.ndarray) -> list[slice]:
-        """The postings of each term."""
-        return [slice(a, b) for a, b in zip(*(self.at[np.searchsorted(self.there, terms, side)].tolist() for side in ("left", "right")))]
-
-    def places(self) -> np.ndarray:
-        """For each term its place among those that stand here, or one more than these are."""
-        out = np.full(len(self.asked), len(self.there), np.int32)
-        out[self.there] = np.arange(len(self.there))
-        return out
-
-    def scores(self, asked: Asked, places: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Scores of queries `lo` to `hi` for all documents in single precision, each at most half of SLACK off."""
-        common = np.zeros((hi - lo, len(self.matrix)), np.float32)
-        own = slice(asked.common_at[lo], asked.common_at[hi])
-        common[asked.common_query[own] - lo, asked.column[own]] = 1
-        out = common @ self.matrix
-        own = slice(asked.at[lo], asked.at[hi])
-        place, query = places[asked.term[own]], asked.query[own] - lo
-        here = np.flatnonzero(place < len(self.there))
-        place, query = place[here], query[here]
-        start, n = self.at[place], self.at[place + 1] - self.at[place]
+    @cached_property
+    def _by_term(self) -> np.ndarray:
+        return np.argsort(self.terms, kind="stable")
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return self.row[self._by_term]
+
+    @cached_property
+    def impact(self) -> np.ndarray:
+        return self.impacts[self._by_term]
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        """The first posting of each term."""
+        return np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=len(self.asked)))))
+
+    def scores(self, asked: Asked) -> Iterator[tuple[int, np.ndarray]]:
+        """Scores of some rows after others (the first of them, rows by queries) in single precision, each at most half
+        of SLACK off."""
+        column, n = asked.column[self.terms], asked.count[self.terms]
+        common, rare = np.flatnonzero(column >= 0), np.flatnonzero(n)  # a common term counts none there
+        common_at, rare_at = np.searchsorted(common, self.rows), np.searchsorted(rare, self.rows)
+        step = max(1, SCORES // max(asked.n, 1))
+        for lo in range(0, self.n, step):
+            hi = min(lo + step, self.n)
+            own = common[common_at[lo] : common_at[hi]]
+            impacts = np.zeros((hi - lo, len(asked.matrix)), np.float32)
+            impacts[self.row[own] - lo, column[own]] = self.impacts[own]
+            out = impacts @ asked.matrix
+            own = rare[rare_at[lo] : rare_at[hi]]
+            self._add(out, asked, self.row[own] - lo, asked.start[self.terms[own]], n[own], self.impacts[own])
+            yield lo, out
+
+    def _add(self, out: np.ndarray, asked: Asked, row: np.ndarray, start: np.ndarray, n: np.ndarray, impact: np.ndarray) -> None:
         ends = np.cumsum(n)
         i = 0
         while i < len(n):
-            j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + STEP, "right")), i + 1)
-            before = ends[i:j] - n[i:j]
-            post = np.arange(before[0], ends[j - 1]) + np.repeat(start[i:j] - before, n[i:j])
-            first, last = query[i], query[j - 1]
-            cell = self.doc[post] + np.repeat((query[i:j] - first) * self.n, n[i:j])
-            out[first : last + 1] += np.bincount(cell, self.single[post], (last + 1 - first) * self.n).reshape(-1, self.n)
+            done = int(ends[i - 1]) if i else 0
+            j = max(int(np.searchsorted(ends, done + STEP, "right")), i + 1)
+            first, last, own = row[i], row[j - 1] + 1, n[i:j]
+            post = np.arange(done, ends[j - 1]) + np.repeat(start[i:j] - (ends[i:j] - own), own)
+            cell = asked.query[post] + np.repeat((row[i:j] - first) * asked.n, own)
+            out[first:last] += np.bincount(cell, np.repeat(impact[i:j], own), (last - first) * asked.n).reshape(-1, asked.n)
             i = j
-        return out
 
     def exact(self, terms: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Scores of some rows. The terms of a document are added up in one order, so equal texts have equal scores."""
         if 8 * len(rows) > self.n:  # whole lists of postings cost less, and give the same scores
-            lists = self._lists(terms)
+            lists = [slice(a, b) for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist())]
             docs, impacts = np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.impact[x] for x in lists])
             return np.bincount(docs, impacts, self.n)[rows]
         n = self.rows[rows + 1] - self.rows[rows]
@@ -204,7 +237,7 @@ class Shard:
 
     def top(self, terms: np.ndarray, k: int, floor: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of at least `floor`, the best k and all that tie with the last."""
-        rows = np.setdiff1d(self.doc[np.concatenate([np.empty(0, np.int64), *(np.r_[x] for x in self._lists(terms))])], skip)
+        rows = np.setdiff1d(self.row[np.isin(self.terms, terms)], skip)
         scores = self.exact(terms, rows)
         if len(scores) >= k:
             floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
@@ -222,40 +255,43 @@ class Best:
         self.waiting: list[tuple] = []  # shard and ids, then query, row and score of each document
         self.n = 0
 
-    def _least(self, lo: int, hi: int) -> np.ndarray:
-        least = np.maximum(self.floors[lo:hi], self.about[lo:hi].min(axis=1)) * (1 - SLACK)
-        return np.maximum(least, np.finfo(np.float32).tiny)
+    def _least(self, some=slice(None)) -> np.ndarray:
+        """What a document must reach in single precision to be among the best, perhaps."""
+        least = np.maximum(self.floors[some], self.about[some].min(axis=1)) * (1 - SLACK)
+        return np.maximum(least, np.finfo(np.float32).tiny).astype(np.float32)
 
     def add(self, shard: Shard, ids: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        low, high = (np.searchsorted(ids[order], self.queries.ids, side) for side in ("left", "right"))
-        own = np.flatnonzero(low < high)
-        group, places = max(1, SCORES // shard.n), shard.places()
-        for lo in range(0, len(self.best), group):
-            hi = min(lo + group, len(self.best))
-            score = shard.scores(self.asked, places, lo, hi)
-            for q in own[(own >= lo) & (own < hi)].tolist():
-                score[q - lo, order[low[q] : high[q]]] = 0
-            some = np.flatnonzero(score.max(axis=1) >= self._least(lo, hi))
+        own = np.minimum(np.searchsorted(self.queries.ids, ids), len(self.best) - 1)  # a query does not find its own id
+        same = np.flatnonzero(self.queries.ids[own] == ids)
+        least = self._least()
+        for lo, score in shard.scores(self.asked):
+            mine = same[np.searchsorted(same, lo) : np.searchsorted(same, lo + len(score))]
+            score[mine - lo, own[mine]] = 0
+            some = np.flatnonzero((score >= least).any(axis=0))
             if not len(some):
                 continue
-            score = score[some]
-            groups = min(shard.n, max(GROUPS, 4 * self.k))
-            best = score[:, : shard.n // groups * groups].reshape(len(some), -1, groups).max(axis=1)
-            best = np.concatenate((self.about[lo + some], best), axis=1)
-            self.about[lo + some] = np.partition(best, -self.k, axis=1)[:, -self.k :]
-            query, row = np.nonzero(score >= self._least(lo, hi)[some][:, None].astype(np.float32))
-            self.waiting.append((shard, ids, lo + some[query], row, score[query, row]))
+            score = score[:, some]
+            about = np.concatenate((self.about[some], score.T), axis=1)
+            self.about[some] = np.partition(about, -self.k, axis=1)[:, -self.k :]
+            least[some] = self._least(some)
+            row, query = np.nonzero(score >= least[some])
+            self.waiting.append((shard, ids, some[query], row + lo, score[row, query]))
             self.n += len(row)
             if self.n > WAITING:
                 self.settle()
+                least = self._least()
 
     def settle(self) -> None:
         """Score exactly what still may be among the best."""
         terms, at = self.queries.term, self.queries.at
-        for shard, ids, query, row, score in self.waiting:
-            least = self._least(0, len(self.best))
-            keep = score >= least[query].astype(np.float32)
+        by_shard: dict[int, list[tuple]] = {}
+        for one in self.waiting:
+            by_shard.setdefault(id(one[0]), []).append(one)
+        for some in by_shard.values():
+            shard, ids = some[0][:2]
+            query, row, score = (np.concatenate([x[i] for x in some]) for i in (2, 3, 4))
+            keep = np.flatnonzero(score >= self._least()[query])
+            keep = keep[np.argsort(query[keep], kind="stable")]
             query, row = query[keep], row[keep]
             head = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else query
             for i, j in zip(head.tolist(), [*head[1:].tolist(), len(query)]):
@@ -271,7 +307,7 @@ class Best:
         self.waiting, self.n = [], 0
 
 
-def _shards(batch: pa.RecordBatch, known: _Terms, idf: np.ndarray, mean: float, common: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+def _shards(batch: pa.RecordBatch, known: _Terms, idf: np.ndarray, mean: float) -> Iterator[tuple[Shard, np.ndarray]]:
     """A batch of vectors in shards, and the ids of their documents."""
     ids = A.ids(batch.column("id"))
     place, rows, term = _found(batch, known)
@@ -279,9 +315,9 @@ def _shards(batch: pa.RecordBatch, known: _Terms, idf: np.ndarray, mean: float,
     at = np.searchsorted(rows, np.arange(len(sizes) + 1))
     lo = 0
     while lo < len(sizes):
-        hi = min(max(int(np.searchsorted(at, at[lo] + POSTINGS, "right")) - 1, lo + 1), lo + DOCUMENTS, len(sizes))
+        hi = min(max(int(np.searchsorted(at, at[lo] + POSTINGS, "right")) - 1, lo + 1), len(sizes))
         own = slice(at[lo], at[hi])
-        yield Shard(rows[own] - lo, term[own], times[own], sizes[lo:hi], idf, mean, common), ids[lo:hi]
+        yield Shard(rows[own] - lo, term[own], times[own], sizes[lo:hi], idf, mean), ids[lo:hi]
         lo = hi
 
 
@@ -289,7 +325,7 @@ def _searcher(queries: Queries, idf: np.ndarray, mean: float, common: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found = _Terms(queries.terms), Best(queries, common, k, floors)
         for batch in batches:
-            for shard, ids in _shards(batch, known, idf, mean, common):
+            for shard, ids in _shards(batch, known, idf, mean):
                 found.add(shard, ids)
             found.settle()
         size = [len(d) for d, _ in found.best]
@@ -315,7 +351,7 @@ def search(
     frequencies are those of all documents. A query does not find rows with its own id. Ties go to the lesser
     id; documents that share no word with the query are not results. Queries without words have no rows.
 
-    Texts are cut into words once; the vectors are written to the shared folder. Queries pass over them in blocks of
+    Texts are cut into words once; the vectors are written to the shared folder, as are the frequencies. Queries pass over them in blocks of
     about `query_terms` terms, the only thing that travels to the tasks. A task takes each batch of its documents as a
     shard and keeps its k best by query; each pass writes what it found. The tasks' lists merge exactly, as
     all were scored with the same statistics. Null and empty texts are documents without words. Query rows
@@ -328,6 +364,7 @@ def search(
     size = asked.agg(F.expr("sum(octet_length(terms)) div 8")).first()[0] or 0
     docs = landed(docs.mapInArrow(_vectors, VECTOR), "vectors")
     count = docs.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+    frequencies = _document_frequencies(docs, asked, query_terms)
     found = None
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
     # by the number of the file, part-NNNNN
@@ -339,14 +376,14 @@ def search(
         if not len(words):
             continue
         known, place = np.unique(words, return_inverse=True)
-        df = docs.select("terms").mapInArrow(_frequencies(known), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        df = frequencies.mapInArrow(_among(known), "term long, df long").toArrow()
         seen = np.zeros(len(known))
         seen[df.column("term").to_numpy()] = df.column("df").to_numpy()
         idf = np.log1p((count["n"] - seen + 0.5) / (seen + 0.5))
         vectors = Queries(block.column("id").to_numpy(), at, place, known)
         mean = (count["words"] or 0) / max(count["n"], 1)
         both = seen / max(count["n"], 1) * (np.bincount(place) / block.num_rows)  # the share of pairs that have a term
-        common = np.argsort(-both, kind="stable")[:COMMON]
+        common = np.argsort(-both, kind="stable")[: min(COMMON, NUMBERS // block.num_rows)]
         common = np.sort(common[both[common] >= OFTEN])
         floors = np.zeros(block.num_rows)
         for part in (first, ~first):

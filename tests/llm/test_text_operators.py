@@ -416,7 +416,8 @@ def test_whole_lists_and_single_blocks_give_the_same_scores():
 def test_only_what_can_be_among_the_best_is_scored_exactly(monkeypatch):
     """All pairs in single precision, over several shards with common and rare terms, equal texts among them; few exactly."""
     rng = np.random.default_rng(8)
-    monkeypatch.setattr(search, "DOCUMENTS", 300)
+    monkeypatch.setattr(search, "SCORES", 5000)
+    monkeypatch.setattr(search, "POSTINGS", 9000)
     monkeypatch.setattr(search, "STEP", 500)
     hashes = np.sort(rng.integers(0, 2**63, 400, np.uint64))
     share = np.where(np.arange(400) < 20, 0.6, 0.05)
@@ -431,7 +432,7 @@ def test_only_what_can_be_among_the_best_is_scored_exactly(monkeypatch):
         "id": ids, "size": np.array([x.sum() for x in times]),
         "terms": search._blobs(hashes[np.concatenate(texts)], ends), "times": search._blobs(np.concatenate(times).astype(np.int32), ends),
     })
-    asked = [5, 13, *range(0, 2000, 40)]
+    asked = sorted([5, 13, *range(0, 2000, 40)], key=lambda row: ids[row])
     at = np.concatenate(([0], np.cumsum([len(texts[i]) for i in asked])))
     queries = search.Queries(ids[asked], at, np.concatenate([texts[i] for i in asked]), hashes)
     idf, mean, common = rng.random(400) + 0.1, 60.0, np.arange(20)
